@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filters
+from . import mixing, quality, toxicity, url_filters
 
 QUERIES = {
     "op3_mix_sources": mixing.query,
+    "op4_quality": quality.query,
+    "op8_toxicity": toxicity.query,
     "op10_url_filters": url_filters.query,
 }
 
