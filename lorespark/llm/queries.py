@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, toxicity, url_filters
+from . import decontam, mixing, quality, toxicity, url_filters
 
 QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_quality": quality.query,
+    "op7_decontaminate": decontam.query,
     "op8_toxicity": toxicity.query,
     "op10_url_filters": url_filters.query,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
+    "op7_decontaminate": decontam.SQL,
     "op10_url_filters": url_filters.SQL,
 }
