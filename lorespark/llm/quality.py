@@ -189,7 +189,7 @@ def _train_udf(texts: pd.Series) -> pd.Series:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN) -> Model:
     """Fit on a bounded sample of ``labels`` outside the held-out fold."""
-    sample = labelled(docs, labels, label, limit).select(_train_udf("text").alias("x"), "y").toArrow()
+    sample = labelled(docs, labels, label, limit).select("rank", "doc_id", _train_udf("text").alias("x"), "y").toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     bags = [np.frombuffer(v.as_py(), "<f2").reshape(-1, WIDTH).astype(np.float32) for v in sample["x"]]
     return Model().fit(bags, np.asarray(sample["y"], np.float64))
 

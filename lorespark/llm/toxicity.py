@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import checkpointed, table
 from .words import ngram_hashes, word_hashes
 
 BITS = 20
@@ -97,11 +97,18 @@ def fold(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` learnable ``(doc_id, text, y)`` rows, in a fixed pseudo-random order."""
+    """At most ``limit`` learnable rows ``(doc_id, text, y, rank)``; ``rank`` orders them pseudo-randomly.
+
+    A doc_id that several documents share brings the text with the smallest hash.
+    """
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
     y = y.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("_y").alias("y"))
-    chosen = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
-    return chosen.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", F.xxhash64("text")).limit(limit)
+    # the sample is settled on ids alone, so that texts are never shuffled; it is broadcast, as limit bounds it
+    order = [F.xxhash64(F.col("_id"), F.lit(17)), F.col("_id")]
+    here = y.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi").orderBy(*order).limit(limit)
+    chosen = F.broadcast(checkpointed(here))
+    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).withColumn("rank", F.xxhash64(F.col("doc_id"), F.lit(17)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -111,7 +118,7 @@ def _features_udf(texts: pd.Series) -> pd.Series:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_TRAIN) -> Model:
     """Fit on a bounded sample of ``labels`` outside the held-out fold."""
-    sample = labelled(docs, labels, label, limit).select(_features_udf("text").alias("x"), "y").toArrow()
+    sample = labelled(docs, labels, label, limit).select("rank", "doc_id", _features_udf("text").alias("x"), "y").toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     rows = [np.asarray(v.values, np.int32) for v in sample["x"]]
     return fit(rows, np.asarray(sample["y"], np.float64))
 
