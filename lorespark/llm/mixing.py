@@ -46,7 +46,9 @@ def source_targets(sizes: DataFrame, weights: DataFrame | None = None, max_rate:
 
     The reshared targets have a closed form: with a level L, a source gets
     ``min(max_rate * size, L * weight)``.  Ordered by ``max_rate * size / weight``
-    the sources at their limit come first, so running sums give L.
+    the sources at their limit come first.  Taking the first k for limited, the
+    rest would get ``(total - their limits) / weights left`` each; that grows as
+    long as limited sources are taken out and falls after, so L is its maximum.
     """
     if weights is None:
         rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -65,9 +67,7 @@ def source_targets(sizes: DataFrame, weights: DataFrame | None = None, max_rate:
         .withColumn("size_left", F.col("total") - F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("limit"))).over(before), F.lit(0.0)))
         .withColumn("here", F.when((F.col("weight") > 0) & (F.col("weight_left") > 0), F.col("size_left") / F.col("weight_left")))
     )
-    level = F.min(F.when(F.col("ratio") >= F.col("here"), F.col("here"))).over(Window.partitionBy())
-    # weights so lopsided that even their limits can't hold the total leave no level: all stop at their limits
-    share = F.coalesce(level, F.lit(float("inf")))
+    share = F.coalesce(F.max("here").over(Window.partitionBy()), F.lit(0.0))
     target = F.when(F.col("weight") > 0, F.when(share * F.col("weight") < F.col("limit"), share * F.col("weight")).otherwise(F.col("limit"))).otherwise(F.lit(0.0))
     return live.select("source", "source_size", target.alias("target"))
 
@@ -118,7 +118,7 @@ WITH d AS (
          total - coalesce(sum(lim) OVER b, 0) AS size_left
   FROM w WINDOW b AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT *, min(CASE WHEN lim / weight >= size_left / weight_left THEN size_left / weight_left END) OVER () AS level FROM r
+  SELECT *, max(size_left / weight_left) OVER () AS level FROM r
 ), t AS (
   SELECT source, source_size, least(level * weight, lim) AS target FROM l
 ), p AS (
