@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, toxicity, url_filters
+from . import decontam, mixing, near_dup, quality, toxicity, url_filters
 
 QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_quality": quality.query,
+    "op5_near_dup": near_dup.query,
     "op7_decontaminate": decontam.query,
     "op8_toxicity": toxicity.query,
     "op10_url_filters": url_filters.query,
