@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, near_dup, quality, toxicity, url_filters
+from . import decontam, media, mixing, near_dup, quality, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op3_mix_sources": mixing.query,
     "op4_quality": quality.query,
     "op5_near_dup": near_dup.query,
+    "op6_media": media.query,
     "op7_decontaminate": decontam.query,
     "op8_toxicity": toxicity.query,
     "op10_url_filters": url_filters.query,
