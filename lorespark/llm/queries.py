@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, near_dup, quality, token_counts, toxicity, url_filters
+from . import decontam, media, mixing, near_dup, quality, token_counts, toxicity, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_media": media.query,
     "op7_decontaminate": decontam.query,
     "op8_toxicity": toxicity.query,
+    "op9_warc": warc_zip.query,
     "op10_url_filters": url_filters.query,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
     "op7_decontaminate": decontam.SQL,
+    "op9_warc": warc_zip.SQL,
     "op10_url_filters": url_filters.SQL,
 }
