@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, near_dup, quality, token_counts, toxicity, url_filters, warc_zip
+from . import chat, decontam, media, mixing, near_dup, quality, token_counts, toxicity, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_chat_repair": chat.query,
     "op3_mix_sources": mixing.query,
     "op4_quality": quality.query,
     "op5_near_dup": near_dup.query,
