@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = r"[a-z0-9_\-]+"
-FENCE = "```"
 
 
 def _col(c: Column | str) -> Column:
@@ -228,18 +227,9 @@ def template_variables(text: Column | str) -> Column:
 
 
 def unfenced_lines(text: Column | str) -> Column:
-    """Lines outside ``` blocks: every second piece between fence lines, fences left out."""
-    lines = F.split(_col(text), "\n")
-    state = F.aggregate(
-        lines,
-        F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, line: F.struct(
-            F.when(F.startswith(F.ltrim(line), F.lit(FENCE)), ~acc["inside"]).otherwise(acc["inside"]).alias("inside"),
-            F.when(acc["inside"] | F.startswith(F.ltrim(line), F.lit(FENCE)), acc["kept"]).otherwise(F.array_append(acc["kept"], line)).alias("kept"),
-        ),
-        lambda acc: acc["kept"],
-    )
-    return state
+    """Lines outside ``` blocks; an unclosed block runs to the end."""
+    fenced = r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)"
+    return F.split(F.regexp_replace(_col(text), fenced, ""), "\n")
 
 
 def wikilinks(text: Column | str) -> Column:
