@@ -69,7 +69,7 @@ def recency(days: Column | str, model: str = "fsrs", stability: float = DEFAULT_
 
 def version_score(age_days: Column | str, stability: float) -> Column:
     """The hyperbolic score of the version store, ``1 / (1 + age / stability)``."""
-    return 1 / (1 + _col(age_days).cast("double") / stability)
+    return 1 / (1 + F.greatest(_col(age_days).cast("double"), F.lit(0.0)) / stability)
 
 
 def normalised(score: Column | str, top: Column | str) -> Column:

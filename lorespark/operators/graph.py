@@ -154,11 +154,11 @@ def _hops(links: DataFrame, start: str, depth: int, stop: str | None) -> DataFra
     """Breadth-first tree as ``(id, depth, hops)``; a node's parent is its first discoverer (least path, then edge order)."""
     spark = links.sparkSession
     hop = "array<struct<node:string,edge_type:string,provenance:string>>"
-    seen = checkpointed(spark.createDataFrame([(start, 0)], "id string, depth int").withColumn("hops", F.array().cast(hop)).withColumn("rank", F.array().cast("array<int>")))
+    seen = checkpointed(spark.createDataFrame([(start, 0)], "id string, depth int").withColumn("hops", F.array().cast(hop)).withColumn("rank", F.array().cast("array<bigint>")))
     for d in range(1, depth + 1):
         front = seen.where(F.col("depth") == d - 1)
         grown = front.withColumnRenamed("id", "_at").join(links.withColumnRenamed("id", "_at"), "_at").join(seen.select(F.col("id").alias("other")), "other", "left_anti")
-        step = grown.select(F.col("other").alias("id"), F.concat("hops", F.array(F.struct(F.col("other").alias("node"), "edge_type", "provenance"))).alias("hops"), F.concat("rank", F.array(F.col("seq").cast("int"))).alias("rank"))
+        step = grown.select(F.col("other").alias("id"), F.concat("hops", F.array(F.struct(F.col("other").alias("node"), "edge_type", "provenance"))).alias("hops"), F.concat("rank", F.array(F.col("seq").cast("long"))).alias("rank"))
         new = checkpointed(step.groupBy("id").agg(F.min(F.struct("rank", "hops")).alias("m")).select("id", F.lit(d).alias("depth"), "m.hops", "m.rank"))
         if new.isEmpty():
             break

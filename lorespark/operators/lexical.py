@@ -75,14 +75,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def bm25(index: Index, terms: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score)`` for every document that shares a term with a query."""
+    """``(query_id, doc_id, score)`` for every document that shares a term with a query.
+
+    Scores are rounded to 9 places, so that the order in which parts are summed
+    never decides between equal documents.
+    """
     terms = _small(terms)
     weighed = terms.join(index.frequencies, "term").select("query_id", "term", "times", "df")
     hits = index.postings.where("weight <> 0").join(weighed, "term")
     means = index.lengths.select("field", F.greatest(F.col("total") / F.col("docs"), F.lit(1.0)).alias("mean"))
     n = index.total.scalar()
     part = F.col("weight") * F.col("times") * scoring.idf(n, "df") * scoring.tf_part("tf", "length", "mean")
-    return hits.join(F.broadcast(means), "field").select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return hits.join(F.broadcast(means), "field").select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -119,6 +123,10 @@ def keyword_search(index: Index, docs: DataFrame, query: str, limit: int = 10) -
     return best.select("doc_id", scoring.normalised("score", "m").alias("score"), text.truncate(F.coalesce("title", F.lit("")), 120).alias("snippet"))
 
 
+def _equals(word: str):
+    return lambda t: t == F.lit(word)
+
+
 def rerank_client(docs: DataFrame, query: str) -> DataFrame:
     """White-space BM25 over title and body of given results, +0.15 for a title that contains the query; all rows stay."""
     both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
@@ -126,7 +134,7 @@ def rerank_client(docs: DataFrame, query: str) -> DataFrame:
     words = [t for t in query.split() if t]
     rows = docs.withColumn("_tokens", tokens).withColumn("_len", F.size("_tokens"))
     for i, w in enumerate(words):
-        rows = rows.withColumn(f"_tf{i}", F.size(F.filter("_tokens", lambda t, w=w: t == F.lit(w))))
+        rows = rows.withColumn(f"_tf{i}", F.size(F.filter("_tokens", _equals(w))))
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.greatest(F.avg("_len"), F.lit(1.0)).alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(words))])
     rows = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

@@ -12,7 +12,7 @@ from ..streaming import feeds
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-AS_OF = "1998-12-31"
+AS_OF = "2030-01-01"
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_\-]+')"
 #: The code-aware tokens of a text in SQL: compounds, then parts of more than one character.
 CODE_TOKENS = (
@@ -73,8 +73,8 @@ WITH f AS ({fields}), t AS (
 ), l AS (SELECT field, greatest(sum(length) * 1.0::DOUBLE / count(*), 1.0::DOUBLE) AS mean FROM (SELECT DISTINCT doc_id, field, length FROM p) GROUP BY field
 ), q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({qtokens}) AS term FROM benchmark) GROUP BY ALL
 ), s AS (
-  SELECT query_id, doc_id, sum(weight * times * ln(1 + ((SELECT count(DISTINCT doc_id) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
-         * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))) AS score
+  SELECT query_id, doc_id, round(sum(weight * times * ln(1 + ((SELECT count(DISTINCT doc_id) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+         * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))), 9) AS score
   FROM p JOIN q USING (term) JOIN df USING (term) JOIN l USING (field) WHERE weight <> 0 GROUP BY query_id, doc_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s)
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM r WHERE rank < 10
@@ -347,12 +347,13 @@ def bfs_depth3(spark, d):
 @register(
     f"""WITH RECURSIVE {EDGES}, u AS (SELECT src AS a, dst AS b FROM e WHERE src NOT LIKE 'o:%' UNION SELECT dst, src FROM e WHERE src NOT LIKE 'o:%'),
 w(id, depth) AS (SELECT 'c:1', 0 UNION SELECT b, depth + 1 FROM w JOIN u ON a = id WHERE depth < 6)
-SELECT 's:1' AS id, CAST(min(depth) AS INTEGER) AS length FROM w WHERE id = 's:1' HAVING count(*) > 0"""
+SELECT (SELECT 'r:' || n_regionkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_custkey = 1) AS id, CAST(min(depth) AS INTEGER) AS length FROM w WHERE id = (SELECT 'r:' || n_regionkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_custkey = 1) HAVING count(*) > 0"""
 )
 def shortest_path(spark, d):
-    """Length of the shortest path from customer 1 to supplier 1, not over orders."""
+    """Length of the shortest path from customer 1 to its region, not over orders."""
     links = edges(spark, d).where("src not like 'o:%'")
-    return graph.shortest_path(links, "c:1", "s:1", 6).select("id", F.size("hops").alias("length"))
+    nation = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()
+    return graph.shortest_path(links, "c:1", f"r:{nation['n_regionkey']}", 6).select("id", F.size("hops").alias("length"))
 
 
 @register(
