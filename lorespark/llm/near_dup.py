@@ -170,7 +170,8 @@ def classes(docs: DataFrame) -> DataFrame:
     found = components(checkpointed(links(docs, pairs)))
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = checkpointed(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    # checkpointed, so that both sides of the join are dealt anew and a class with very many texts can be split
+    of_root = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("class_id")))
     of_node = rooted.select("node", "root").join(of_root, "root").select("node", "root", "class_id")
     with_class = worded.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "root", "class_id")
     alone = rows.where("keys is null").select("doc_id", "node", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"))
