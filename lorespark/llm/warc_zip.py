@@ -254,10 +254,6 @@ class _Archive:
         return self.path, len(self.index)
 
 
-def _none(x):
-    return None if pd.isna(x) else x
-
-
 def write(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     """Write ``record_types`` rows; the manifest ``(path, records)`` of the archives."""
     fs, base = open_fs(folder)
@@ -268,8 +264,8 @@ def write(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
         archive, done = None, []
         for pdf in batches:
             for c in ("page_id", "refers_to"):
-                pdf[c] = [None if x == "" else int(x) for x in pdf[c]]
-            pdf = pdf.astype(object)
+                # as objects: a column of integers and nulls would turn into floats
+                pdf[c] = pd.Series([None if x == "" else int(x) for x in pdf[c]], pdf.index, dtype=object)
             for row in pdf.itertuples(index=False):
                 if archive is None:
                     archive = _Archive(folder, f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}")
