@@ -235,7 +235,7 @@ def unfenced_lines(text: Column | str) -> Column:
 def wikilinks(text: Column | str) -> Column:
     """Targets of ``[[target]]`` and ``[[target|label]]``, distinct in order."""
     found = F.regexp_extract_all(_col(text), F.lit(r"\[\[([^\]]+?)(?:\|[^\]]+)?\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def inline_tags(text: Column | str) -> Column:

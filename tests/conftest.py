@@ -1,5 +1,8 @@
+import datetime
+import decimal
 import os
 import sys
+from collections import Counter
 
 import pytest
 
@@ -24,3 +27,44 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+def plain(v):
+    """A value of either engine in one form; floats to nine digits."""
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
+    if isinstance(v, float):
+        return float(f"{v:.9g}")
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None)
+    if hasattr(v, "asDict"):
+        v = v.asDict()
+    if isinstance(v, dict):
+        return {k: plain(x) for k, x in v.items()}
+    if isinstance(v, list | tuple):
+        return [plain(x) for x in v]
+    return v
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark, sf):
+    """Compare a registered query with its SQL: column names and the multiset of rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for name in sorted(os.listdir(sf)):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{name}'")
+
+    def check(query, sql):
+        df = query(spark, sf)
+        columns = sorted(df.columns)
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        assert sorted(names) == columns
+        at = [names.index(c) for c in columns]
+        want = Counter(repr([plain(r[i]) for i in at]) for r in found.fetchall())
+        got = Counter(repr([plain(x) for x in r]) for r in df.select(*columns).collect())
+        assert got == want
+
+    return check
