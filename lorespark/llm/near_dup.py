@@ -10,10 +10,15 @@ order and hashed to one key.  Texts with the same words in another order
 therefore differ, which plain MinHash can't see.  Keys of single sketches and
 of pairs of sketches (for short texts of single picks, too) name buckets; in a bucket every text is a candidate of the
 smallest text of that bucket, so a bucket of n texts gives n - 1 pairs and not
-n**2.  The finer keys have representatives of their own for texts that a coarse
-bucket sets against a stranger.  Candidates are aligned inside a band that is as
-wide as the threshold allows, and verified pairs are joined to classes by
-connected components.
+n**2.  A bucket whose texts are then still of several classes goes on: up to
+``FEW`` texts meet each other; in larger ones the texts that did not join take
+the smallest of them as next representative, round by round while such rounds
+find links, and all texts there get ``FURTHER`` more keys, their shingles of
+least hash, so that a shared passage can't hide the rest of a text.  Pairs whose
+lengths or word counts (in ``BINS`` bins) exclude the threshold are dropped,
+which loses nothing; the others are aligned inside a band that is as wide as the
+threshold allows, and verified pairs are joined to classes by connected
+components.
 
 How it scales: equal texts (by MD5) collapse first, on the map side, so a text
 that a third of all rows share is one node.  What the bucket shuffle carries is
@@ -41,7 +46,7 @@ from pyspark.sql import types as T
 
 from .alignment import similar
 from .components import components
-from .shared import checkpointed, fresh, scratch, table
+from .shared import BROADCAST_ROWS, broadcast_if_small, checkpointed, fresh, scratch, table
 from .words import mix, ngram_hashes, word_hashes
 
 K = 5
@@ -51,6 +56,12 @@ THRESHOLD = 0.8
 #: Texts of at most so many k-mers, where one edit touches a large share, get keys of a single pick too.
 SHORT = 64
 SPAN = 1 << 16
+#: Buckets of at most so many texts are tried pair by pair.
+FEW = 16
+#: Keys that a text of a larger, mixed bucket gets besides.
+FURTHER = 256
+#: Bins of the word counts that pairs are compared by before their words are fetched.
+BINS = 128
 _SEEDS = np.frombuffer(hashlib.shake_128(b"order-minhash").digest(16 * SKETCHES), "<u8").reshape(2, SKETCHES).copy()
 _TOP = np.uint64(2**64 - 1)
 
@@ -106,11 +117,35 @@ def order_keys(words: np.ndarray, k: int = K) -> np.ndarray | None:
     return np.concatenate(keys)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _keys_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def shingle_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` labelled k-mers of least hash."""
+    h = labelled_kmers(words)
+    return h if len(h) <= n else np.partition(h, n)[:n]
+
+
+def word_bag(words: np.ndarray) -> bytes:
+    """Words counted in bins, up to 255 each."""
+    return np.minimum(np.bincount((words >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType()), T.StructField("bag", T.BinaryType())]))
+def _sketch_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        found = [order_keys(word_hashes(t)) for t in texts]
-        yield pd.Series([None if x is None else x.view(np.int64) for x in found], dtype=object)
+        found = [word_hashes(t) for t in texts]
+        keys = [order_keys(w) for w in found]
+        yield pd.DataFrame({"keys": pd.Series([None if x is None else x.view(np.int64) for x in keys], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object)})
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _further_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_keys(word_hashes(t), FURTHER).view(np.int64) for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def _bags_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
+    """Whether no more than ``limit`` words are surplus on either side; an edit changes either surplus by one at most."""
+    diff = np.frombuffer(b"".join(a), np.uint8).reshape(-1, BINS).astype(np.int16) - np.frombuffer(b"".join(b), np.uint8).reshape(-1, BINS)
+    return pd.Series(np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= limit.to_numpy())
 
 
 @F.pandas_udf(T.BinaryType())
@@ -129,18 +164,76 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, from ``nodes(node, keys)``."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``(key, node, a, n)`` of the buckets of ``nodes(node, keys)`` that hold several texts: ``a`` is the smallest, ``n`` their number."""
     in_bucket = nodes.select("node", F.explode("keys").alias("key"))
-    first = in_bucket.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return in_bucket.join(first, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
-
-
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidate pairs that alignment confirms."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    words = docs.select(node(F.col("text")).alias("node"), _words_udf("text").alias("words")).groupBy("node").agg(F.first("words").alias("words"))
-    needed = _stored(words.join(ends, "node", "left_semi"), "words")
+    first = in_bucket.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return in_bucket.join(first, "key").select("key", "node", "a", "n")
+
+
+def candidates(entries: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a < b, of every bucket's smallest text with its others."""
+    return entries.where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+
+def mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, node, root, a_root, n)`` of the buckets that hold several classes of ``found(node, root)``."""
+    rooted = entries.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    of = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("root", "node").alias("a_root"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    return rooted.join(of.select("key", "n", "a_root"), "key").select("key", "node", "root", "a_root", "n")
+
+
+def all_pairs(entries: DataFrame) -> DataFrame:
+    """Distinct pairs across classes of every bucket of ``entries(key, node, root)``."""
+    other = entries.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    return entries.join(other, "key").where("node < b and root != b_root").select(F.col("node").alias("a"), "b").distinct()
+
+
+def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Components ``(node, root)`` of ``nodes(node, keys, size, bag)`` by the links of all buckets."""
+    linked = tried = None
+    keyed, crowded = nodes, None
+    for level in (0, 1):
+        waiting = checkpointed(buckets(keyed))
+        pairs, first = candidates(waiting), True
+        while True:
+            pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            new = checkpointed(links(docs, pairs, nodes))
+            some = not new.isEmpty()
+            if linked is None or some:
+                linked = new if linked is None else checkpointed(linked.union(new))
+                found = checkpointed(components(linked))
+            tried = pairs if tried is None else checkpointed(tried.union(pairs))
+            if not (first or some):
+                break
+            still = checkpointed(mixed(waiting.select("key", "node"), found))
+            crowd = still.where(F.col("n") > FEW)
+            if first and not level:
+                crowded = checkpointed(crowd.select("node").distinct())
+            # those that did not join the representative; the smallest of them is the next
+            waiting = checkpointed(crowd.where("root != a_root").select("key", "node"))
+            least = waiting.groupBy("key").agg(F.min("node").alias("a"))
+            following = waiting.join(least, "key").where("node != a").select("a", F.col("node").alias("b"))
+            pairs, first = all_pairs(still.where(F.col("n") <= FEW)).union(following).distinct(), False
+        if level or crowded.isEmpty():
+            break
+        texts = docs.select(node(F.col("text")).alias("node"), "text").join(broadcast_if_small(crowded), "node", "left_semi")
+        keyed = texts.select("node", _further_udf("text").alias("keys")).groupBy("node").agg(F.first("keys").alias("keys"))
+    return found
+
+
+def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The candidate pairs that alignment confirms; sizes and word counts of ``nodes`` are compared first."""
+    counted = nodes.select("node", "size", "bag")
+    of = lambda x: counted.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bag").alias(f"bag_{x}"))
+    limit = F.floor((1 - THRESHOLD) * F.greatest("size_a", "size_b") + 1e-9)
+    near = pairs.join(of("b"), "b").join(of("a"), "a").where(F.abs(F.col("size_a") - F.col("size_b")) <= limit)
+    pairs = checkpointed(near.where(_bags_udf("bag_a", "bag_b", limit)).select("a", "b"))
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = docs.select(node(F.col("text")).alias("node"), "text")
+    once = lambda x: x.select("node", _words_udf("text").alias("words")).groupBy("node").agg(F.first("words").alias("words"))
+    few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    needed = _stored(once(texts.join(F.broadcast(ends), "node", "left_semi")) if few else once(texts).join(ends, "node", "left_semi"), "words")
     of_b = needed.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
     of_a = needed.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
     return pairs.join(of_b, "b").join(of_a, "a").where(_similar_udf("words_a", "words_b")).select("a", "b")
@@ -163,11 +256,10 @@ def classes(docs: DataFrame) -> DataFrame:
     ``root`` names the class (null for wordless texts); ``keep`` marks the rows
     that carry its smallest doc_id (all of them, should several rows share it).
     """
-    rows = _stored(docs.select("doc_id", node(F.col("text")).alias("node"), _keys_udf("text").alias("keys")), "sketches")
+    rows = _stored(docs.select("doc_id", node(F.col("text")).alias("node"), _sketch_udf("text").alias("s")).select("doc_id", "node", "s.keys", "s.size", "s.bag"), "sketches")
     worded = rows.where("keys is not null")
-    nodes = worded.groupBy("node").agg(F.first("keys").alias("keys"))
-    pairs = checkpointed(candidates(nodes))
-    found = components(checkpointed(links(docs, pairs)))
+    nodes = _stored(worded.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bag").alias("bag")), "nodes")
+    found = all_links(docs, nodes)
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = checkpointed(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     # checkpointed, so that both sides of the join are dealt anew and a class with very many texts can be split
