@@ -8,7 +8,9 @@ with its occurrence number.  Each of ``SKETCHES`` hash functions picks the
 ``PICKS`` labelled k-mers with the smallest values; they are put back in text
 order and hashed to one key.  Texts with the same words in another order
 therefore differ, which plain MinHash can't see.  Keys of single sketches and
-of pairs of sketches (for short texts of single picks, too) name buckets; in a bucket every text is a candidate of the
+of pairs of sketches (for short texts of single picks, too) name buckets, and so do
+the ``SINGLES`` shingles of least hash of texts of any length, as texts at the
+threshold share too few picks of two; in a bucket every text is a candidate of the
 smallest text of that bucket, so a bucket of n texts gives n - 1 pairs and not
 n**2.  A bucket whose texts are then still of several classes goes on: up to
 ``FEW`` texts meet each other; in larger ones the texts that did not join take
@@ -56,6 +58,8 @@ THRESHOLD = 0.8
 #: Texts of at most so many k-mers, where one edit touches a large share, get keys of a single pick too.
 SHORT = 64
 SPAN = 1 << 16
+#: Keys that are a single shingle each; the least hashes of a text, so that two texts pick alike.
+SINGLES = 32
 #: Buckets of at most so many texts are tried pair by pair.
 FEW = 16
 #: Keys that a text of a larger, mixed bucket gets besides.
@@ -133,7 +137,7 @@ def _sketch_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         found = [word_hashes(t) for t in texts]
         keys = [order_keys(w) for w in found]
-        yield pd.DataFrame({"keys": pd.Series([None if x is None else x.view(np.int64) for x in keys], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object)})
+        yield pd.DataFrame({"keys": pd.Series([None if x is None else np.concatenate([x, shingle_keys(w, SINGLES)]).view(np.int64) for x, w in zip(keys, found, strict=True)], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object)})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -165,15 +169,25 @@ def node(text: Column) -> Column:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``(key, node, a, n)`` of the buckets of ``nodes(node, keys)`` that hold several texts: ``a`` is the smallest, ``n`` their number."""
+    """``(key, node)`` of the buckets of ``nodes(node, keys)`` that hold several texts."""
     in_bucket = nodes.select("node", F.explode("keys").alias("key"))
-    first = in_bucket.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return in_bucket.join(first, "key").select("key", "node", "a", "n")
+    shared = in_bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return in_bucket.join(shared, "key").select("key", "node")
 
 
 def candidates(entries: DataFrame) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of every bucket's smallest text with its others."""
-    return entries.where("node != a").select("a", F.col("node").alias("b")).distinct()
+    least = entries.groupBy("key").agg(F.min("node").alias("a"))
+    return entries.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+
+def grown(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Components ``found(node, root)`` after the links ``new(a, b)``: only the roots that these join are worked on."""
+    of = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    ends = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    top = checkpointed(components(ends))
+    over = top.select(F.col("node").alias("root"), F.col("root").alias("_over"))
+    return checkpointed(found.join(over, "root", "left").select("node", F.coalesce("_over", "root").alias("root")).union(top))
 
 
 def mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -191,8 +205,8 @@ def all_pairs(entries: DataFrame) -> DataFrame:
 
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components ``(node, root)`` of ``nodes(node, keys, size, bag)`` by the links of all buckets."""
-    linked = tried = None
-    keyed, crowded = nodes, None
+    found = tried = crowded = None
+    keyed = nodes
     for level in (0, 1):
         waiting = checkpointed(buckets(keyed))
         pairs, first = candidates(waiting), True
@@ -200,21 +214,20 @@ def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             new = checkpointed(links(docs, pairs, nodes))
             some = not new.isEmpty()
-            if linked is None or some:
-                linked = new if linked is None else checkpointed(linked.union(new))
-                found = checkpointed(components(linked))
+            if found is None:
+                found = checkpointed(components(new))
+            elif some:
+                found = grown(found, new)
             tried = pairs if tried is None else checkpointed(tried.union(pairs))
             if not (first or some):
                 break
-            still = checkpointed(mixed(waiting.select("key", "node"), found))
+            still = checkpointed(mixed(waiting, found))
             crowd = still.where(F.col("n") > FEW)
             if first and not level:
                 crowded = checkpointed(crowd.select("node").distinct())
             # those that did not join the representative; the smallest of them is the next
             waiting = checkpointed(crowd.where("root != a_root").select("key", "node"))
-            least = waiting.groupBy("key").agg(F.min("node").alias("a"))
-            following = waiting.join(least, "key").where("node != a").select("a", F.col("node").alias("b"))
-            pairs, first = all_pairs(still.where(F.col("n") <= FEW)).union(following).distinct(), False
+            pairs, first = all_pairs(still.where(F.col("n") <= FEW)).union(candidates(waiting)).distinct(), False
         if level or crowded.isEmpty():
             break
         texts = docs.select(node(F.col("text")).alias("node"), "text").join(broadcast_if_small(crowded), "node", "left_semi")
@@ -225,6 +238,8 @@ def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The candidate pairs that alignment confirms; sizes and word counts of ``nodes`` are compared first."""
     counted = nodes.select("node", "size", "bag")
+    if pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2:
+        counted = counted.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
     of = lambda x: counted.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bag").alias(f"bag_{x}"))
     limit = F.floor((1 - THRESHOLD) * F.greatest("size_a", "size_b") + 1e-9)
     near = pairs.join(of("b"), "b").join(of("a"), "a").where(F.abs(F.col("size_a") - F.col("size_b")) <= limit)
