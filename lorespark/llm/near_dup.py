@@ -4,29 +4,36 @@ Two documents are near-duplicates if the edit similarity of their word
 sequences, ``1 - distance / longer length``, is at least ``THRESHOLD``.
 
 Order MinHash: the k-mers of a text are its ``K``-word shingles, each labelled
-with its occurrence number.  Each of ``SKETCHES`` hash functions picks the
-``PICKS`` labelled k-mers with the smallest values; they are put back in text
-order and hashed to one key.  Texts with the same words in another order
-therefore differ, which plain MinHash can't see.  Keys of single sketches and
-of pairs of sketches (for short texts of single picks, too) name buckets, and so do
-the ``SINGLES`` shingles of least hash of texts of any length, as texts at the
-threshold share too few picks of two; in a bucket every text is a candidate of the
-smallest text of that bucket, so a bucket of n texts gives n - 1 pairs and not
-n**2.  A bucket whose texts are then still of several classes goes on: up to
-``FEW`` texts meet each other; in larger ones the texts that did not join take
-the smallest of them as next representative, round by round while such rounds
-find links, and all texts there get ``FURTHER`` more keys, their shingles of
-least hash, so that a shared passage can't hide the rest of a text.  Pairs whose
-lengths or word counts (in ``BINS`` bins) exclude the threshold are dropped,
-which loses nothing; the others are aligned inside a band that is as wide as the
-threshold allows, and verified pairs are joined to classes by connected
-components.
+with its occurrence number.  One hash deals them into ``SKETCHES`` bins; of each
+bin the two labelled k-mers with the smallest values are put back in text order
+and hashed to one key, so texts with the same words in another order differ,
+which plain MinHash can't see.  Two k-mers agree too seldom near the threshold,
+so the ``SINGLES`` labelled k-mers of least hash are keys, too.  Texts with a
+key in common share a bucket:
+
+- in a bucket of at most ``FEW`` texts all pairs are candidates;
+- in a larger one every text is a candidate of the bucket's smallest, which
+  gives n - 1 pairs and not n**2;
+- a text most of whose single keys lie in larger buckets (a passage that many
+  texts share hides the rest of it) gets its ``FURTHER`` k-mers of least hash
+  as keys, and buckets are formed again among such texts;
+- texts that are still crowded then meet more members of their larger buckets
+  that are of other classes: about ``MEMBERS`` a bucket, chosen by hash, and
+  ``MEMBERS`` times more in every further round, until a round finds no link or
+  has tried all.
+
+Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
+dropped, which loses nothing; the others are aligned inside a band that is as
+wide as the threshold allows, and verified pairs are joined to classes by
+connected components.
 
 How it scales: equal texts (by MD5) collapse first, on the map side, so a text
-that a third of all rows share is one node.  What the bucket shuffle carries is
-a key and a node; words are shuffled only to reach candidate pairs.  Bucket
-minima and component minima are partial aggregates; joins that meet a hot key
-are plain joins that adaptive execution can split.  Nothing is collected.
+that a third of all rows share is one node.  The bucket shuffles carry two
+64-bit numbers a key; should two texts agree in the short number, both are
+looked at.  Words travel only for texts that pass the filters on lengths and
+counts.  Bucket minima and component minima are partial aggregates; joins that
+meet a hot key have stored tables on both sides, so that adaptive execution can
+split them.  Nothing is collected.
 
 Defined results: a text without words (null, empty, signs only) is nobody's
 duplicate; a text with fewer than ``K`` words is one k-mer of all its words;
@@ -37,7 +44,6 @@ Extra columns are ignored by ``classes`` and kept by ``deduplicate``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,26 +54,26 @@ from pyspark.sql import types as T
 
 from .alignment import similar
 from .components import components
-from .shared import BROADCAST_ROWS, broadcast_if_small, checkpointed, fresh, scratch, table
+from .shared import broadcast_if_small, checkpointed, fresh, scratch, table
 from .words import mix, ngram_hashes, word_hashes
 
 K = 5
-SKETCHES = 24
-PICKS = 2
+SKETCHES = 16
 THRESHOLD = 0.8
-#: Texts of at most so many k-mers, where one edit touches a large share, get keys of a single pick too.
-SHORT = 64
-SPAN = 1 << 16
 #: Keys that are a single shingle each; the least hashes of a text, so that two texts pick alike.
-SINGLES = 32
+SINGLES = 24
 #: Buckets of at most so many texts are tried pair by pair.
 FEW = 16
-#: Keys that a text of a larger, mixed bucket gets besides.
+#: A text with fewer single keys than this outside larger buckets gets further keys.
+COLD = 16
+#: Keys that such a text gets.
 FURTHER = 256
+#: Texts of a larger bucket that the crowded ones meet in a first round; so many times more in every further one.
+MEMBERS = 16
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
-_SEEDS = np.frombuffer(hashlib.shake_128(b"order-minhash").digest(16 * SKETCHES), "<u8").reshape(2, SKETCHES).copy()
-_TOP = np.uint64(2**64 - 1)
+#: Nodes (16 bytes each) whose texts are wanted may be broadcast up to so many; beyond, words are shuffled.
+WANTED = 1_000_000
 
 
 def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -88,43 +94,28 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def order_keys(words: np.ndarray, k: int = K) -> np.ndarray | None:
-    """The bucket keys of a text: one a sketch, one for each pair of sketches, for short texts one a pick."""
+    """The Order MinHash keys of a text, one a bin that has k-mers; None without words.
+
+    They are odd numbers, the keys of single shingles are even ones.
+    """
     h = labelled_kmers(words, k)
     if not len(h):
         return None
-    best = np.full((SKETCHES, PICKS), _TOP, np.uint64)
-    value = np.zeros((SKETCHES, PICKS), np.uint64)
-    place = np.full((SKETCHES, PICKS), -1, np.int64)
-    for lo in range(0, len(h), SPAN):
-        part = h[lo : lo + SPAN]
-        rank = (part[None, :] ^ _SEEDS[0][:, None]) * (_SEEDS[1] | np.uint64(1))[:, None]
-        rank ^= rank >> np.uint64(32)
-        rows = np.arange(SKETCHES)
-        picked = []
-        for _ in range(min(PICKS, len(part))):
-            at = rank.argmin(1)
-            picked.append((rank[rows, at], part[at], at + lo))
-            rank[rows, at] = _TOP
-        r = np.concatenate([best, np.stack([x[0] for x in picked], 1)], 1)
-        v = np.concatenate([value, np.stack([x[1] for x in picked], 1)], 1)
-        p = np.concatenate([place, np.stack([x[2] for x in picked], 1)], 1)
-        keep = np.argsort(r, axis=1, kind="stable")[:, :PICKS]
-        best, value, place = np.take_along_axis(r, keep, 1), np.take_along_axis(v, keep, 1), np.take_along_axis(p, keep, 1)
-    ordered = np.take_along_axis(value, np.argsort(place, axis=1, kind="stable"), 1)
-    key = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-    for i in range(PICKS):
-        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + ordered[:, i])
-    half = SKETCHES // 2
-    keys = [key, mix(key[:half] * np.uint64(0x8EBC6AF09C88C6E3) + key[half:])]
-    if len(h) <= SHORT:
-        keys.append(mix(value[np.arange(SKETCHES), best.argmin(1)] + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
-    return np.concatenate(keys)
+    place = np.argsort(h, kind="stable")
+    dealt = (h[place] % np.uint64(SKETCHES)).astype(np.int64)
+    order = np.argsort(dealt, kind="stable")
+    begin = np.searchsorted(dealt[order], np.arange(SKETCHES + 1))
+    bins = np.flatnonzero(begin[1:] > begin[:-1])
+    first = place[order[begin[bins]]]
+    second = place[order[np.minimum(begin[bins] + 1, begin[bins + 1] - 1)]]
+    key = mix(bins.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + h[np.minimum(first, second)])
+    return mix(key * np.uint64(0xD6E8FEB86659FD93) + h[np.maximum(first, second)]) | np.uint64(1)
 
 
 def shingle_keys(words: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` labelled k-mers of least hash."""
+    """The ``n`` labelled k-mers of least hash, as even numbers."""
     h = labelled_kmers(words)
-    return h if len(h) <= n else np.partition(h, n)[:n]
+    return (h if len(h) <= n else np.partition(h, n)[:n]) & ~np.uint64(1)
 
 
 def word_bag(words: np.ndarray) -> bytes:
@@ -168,17 +159,29 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """``(key, node)`` of the buckets of ``nodes(node, keys)`` that hold several texts."""
-    in_bucket = nodes.select("node", F.explode("keys").alias("key"))
-    shared = in_bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return in_bucket.join(shared, "key").select("key", "node")
+def bucketed(entries: DataFrame) -> DataFrame:
+    """``(key, id, n)`` of the entries whose key has n > 1 texts; stored."""
+    shared = _stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    return _stored(entries.join(shared, "key"), "buckets")
+
 
+def candidates(shared: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of small buckets, and of larger buckets' smallest texts with their others."""
+    hot = shared.where(F.col("n") > FEW)
+    least = checkpointed(hot.groupBy("key").agg(F.min("id").alias("a")))
+    star = hot.join(least, "key").where("id <> a").select("a", F.col("id").alias("b"))
+    # at most FEW ids each
+    ids = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    pair = F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, FEW), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
+    few = ids.select(pair.alias("p")).select("p.a", "p.b")
+    return star.union(few).distinct()
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of every bucket's smallest text with its others."""
-    least = entries.groupBy("key").agg(F.min("node").alias("a"))
-    return entries.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+def crowded(shared: DataFrame, nodes: DataFrame, keys: int) -> DataFrame:
+    """``(id, node, kmers)`` of the texts with fewer than ``COLD`` of at most ``keys`` single keys outside larger buckets."""
+    hot = shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
+    kmers = F.greatest(F.col("size") - (K - 1), F.lit(1))
+    return hot.join(nodes.select("id", "node", kmers.alias("kmers")), "id").where(F.least("kmers", F.lit(keys)) - F.col("hot") < COLD).select("id", "node", "kmers")
 
 
 def grown(found: DataFrame, new: DataFrame) -> DataFrame:
@@ -190,68 +193,65 @@ def grown(found: DataFrame, new: DataFrame) -> DataFrame:
     return checkpointed(found.join(over, "root", "left").select("node", F.coalesce("_over", "root").alias("root")).union(top))
 
 
-def mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """``(key, node, root, a_root, n)`` of the buckets that hold several classes of ``found(node, root)``."""
-    rooted = entries.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    of = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("root", "node").alias("a_root"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    return rooted.join(of.select("key", "n", "a_root"), "key").select("key", "node", "root", "a_root", "n")
-
-
-def all_pairs(entries: DataFrame) -> DataFrame:
-    """Distinct pairs across classes of every bucket of ``entries(key, node, root)``."""
-    other = entries.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    return entries.join(other, "key").where("node < b and root != b_root").select(F.col("node").alias("a"), "b").distinct()
+def across(hot: DataFrame, found: DataFrame, turn: int, members: int) -> DataFrame:
+    """Distinct pairs of about ``members`` texts a bucket, others each ``turn``, with its texts of other classes; of ``hot(key, id, node)``."""
+    rooted = checkpointed(hot.join(found, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root")))
+    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    live = checkpointed(rooted.join(checkpointed(mixed.select("key", "n")), "key"))
+    drawn = live.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), "n") < members).select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
+    return live.join(drawn, "key").where("root <> a_root").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Components ``(node, root)`` of ``nodes(node, keys, size, bag)`` by the links of all buckets."""
-    found = tried = crowded = None
-    keyed = nodes
-    for level in (0, 1):
-        waiting = checkpointed(buckets(keyed))
-        pairs, first = candidates(waiting), True
-        while True:
-            pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-            new = checkpointed(links(docs, pairs, nodes))
-            some = not new.isEmpty()
-            if found is None:
-                found = checkpointed(components(new))
-            elif some:
-                found = grown(found, new)
-            tried = pairs if tried is None else checkpointed(tried.union(pairs))
-            if not (first or some):
-                break
-            still = checkpointed(mixed(waiting, found))
-            crowd = still.where(F.col("n") > FEW)
-            if first and not level:
-                crowded = checkpointed(crowd.select("node").distinct())
-            # those that did not join the representative; the smallest of them is the next
-            waiting = checkpointed(crowd.where("root != a_root").select("key", "node"))
-            pairs, first = all_pairs(still.where(F.col("n") <= FEW)).union(candidates(waiting)).distinct(), False
-        if level or crowded.isEmpty():
+    """Components ``(node, root)`` of ``nodes(node, id, keys, size, bag)`` by the links of all buckets."""
+    texts = docs.select(node(F.col("text")).alias("node"), "text")
+    shared = bucketed(nodes.select("id", F.explode("keys").alias("key")))
+    pairs = checkpointed(candidates(shared))
+    verified = checkpointed(links(texts, pairs, nodes))
+    dense = _stored(crowded(shared, nodes, SINGLES), "crowded")
+    if dense.isEmpty():
+        return components(verified)
+    # from here on the crowded texts alone
+    texts, nodes = _stored(_chosen(texts, dense), "crowded-texts"), _stored(nodes.drop("keys").join(dense.select("id"), "id", "left_semi"), "crowded-nodes")
+    hidden = texts.join(dense.where(F.col("kmers") > SINGLES).select("id", "node"), "node").select("id", _further_udf("text").alias("keys"))
+    further = bucketed(hidden.select("id", F.explode("keys").alias("key")))
+    second = checkpointed(candidates(further).join(pairs, ["a", "b"], "left_anti"))
+    found = checkpointed(components(verified.union(checkpointed(links(texts, second, nodes)))))
+    still = crowded(further, nodes, FURTHER).union(dense.where(F.col("kmers") <= SINGLES))
+    hot = checkpointed(shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).join(checkpointed(still.select("id", "node")), "id").select("key", "id", "node"))
+    largest = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    turn, members = 0, MEMBERS
+    while largest > 1:
+        new = checkpointed(links(texts, checkpointed(across(hot, found, turn, members)), nodes))
+        if new.isEmpty():
+            break
+        found = grown(found, new)
+        if members >= largest:  # all pairs of different classes were tried
             break
-        texts = docs.select(node(F.col("text")).alias("node"), "text").join(broadcast_if_small(crowded), "node", "left_semi")
-        keyed = texts.select("node", _further_udf("text").alias("keys")).groupBy("node").agg(F.first("keys").alias("keys"))
+        turn, members = turn + 1, MEMBERS * members
     return found
 
 
-def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The candidate pairs that alignment confirms; sizes and word counts of ``nodes`` are compared first."""
-    counted = nodes.select("node", "size", "bag")
-    if pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2:
-        counted = counted.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-    of = lambda x: counted.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bag").alias(f"bag_{x}"))
+def _chosen(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row a node of ``texts(node, text)`` that is in ``wanted(node)``."""
+    some = texts.join(broadcast_if_small(wanted.select("node"), WANTED), "node", "left_semi")
+    return some.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def links(texts: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b)``, nodes of the pairs of ids that alignment confirms; sizes and word counts are compared first."""
+    of = lambda x: nodes.select(F.col("id").alias(x), F.col("node").alias(f"node_{x}"), F.col("size").alias(f"size_{x}"), F.col("bag").alias(f"bag_{x}"))
     limit = F.floor((1 - THRESHOLD) * F.greatest("size_a", "size_b") + 1e-9)
     near = pairs.join(of("b"), "b").join(of("a"), "a").where(F.abs(F.col("size_a") - F.col("size_b")) <= limit)
-    pairs = checkpointed(near.where(_bags_udf("bag_a", "bag_b", limit)).select("a", "b"))
-    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = docs.select(node(F.col("text")).alias("node"), "text")
+    near = checkpointed(near.where(_bags_udf("bag_a", "bag_b", limit)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    ends = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     once = lambda x: x.select("node", _words_udf("text").alias("words")).groupBy("node").agg(F.first("words").alias("words"))
-    few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    needed = _stored(once(texts.join(F.broadcast(ends), "node", "left_semi")) if few else once(texts).join(ends, "node", "left_semi"), "words")
+    few = ends.limit(WANTED + 1).count() <= WANTED
+    needed = once(texts.join(F.broadcast(ends), "node", "left_semi")) if few else once(texts).join(ends, "node", "left_semi")
+    needed = _stored(needed, "words")
     of_b = needed.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
     of_a = needed.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    return pairs.join(of_b, "b").join(of_a, "a").where(_similar_udf("words_a", "words_b")).select("a", "b")
+    return near.join(of_b, "b").join(of_a, "a").where(_similar_udf("words_a", "words_b")).select("a", "b")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -271,9 +271,11 @@ def classes(docs: DataFrame) -> DataFrame:
     ``root`` names the class (null for wordless texts); ``keep`` marks the rows
     that carry its smallest doc_id (all of them, should several rows share it).
     """
-    rows = _stored(docs.select("doc_id", node(F.col("text")).alias("node"), _sketch_udf("text").alias("s")).select("doc_id", "node", "s.keys", "s.size", "s.bag"), "sketches")
-    worded = rows.where("keys is not null")
-    nodes = _stored(worded.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bag").alias("bag")), "nodes")
+    rows = _stored(docs.select("doc_id", node(F.col("text")).alias("node"), wordless(F.col("text")).alias("bare")), "rows")
+    worded = rows.where("not bare")
+    sketched = docs.where(~wordless(F.col("text"))).select(node(F.col("text")).alias("node"), _sketch_udf("text").alias("s"))
+    once = sketched.groupBy("node").agg(F.first("s").alias("s"))
+    nodes = _stored(once.select("node", F.xxhash64("node").alias("id"), "s.keys", "s.size", "s.bag"), "nodes")
     found = all_links(docs, nodes)
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = checkpointed(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
@@ -281,7 +283,7 @@ def classes(docs: DataFrame) -> DataFrame:
     of_root = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("class_id")))
     of_node = rooted.select("node", "root").join(of_root, "root").select("node", "root", "class_id")
     with_class = worded.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "root", "class_id")
-    alone = rows.where("keys is null").select("doc_id", "node", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"))
+    alone = rows.where("bare").select("doc_id", "node", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"))
     return with_class.union(alone).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
