@@ -7,10 +7,10 @@ encodes it, gated attention weighs the encodings (softmax over the document of
 sum.  Only document labels are used; the attention finds the passages that
 decide.
 
-How it scales: the learner sees at most ``MAX_TRAIN`` labelled documents (those
-with the smallest hash of doc_id), reduced to at most ``TRAIN_PASSAGES``
-passage vectors each (evenly spaced ones of longer texts; scoring uses every
-passage).  It runs in one process, as the sample is bounded.  Scoring is one
+How it scales: the learner sees every passage of at most ``MAX_TRAIN`` labelled
+documents, those with the smallest hash of doc_id; documents that would bring
+the sample above ``MAX_PASSAGES`` passages are passed over whole.  It runs in
+one process, as the sample is bounded.  Scoring is one
 map over the documents: no shuffle, whole texts, and memory bounded by one
 Arrow batch, as texts pass through in pieces and attention is a running softmax.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import scratch, table
 from .toxicity import fold, labelled
 from .words import hash_spans, pieces, spans
 
@@ -42,7 +42,7 @@ SHAPES = 9
 WIDTH = PAIRS + SHAPES
 HIDDEN, GATE = 24, 12
 MAX_TRAIN = 3_000
-TRAIN_PASSAGES = 8
+MAX_PASSAGES = 60_000
 EPOCHS, RATE, DECAY, BATCH = 30, 3e-3, 1e-3, 64
 THRESHOLD = 0.3
 
@@ -175,11 +175,8 @@ class Model:
 
 
 def train_vectors(text: str | None) -> np.ndarray:
-    """Passage vectors for the learner, evenly thinned to ``TRAIN_PASSAGES``."""
-    x = np.concatenate(list(passage_vectors(text)))
-    if len(x) > TRAIN_PASSAGES:
-        x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).round().astype(int)]
-    return x
+    """The vectors of all passages of a text."""
+    return np.concatenate(list(passage_vectors(text)))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -187,9 +184,27 @@ def _train_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: train_vectors(t).astype("<f2").tobytes())
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN) -> Model:
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """The places of the bags that are taken one by one while their sum stays within ``most``."""
+    out, total = [], 0
+    for i, n in enumerate(sizes):
+        if total + n <= most:
+            out.append(i)
+            total += n
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN, passages: int = MAX_PASSAGES) -> Model:
     """Fit on a bounded sample of ``labels`` outside the held-out fold."""
-    sample = labelled(docs, labels, label, limit).select("rank", "doc_id", _train_udf("text").alias("x"), "y").toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
+    path = scratch(docs.sparkSession, "quality-sample")
+    labelled(docs, labels, label, limit).select("rank", "doc_id", _train_udf("text").alias("x"), "y").write.parquet(path)
+    sample = docs.sparkSession.read.parquet(path)
+    # at most limit rows of three numbers
+    sizes = sorted(map(tuple, sample.select("rank", "doc_id", F.octet_length("x") / (2 * WIDTH)).collect()))
+    taken = fitting([int(n) for _, _, n in sizes], passages)
+    if len(taken) < len(sizes):
+        sample = sample.where(F.col("doc_id").isin([sizes[i][1] for i in taken]))
+    sample = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     bags = [np.frombuffer(v.as_py(), "<f2").reshape(-1, WIDTH).astype(np.float32) for v in sample["x"]]
     return Model().fit(bags, np.asarray(sample["y"], np.float64))
 
