@@ -4,8 +4,9 @@ The rollup holds additive totals (documents, tokens) by source, language and
 tokenizer version.  A batch is a set of change rows ``(op, source, lang,
 tokenizer, n_tokens, old_tokens)``: ``insert`` adds, ``delete`` takes away,
 ``revise`` replaces an old count by a new one.  ``commit`` reduces a batch to
-signed sums and writes them under the batch's name; the totals are the sums
-over all committed batches.  A batch that is committed again is recognised by
+signed sums, writes them aside and moves them to the batch's name in one step,
+so of two writers of one name one wins; the totals are the sums over all
+committed batches.  A batch that is committed again is recognised by
 its name and leaves the totals as they are; a writer that dies leaves no marker
 and therefore no totals, and the batch can be committed anew.  ``compact``
 folds committed batches into a snapshot that remembers their names.
@@ -25,6 +26,7 @@ name, not its rows, is what makes it idempotent).  Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -118,24 +120,49 @@ class Rollup:
         """Add a batch unless its name is committed already; says whether it did."""
         if batch in self.batches():
             return False
-        signed(changes).select(*TOTALS.names).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
+        own = f"_{uuid.uuid4().hex}"
+        signed(changes).select(*TOTALS.names).coalesce(1).write.parquet(f"{self.path}/pending/{own}")
+        written, target = self._at(f"{self.path}/pending/{own}"), self._at(f"{self.path}/batches/{batch}")
+        if batch in self.batches():
+            self._fs.delete(written, True)
+            return False
+        if self._fs.exists(target) and not self._fs.exists(self._at(f"{target}/_SUCCESS")):
+            self._fs.delete(target, True)
+        self._fs.mkdirs(target.getParent())
+        self._fs.rename(written, target)
+        # where another writer's folder was there by then, ours went into it, under a name that readers pass over
+        late = self._at(f"{target}/{own}")
+        if self._fs.exists(late):
+            self._fs.delete(late, True)
+            return False
         return True
 
     def totals(self) -> DataFrame:
         """The current totals; groups without a document or token are left out."""
-        s = self._snapshot()
+        return self._summed(*self._state())
+
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """The newest snapshot, the batches folded into it, and those that came since."""
+        done, s = self._done("batches"), self._snapshot()
         folded = {r["batch"] for r in self.spark.read.parquet(f"{self.path}/folded/{s}").collect()} if s is not None else set()
-        paths = [f"{self.path}/batches/{b}" for b in self._done("batches") if b not in folded]
+        return s, folded, [b for b in done if b not in folded]
+
+    def _summed(self, s: str | None, folded: set[str], since: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batches/{b}" for b in since]
         paths += [f"{self.path}/snapshots/{s}"] if s is not None else []
         rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot; the old files may go afterwards."""
-        names = sorted(self.batches())
-        name = f"{int(self._snapshot() or 0) + 1:010d}"
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/{name}")
-        self.totals().select(*TOTALS.names).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
+        """Fold the batches committed so far into a new snapshot; the old files may go afterwards.
+
+        Sums and names come from one listing, so a batch that is committed
+        meanwhile is in neither.  One process at a time may compact.
+        """
+        s, folded, since = self._state()
+        name = f"{int(s or 0) + 1:010d}"
+        self.spark.createDataFrame([(n,) for n in sorted({*folded, *since})], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/{name}")
+        self._summed(s, folded, since).select(*TOTALS.names).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
 
 
 def changes(docs: DataFrame, op: str, tokenizer: str, n_tokens: Column, old_tokens: Column | None = None) -> DataFrame:
