@@ -14,17 +14,19 @@ rendered text that the turn adds, with headers, inserted empty turns, and the
 end mark of the turn before.  A conversation's rendering is its segments in
 order, so no conversation is ever assembled in one row or task.
 
-How it scales: rows are range-partitioned and sorted by (conv_id, turn), which
-splits a conversation that holds a third of all rows over many partitions.  A
+How it scales: rows are range-partitioned and sorted by one and the same order,
+which splits a conversation that holds a third of all rows over many partitions,
+equal rows too.  A
 part of a split conversation acts on the four states as a (min, +) matrix; the
 first pass sends one matrix a split end, at most two a partition, and the
 driver chains them to fix every part's first and last state; the second pass
 runs the programme within each part.  Both passes read one checkpoint.
 
 Defined results: conv_id null is a conversation of its own; null turns come
-first; equal (conv_id, turn) are ordered by role, then text; a null or unknown
-role is guessed; a null text renders as empty; repeated rows are turns of their
-own; an empty table gives an empty result.  Only the four columns are kept.
+first; equal (conv_id, turn) are ordered by role, then by the text's first
+``PREFIX`` characters, then by a hash of the text; a null or unknown role is
+guessed; a null text renders as empty; repeated rows are turns of their own (wholly
+equal ones are interchangeable and may be split anywhere); an empty table gives an empty result.  Only the four columns are kept.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 RELABEL, GUESS, MERGE, INSERT = 4, 1, 1, 3
 NEVER = 10**9
+PREFIX = 64
 HEAD, TAIL = "<|im_start|>{}\n", "<|im_end|>\n"
 
 RESULT = T.StructType(
@@ -199,8 +202,9 @@ def repair(conversations: DataFrame) -> DataFrame:
     """Repaired turns of ``conversations(conv_id, turn, role, text)``, in the form of ``RESULT``."""
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
     whole = F.coalesce(F.col("turn").cast("string"), F.lit(""))
-    ordered = ["conv_id", "turn", "role", F.xxhash64("text")]
-    rows = conversations.select("conv_id", "turn", "role", "text").repartitionByRange(*ordered).sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = ["conv_id", "turn", "role", "_head", "_hash"]
+    placed = conversations.select("conv_id", "turn", "role", "text", F.substring("text", 1, PREFIX).alias("_head"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_any"))
+    rows = placed.repartitionByRange(*ordered, "_any").sortWithinPartitions(*ordered)
     rows = checkpointed(rows.select(key.alias("key"), whole.alias("turn"), "role", "text"))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
