@@ -14,8 +14,9 @@ containment is exact.
 
 How it scales: documents pass once through a map, whole, in their own rows,
 without a shuffle; what a task holds is one block of items of at most
-``BLOCK_WORDS`` words.  More items than that make more blocks, each with a pass
-of its own, so neither driver nor task ever holds the whole benchmark.
+``BLOCK_WORDS`` words.  More items than that make more blocks, each with a job
+of its own that stores the leaks by text and lets the block go before the next
+is read, so neither driver nor task ever holds the whole benchmark.
 
 Defined results: texts without ``SHINGLE`` words (null and empty ones too)
 neither leak nor hold leaks; repeated documents and repeated items each count
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, table
+from .near_dup import node
+from .shared import broadcast_if_small, checkpointed, fresh, scratch, table
 from .words import WORD_PATTERN, mix, ngram_hashes, word_hashes
 
 SHINGLE = 5
@@ -135,11 +137,26 @@ def with_leaks(docs: DataFrame, items: DataFrame, column: str = "leaks", n: int
     """``docs`` with an array of ``(item_id, shared, shingles)`` a row."""
     sc = docs.sparkSession.sparkContext
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()]
-    out = docs.select(*kept, F.array().cast(LEAKS).alias(column))
-    for block in blocks(items, n, threshold, block_words):
-        more = fresh(out, "_more")
-        out = out.withColumn(more, _search(sc.broadcast(block))(F.col("text"))).withColumn(column, F.concat(column, more)).drop(more)
-    return out
+    ahead = blocks(items, n, threshold, block_words)
+    block, after = next(ahead, None), next(ahead, None)
+    if block is None:
+        return docs.select(*kept, F.array().cast(LEAKS).alias(column))
+    if after is None:
+        return docs.select(*kept, _search(sc.broadcast(block))(F.col("text")).alias(column))
+    path, k = scratch(docs.sparkSession, "leaks"), 0
+    while block is not None:
+        held = sc.broadcast(block)
+        found = docs.where(F.col("text").isNotNull()).select(node(F.col("text")).alias("node"), _search(held)(F.col("text")).alias("leaks")).where(F.size("leaks") > 0)
+        found.groupBy("node").agg(F.first("leaks").alias("leaks")).select("node", F.lit(k).alias("block"), "leaks").write.parquet(f"{path}/{k}")
+        held.destroy()
+        block, after, k = after, next(ahead, None), k + 1
+    stored = docs.sparkSession.read.parquet(*[f"{path}/{i}" for i in range(k)])
+    # as many entries a text as there are blocks
+    by_text = stored.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("block", "leaks"))).alias("found"))
+    of, more = fresh(docs, "_of"), fresh(docs, "_more")
+    by_text = broadcast_if_small(checkpointed(by_text.select(F.col("node").alias(of), F.flatten(F.transform("found", lambda x: x["leaks"])).alias(more))))
+    joined = docs.join(by_text, node(F.col("text")) == F.col(of), "left")
+    return joined.select(*kept, F.coalesce(F.col(more), F.array().cast(LEAKS)).alias(column))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
