@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = sc._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lorespark-")
         sc.setCheckpointDir(found)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
