@@ -112,3 +112,13 @@ def test_odd_rows(spark):
     assert next(r for r in got if r["turn"] == 2)["new_role"] == "assistant"
     assert [r["inserted"] for r in got if r["conv_id"] is None] == [1]
     assert chat.repair(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ties_and_equal_rows_do_not_depend_on_the_cuts(spark, many_parts):
+    rng = random.Random(8)
+    rows = [(1, 5, rng.choice([*ROLES, None]), rng.choice(["same text", "another", "x" * 80 + str(k % 5), None]), None, 1) for k in range(900)]
+    view = lambda df: sorted((tuple(r) for r in chat.repair(df).collect()), key=repr)
+    split = view(spark.createDataFrame(rows, SCHEMA))
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    assert view(spark.createDataFrame(rows, SCHEMA)) == split

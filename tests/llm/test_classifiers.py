@@ -132,3 +132,20 @@ def test_attention_finds_the_deciding_passage():
         p = 1 / (1 + np.exp(-((a / a.sum()) @ h @ model.p["c"] + model.p["d"][0])))
         hits += (p >= 0.5) == want
     assert hits >= 90
+
+
+def test_the_learner_sees_every_passage_of_a_long_text(spark):
+    plain_, deciding = "the quiet river runs along the old stone wall ", "zq9x ##7! zq9x ##7! kk0 "
+    far = plain_ * 150 + deciding * 20 + plain_ * 150
+    x = quality.train_vectors(far)
+    assert len(x) == sum(len(v) for v in quality.passage_vectors(far)) > 25
+    assert abs(x - quality.train_vectors(plain_ * 300)[: len(x)].mean(0)).max() > 0.2
+    docs = spark.createDataFrame([(i, (far if i % 2 else plain_ * 320) + str(i)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+
+
+def test_a_document_above_the_passage_bound_is_passed_over_whole():
+    assert quality.fitting([3, 50, 4, 2, 9], 10) == [0, 2, 3]

@@ -86,3 +86,33 @@ def test_query_against_plain_totals(spark, sf):
         want[source, lang] = n + 1, m + count(text)
     got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in tc.query(spark, sf).collect()}
     assert got == want
+
+
+def test_a_batch_that_comes_while_another_process_compacts_counts_once(spark, tmp_path, monkeypatch):
+    rollup = tc.Rollup(spark, f"file://{tmp_path}/r")
+    one = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None, 1)], CHANGES)
+    rollup.commit("b0", one(5))
+    state = rollup._state
+
+    def late():
+        found = state()
+        tc.Rollup(spark, f"file://{tmp_path}/r").commit("b1", one(7))
+        return found
+
+    monkeypatch.setattr(rollup, "_state", late)
+    rollup.compact()
+    monkeypatch.undo()
+    assert totals(rollup) == {("a", "en", "v1"): (2, 12)} and rollup.batches() == {"b0", "b1"}
+
+
+def test_the_later_of_two_writers_of_one_name_loses(spark, tmp_path, monkeypatch):
+    first, second = (tc.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    one = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None, 1)], CHANGES)
+    monkeypatch.setattr(second, "batches", lambda: set())
+    assert first.commit("b", one(5)) and not second.commit("b", one(7))
+    assert totals(first) == {("a", "en", "v1"): (1, 5)}
+
+
+def test_query_on_an_empty_table(spark, sf, tmp_path):
+    table(spark, sf, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert tc.query(spark, str(tmp_path)).collect() == []
