@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed
+from .graph import with_seq
+
 RESOLVED = ["source_file", "source_symbol", "edge_type", "target_file", "target_symbol", "line", "provenance", "via", "language"]
 
 
@@ -139,15 +142,63 @@ def as_graph(edges: DataFrame) -> DataFrame:
     node = lambda side: F.concat_ws("#", F.col(f"{side}_file"), F.col(f"{side}_symbol"))
     target = F.when(F.col("edge_type") == "imports", F.col("target_file")).otherwise(node("target"))
     rows = edges.select(node("source").alias("src"), target.alias("dst"), "edge_type", "provenance", "line")
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy("src", "dst", "edge_type", "line")))
+    return with_seq(rows, "src", "dst", "edge_type", "line")
+
+
+def has_file(edges: DataFrame, file: str) -> bool:
+    return not edges.where((F.col("source_file") == file) | (F.col("target_file") == file)).isEmpty()
+
+
+def has_symbol(edges: DataFrame, file: str, symbol: str) -> bool:
+    at = lambda side: (F.col(f"{side}_file") == file) & (F.col(f"{side}_symbol") == symbol)
+    return not edges.where(at("source") | at("target")).isEmpty()
+
+
+def affected_code(edges: DataFrame, node: str, max_depth: int = 10) -> DataFrame:
+    """What breaks with ``file#symbol``, a file, or a bare symbol name: ``(id, depth, via)``, over edges of all types.
+
+    A file node takes the edges into any of its symbols.  Sources of edges are
+    ``file#symbol``, or the file where the edge has no symbol.  ``via`` is the
+    node that was reached before.
+    """
+    spark = edges.sparkSession
+    at = lambda side: F.concat_ws("#", F.col(f"{side}_file"), F.nullif(F.col(f"{side}_symbol"), F.lit("")))
+    target = F.when(F.col("edge_type") == "imports", F.col("target_file")).otherwise(at("target"))
+    links = edges.select(at("source").alias("id"), F.explode(F.array_distinct(F.array(target, F.col("target_file")))).alias("into")).distinct()
+    if "#" not in node and not has_file(edges, node):
+        starts = edges.where((F.col("target_symbol") == node) & (F.col("edge_type") != "imports")).select(at("source").alias("id")).distinct()
+        seen = checkpointed(starts.select("id", F.lit(1).alias("depth"), F.lit(node).alias("via")))
+        first = 2
+    else:
+        seen = checkpointed(spark.createDataFrame([(node, 0, None)], "id string, depth int, via string"))
+        first = 1
+    for d in range(first, max_depth + 1):
+        front = seen.where(F.col("depth") == d - 1).select(F.col("id").alias("into"))
+        new = front.join(links, "into").groupBy("id").agg(F.min("into").alias("via")).join(seen.select("id"), "id", "left_anti")
+        new = checkpointed(new.select("id", F.lit(d).alias("depth"), "via"))
+        if new.isEmpty():
+            break
+        seen = checkpointed(seen.unionByName(new))
+    return seen.where(F.col("depth") > 0).orderBy("id")
+
+
+def search_edges(edges: DataFrame, edge_type: str, pattern: str = "", path: str | None = None, extension: str | None = None, limit: int | None = 30) -> DataFrame:
+    """Resolved edges of a type whose "source symbol target" text contains ``pattern``, by folder and extension of the source file."""
+    words = F.concat_ws(" ", "source_file", "source_symbol", "target_symbol")
+    out = edges.where((F.col("edge_type") == edge_type) & F.contains(words, F.lit(pattern)))
+    if path is not None:
+        out = out.where(F.startswith("source_file", F.lit(path.rstrip("/") + "/")))
+    if extension is not None:
+        out = out.where(F.endswith("source_file", F.lit("." + extension)))
+    return out if limit is None else out.orderBy("source_file", "line", "target_symbol").limit(limit)
 
 
-def grep(files: DataFrame, pattern: str, limit: int = 30, language: str | None = None) -> DataFrame:
-    """First match a line in path and line order: ``(path, line, text, match)``."""
+def grep(files: DataFrame, pattern: str, limit: int | None = 30, language: str | None = None) -> DataFrame:
+    """First match a line, ``(path, line, text, match)``; in path and line order up to a limit, all without one."""
     rows = files if language is None else files.where(F.col("language") == language)
     lines = rows.select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "text"))
     hits = lines.where(F.rlike("text", F.lit(pattern))).select("path", (F.col("line") + 1).alias("line"), "text", F.regexp_extract("text", f"({pattern})", 1).alias("match"))
-    return hits.orderBy("path", "line").limit(limit)
+    return hits if limit is None else hits.orderBy("path", "line").limit(limit)
 
 
 def index_stats(before: DataFrame, changed: DataFrame, symbols: DataFrame, deps: DataFrame, edges: DataFrame) -> DataFrame:

@@ -15,14 +15,27 @@ from ..functions import scoring
 from ..sources.store import checkpointed
 
 IMPACT = ("depends_on", "extends")
+#: Characters by which names that contain each other meet.
+GRAM = 6
 
 
 # ---- building ----------------------------------------------------------------
 
 
+def with_seq(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``seq``, each row's place from 1 in an order: places within range partitions, after the rows of those before."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = checkpointed(placed.select("*", F.spark_partition_id().alias("_part"), row.alias("_row")))
+    # one row a partition
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_row") + 1).alias("seq"))
+
+
 def numbered(pages: DataFrame) -> DataFrame:
     """Pages with ``seq``, their place in id order."""
-    return pages.withColumn("seq", F.row_number().over(Window.orderBy("id")))
+    return with_seq(pages, "id")
 
 
 def mentions(pages: DataFrame) -> DataFrame:
@@ -33,44 +46,51 @@ def mentions(pages: DataFrame) -> DataFrame:
     return own.unionByName(body.join(said, ["src", "target"], "left_anti"))
 
 
-def _keys(pages: DataFrame) -> DataFrame:
-    """Every name under which a page may be meant: ``(key, id, seq)``."""
-    names = F.array_union(F.array(F.col("id"), F.element_at(F.split("id", ":"), -1), F.lower("title"), F.replace(F.lower("title"), F.lit(" "), F.lit("-"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))
-    return pages.select("id", "seq", F.explode(F.array_distinct(names)).alias("key")).where("key <> ''")
+def _plain(c: Column | str) -> Column:
+    """Lower case, dashes as spaces."""
+    return F.replace(F.lower(c), F.lit("-"), F.lit(" "))
+
+
+def _grams(c: str) -> Column:
+    """Distinct parts of a name of up to ``GRAM`` characters."""
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), of_length)))
 
 
 def resolve(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """Edges for mentions: exact id first, else any page that the target names (the first in id order; several make it ambiguous).
+    """Edges for mentions: an exact id first, else every page that the target may mean.
 
-    The equality cases are equi-joins on the exploded names; only targets that
-    none of them answers are tried as parts of ids and titles, by trigram keys
-    of the target's first characters.
+    These are pages with the target as id or last part of it, as title or alias
+    (dashes count as spaces), with a title that contains it or that it contains.
+    The first in id order is meant; several make the edge ambiguous.  Equalities
+    are equi-joins; parts meet by their first ``GRAM`` characters, so a pair is
+    compared only if one name holds the other's beginning.
     """
     exact = F.replace("target", F.lit("/"), F.lit(":"))
     ids = pages.select(F.col("id").alias("_id"))
     first = found.withColumn("_exact", exact)
     direct = first.join(ids, F.col("_exact") == F.col("_id"), "left_semi")
     direct = direct.select("src", "edge_type", "ord", F.col("_exact").alias("dst"), F.lit("explicit").alias("provenance"))
-    open_ = first.join(ids, F.col("_exact") == F.col("_id"), "left_anti").select("src", "edge_type", "target", "ord")
-    wanted = open_.withColumn("key", F.explode(F.array_distinct(F.array(F.col("target"), F.lower("target"), F.replace(F.lower("target"), F.lit(" "), F.lit("-"))))))
-    named = wanted.join(_keys(pages), "key").select("src", "edge_type", "target", "ord", "id", "seq").distinct()
-    rest = open_.join(named.select("src", "ord").distinct(), ["src", "ord"], "left_anti").where(F.length("target") >= 3)
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    names = pages.select("id", "seq", F.explode(F.array(F.lower("id"), F.lower("title"))).alias("name"))
-    shingled = names.select("id", "seq", "name", F.explode(F.array_distinct(grams(F.col("name")))).alias("gram"))
-    inside = rest.withColumn("low", F.lower("target")).withColumn("gram", F.substring("low", 1, 3)).join(shingled, "gram").where(F.contains("name", "low")).select("src", "edge_type", "target", "ord", "id", "seq").distinct()
-    fuzzy = named.unionByName(inside)
-    one = fuzzy.groupBy("src", "edge_type", "target", "ord").agg(F.min_by("id", "seq").alias("dst"), F.count_distinct("id").alias("n"))
-    loose = one.select("src", "edge_type", "ord", "dst", F.when(F.col("n") > 1, "ambiguous").otherwise("explicit").alias("provenance"))
-    return direct.unionByName(loose)
+    open_ = first.join(ids, F.col("_exact") == F.col("_id"), "left_anti").select("src", "edge_type", "ord", F.lower("target").alias("low"), _plain("target").alias("name")).where("name <> ''")
+    keep = ["src", "edge_type", "ord", "id", "seq"]
+    of_id = pages.select("id", "seq", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower(F.element_at(F.split("id", ":"), -1))))).alias("low"))
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), _plain)
+    named = pages.select("id", "seq", F.explode(F.array_union(F.array(_plain("title")), aliases)).alias("name"))
+    titles = pages.select("id", "seq", _plain("title").alias("title")).where("title <> ''")
+    wide = open_.withColumn("gram", F.substring("name", 1, GRAM)).join(titles.select("*", F.explode(_grams("title")).alias("gram")), "gram").where(F.contains("title", "name"))
+    narrow = open_.select("*", F.explode(_grams("name")).alias("gram")).join(titles.withColumn("gram", F.substring("title", 1, GRAM)), "gram").where(F.contains("name", "title"))
+    meant = open_.join(of_id, "low").select(*keep)
+    for more in (open_.join(named, "name"), wide, narrow):
+        meant = meant.unionByName(more.select(*keep))
+    one = meant.groupBy("src", "edge_type", "ord").agg(F.min_by("id", "seq").alias("dst"), F.count_distinct("id").alias("n"))
+    return direct.unionByName(one.select("src", "edge_type", "ord", "dst", F.when(F.col("n") > 1, "ambiguous").otherwise("explicit").alias("provenance")))
 
 
 def build_edges(pages: DataFrame, custom_types: tuple[str, ...] = ()) -> DataFrame:
     """The stored edges of ``pages``; unresolved targets and unregistered types give none."""
     known = [*scoring.EDGE_PRIORITY, *custom_types]
     found = resolve(mentions(pages).where(F.col("edge_type").isin(*known)), numbered(pages))
-    order = Window.orderBy("src", "ord", "dst")
-    return found.select("src", "dst", "edge_type", "provenance", F.row_number().over(order).alias("seq"))
+    return with_seq(found, "src", "ord", "dst").select("src", "dst", "edge_type", "provenance", "seq")
 
 
 def unresolved(pages: DataFrame) -> DataFrame:
@@ -190,26 +210,58 @@ def directed_neighbors(edges: DataFrame, node: str) -> DataFrame:
 # ---- cycles ----------------------------------------------------------------
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """What remains of the edges when nodes without in- or out-edges are peeled away, again and again."""
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges whose source has edges in and whose target has edges out."""
+    return edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """What remains of the edges when nodes without in- or out-edges are peeled away until nothing changes.
+
+    The rounds follow the longest tail of a graph with cycles; one without is
+    empty at once.
+    """
     now = checkpointed(edges.select("src", "dst").distinct())
+    if not has_cycle(now):
+        return now.limit(0)
     size = now.count()
-    for _ in range(rounds):
-        if not size:
-            break
-        now = checkpointed(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    while True:
+        now = checkpointed(_peeled(now))
         left = now.count()
         if left == size:
-            break
+            return now
         size = left
-    return now
+
+
+def _bridged(edges: DataFrame) -> DataFrame:
+    """Edges after some nodes with one edge in and one out gave way to an edge past them; no two neighbours at once."""
+    into = edges.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("a")).where("n = 1").drop("n")
+    out = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("b")).where("n = 1").drop("n")
+    single = checkpointed(into.join(out, "v").select("v", "a", "b", F.xxhash64("v").alias("h")))
+    of = lambda x: single.select(F.col("v").alias(x), F.col("h").alias(f"h{x}"))
+    least = (F.col("ha").isNull() | (F.col("h") < F.col("ha"))) & (F.col("hb").isNull() | (F.col("h") < F.col("hb")))
+    gone = checkpointed(single.join(of("a"), "a", "left").join(of("b"), "b", "left").where(least).select("v", "a", "b"))
+    nodes = gone.select("v")
+    stay = edges.join(nodes.withColumnRenamed("v", "src"), "src", "left_anti").join(nodes.withColumnRenamed("v", "dst"), "dst", "left_anti")
+    return stay.select("src", "dst").union(gone.select("a", "b")).distinct()
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    return not cyclic_core(edges).isEmpty()
+    """Whether the edges close a cycle; chains shrink by a share every round, so their length doesn't count."""
+    now = checkpointed(edges.select("src", "dst").distinct())
+    size = now.count()
+    while size:
+        if not now.where("src = dst").isEmpty():
+            return True
+        now = checkpointed(_bridged(checkpointed(_peeled(now))))
+        left = now.count()
+        if left == size:
+            return True
+        size = left
+    return False
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of nodes on cycles, by forward and backward colouring.
 
     Every node takes the largest id that reaches it; the nodes of a colour that
@@ -217,9 +269,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """
     left = cyclic_core(edges)
     found = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         colour = checkpointed(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")))
         while True:
             pushed = left.join(colour, left["src"] == colour["id"]).select(F.col("dst").alias("id"), "colour")
