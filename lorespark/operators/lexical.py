@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..sources.store import stored
 
 #: A set of queries above so many terms is joined by shuffle instead of broadcast.
 BROADCAST_TERMS = 100_000
@@ -29,6 +30,7 @@ class Index:
     frequencies: DataFrame
     lengths: DataFrame
     total: DataFrame
+    stems: bool = False
 
     def persist(self, path: str) -> Index:
         """The index as Parquet tables, postings range-sorted by term for min/max pruning."""
@@ -36,15 +38,19 @@ class Index:
         parts = {"postings": self.postings.repartitionByRange("term").sortWithinPartitions("term"), "frequencies": self.frequencies, "lengths": self.lengths, "total": self.total}
         for name, df in parts.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in parts))
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in parts), stems=self.stems)
 
 
-def term_frequencies(fields: DataFrame, tokens: Column | None = None, stems: bool = False) -> DataFrame:
-    """Postings of every field; with stems, a part's stem counts beside it where it differs."""
+def term_frequencies(fields: DataFrame, tokens: Column | None = None, stems: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """Postings of every field, or of the terms in ``only(term)``; with stems, a part's stem counts beside it where it differs."""
+    if stems and only is not None:
+        raise ValueError("stems lengthen fields, so all terms are needed")
     tokens = text.code_tokens("text") if tokens is None else tokens
     rows = fields.select("doc_id", "field", F.col("weight").cast("double").alias("weight"), tokens.alias("tokens"))
     rows = rows.withColumn("length", F.size("tokens"))
-    counted = rows.select("doc_id", "field", "weight", "length", F.explode("tokens").alias("term")).groupBy("doc_id", "field", "weight", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    said = rows.select("doc_id", "field", "weight", "length", F.explode("tokens").alias("term"))
+    said = said if only is None else said.join(_small(only.select("term").distinct()), "term", "left_semi")
+    counted = said.groupBy("doc_id", "field", "weight", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     if not stems:
         return counted
     parts = counted.where(~F.rlike(F.col("term"), F.lit(r"[_\-]")))
@@ -57,11 +63,19 @@ def term_frequencies(fields: DataFrame, tokens: Column | None = None, stems: boo
     return longer.select("doc_id", "field", "weight", "length", "term", "tf")
 
 
-def build_index(fields: DataFrame, tokens: Column | None = None, stems: bool = False) -> Index:
-    postings = term_frequencies(fields, tokens, stems)
+def build_index(fields: DataFrame, tokens: Column | None = None, stems: bool = False, only: DataFrame | None = None) -> Index:
+    """The index of ``fields``; with ``only(term)`` the part that queries of these terms need, without shuffling other terms.
+
+    Postings are counted once and stored, as everything else is read from them.
+    """
+    postings = stored(term_frequencies(fields, tokens, stems, only), "postings")
     frequencies = postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = postings.select("doc_id", "field", "length").distinct().groupBy("field").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("docs"))
-    return Index(postings, frequencies, lengths, fields.agg(F.count_distinct("doc_id").alias("n")))
+    if stems:
+        per = postings.select("doc_id", "field", "length").distinct()
+    else:
+        per = fields.select("field", F.size(text.code_tokens("text") if tokens is None else tokens).alias("length")).where("length > 0")
+    lengths = per.groupBy("field").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("docs"))
+    return Index(postings, frequencies, lengths, fields.agg(F.count_distinct("doc_id").alias("n")), stems)
 
 
 def query_terms(queries: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -149,10 +163,10 @@ def merge_statistics(old: Index, removed: DataFrame, added: DataFrame) -> Index:
 
     A changed document is in both frames.
     """
-    minus, plus = build_index(removed), build_index(added)
+    minus, plus = build_index(removed, stems=old.stems), build_index(added, stems=old.stems)
     postings = old.postings.join(removed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(plus.postings)
     signed = lambda a, b, keys, values: a.unionByName(b.select(*keys, *[(-F.col(v)).alias(v) for v in values]))
     freq = signed(old.frequencies.unionByName(plus.frequencies), minus.frequencies, ["term"], ["df"]).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     lens = signed(old.lengths.unionByName(plus.lengths), minus.lengths, ["field"], ["total", "docs"]).groupBy("field").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).where("docs > 0")
     n = signed(old.total.unionByName(plus.total), minus.total, [], ["n"]).agg(F.sum("n").alias("n"))
-    return Index(postings, freq, lens, n)
+    return Index(postings, freq, lens, n, old.stems)
