@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..sources.store import scratch
 
 
 def top_k_cosine(vectors: DataFrame, query: list[float] | Column, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -14,31 +17,61 @@ def top_k_cosine(vectors: DataFrame, query: list[float] | Column, k: int, vec_id
     return vectors.select(vec_id, scoring.cosine(q, F.col(vector)).alias("score")).orderBy(F.desc("score"), vec_id).limit(k)
 
 
-def top_k_cosine_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """Best ``k`` of ``vectors(vec_id, embedding)`` for each of ``queries(query_id, q)``, in blocks of queries.
+def top_k_cosine_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``, the best ``k`` of ``vectors(vec_id, embedding)`` for each of ``queries(query_id, q)``.
 
-    A block is a literal in the scan; every task keeps its own best ``k`` a query
-    by a partial aggregate, so what is shuffled is tasks x queries x k rows.
+    Queries are taken in blocks of bounded size, one pass over all vectors a
+    block: every task multiplies its batches with the block and keeps its own
+    best ``k`` a query, so what is shuffled is tasks x queries x k rows.  Each
+    block's result is stored before the next block is read.  Scores are rounded
+    to 12 places, so that equal vectors tie; ties go by id.
     """
-    found = None
-    held: list = []
-    rows = queries.select("query_id", "q").toLocalIterator()
-
-    def scan(block_rows: list) -> DataFrame:
-        spark = vectors.sparkSession
-        q = F.broadcast(spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in block_rows], "query_id long, q array<double>"))
-        scored = vectors.join(q, F.lit(True)).select("query_id", "vec_id", scoring.cosine("q", "embedding").alias("score"))
+    spark = vectors.sparkSession
+    out, n, held = scratch(spark, "nearest"), 0, []
+
+    def scan(rows: list) -> None:
+        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        shared = spark.sparkContext.broadcast((ids, q))
+
+        def best(batches):
+            query_ids, matrix = shared.value
+            top, who = np.full((len(query_ids), 0), -1.0), np.zeros((len(query_ids), 0), np.int64)
+            for pdf in batches:
+                if len(pdf):
+                    score = np.round(np.clip(matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 0, 1), 12)
+                    top, who = np.concatenate([top, score], 1), np.concatenate([who, np.broadcast_to(pdf["vec_id"].to_numpy(np.int64), score.shape)], 1)
+                    order = np.lexsort((who, -top), axis=1)[:, :k]
+                    top, who = np.take_along_axis(top, order, 1), np.take_along_axis(who, order, 1)
+            yield pd.DataFrame({"query_id": np.repeat(query_ids, top.shape[1]), "vec_id": who.ravel(), "score": top.ravel()})
+
+        scored = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+        scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).write.parquet(f"{out}/{n}")
+        shared.destroy()
 
-    for r in rows:
-        held.append(r)
+    for r in queries.select("query_id", "q").toLocalIterator():
+        held.append((r[0], [float(x) for x in r[1]]))
         if len(held) == block:
-            found = scan(held) if found is None else found.unionByName(scan(held))
-            held = []
-    if held or found is None:
-        found = scan(held) if found is None else found.unionByName(scan(held))
-    return found
+            scan(held)
+            held, n = [], n + 1
+    if held or not n:
+        scan(held)
+        n += 1
+    return spark.read.parquet(*[f"{out}/{i}" for i in range(n)])
+
+
+def union_lists(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(id, score)`` of the first list, then of the second what the first lacks."""
+    return first.select("id", "score").unionByName(second.select("id", "score").join(first.select("id"), "id", "left_anti"))
+
+
+def mean_pooling(tokens: Column | str, mask: Column | str) -> Column:
+    """The mean of token vectors whose mask is not 0, as a unit vector; zeros where all are masked."""
+    t, m = (F.col(c) if isinstance(c, str) else c for c in (tokens, mask))
+    live = F.transform(F.filter(F.arrays_zip(t.alias("t"), m.alias("m")), lambda z: z["m"] != 0), lambda z: z["t"])
+    dims = F.sequence(F.lit(1), F.size(F.element_at(t, 1)))
+    mean = F.transform(dims, lambda d: F.aggregate(live, F.lit(0.0), lambda acc, v: acc + F.element_at(v, d).cast("double")) / F.greatest(F.size(live), F.lit(1)))
+    return scoring.unit(mean)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
