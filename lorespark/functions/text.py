@@ -240,7 +240,7 @@ def wikilinks(text: Column | str) -> Column:
 
 def inline_tags(text: Column | str) -> Column:
     """``#tags`` of more than one character outside fences and second-level headers."""
-    lines = F.filter(unfenced_lines(text), lambda x: ~F.startswith(x, F.lit("## ")))
+    lines = F.filter(unfenced_lines(text), lambda x: ~F.startswith(F.ltrim(x), F.lit("## ")))
     found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(?:^|\s)#([a-zA-Z][\w-]*)"), F.lit(1))))
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > 1))
 
@@ -271,6 +271,16 @@ def duration_hours(text: Column | str) -> Column:
     return F.trim(F.substring_index(F.coalesce(_col(text), F.lit("")), "h", 1)).try_cast("double")
 
 
+def duration_whole_minutes(text: Column | str) -> Column:
+    """Whole minutes of ``"1h 30m"`` as tasks add them up: digits before the first ``h``, and between the last ``h`` and the first ``m``."""
+    c = F.lower(F.trim(F.coalesce(_col(text), F.lit(""))))
+    whole = lambda x: F.when(F.rlike(F.trim(x), F.lit(r"^\+?[0-9]+$")), F.trim(x).try_cast("bigint"))
+    hours = F.when(F.contains(c, F.lit("h")), whole(F.substring_index(c, "h", 1)))
+    # an "m" before the last "h" leaves nothing between them
+    minutes = F.when(F.contains(c, F.lit("m")) & (F.instr(c, "m") > F.length(c) - F.instr(F.reverse(c), "h") + 1 - F.when(F.contains(c, F.lit("h")), 0).otherwise(F.length(c) + 1)), whole(F.substring_index(F.substring_index(c, "h", -1), "m", 1)))
+    return F.coalesce(hours * 60, F.lit(0)) + F.coalesce(minutes, F.lit(0))
+
+
 def format_duration(minutes: Column | str) -> Column:
     m = F.floor(_col(minutes)).cast("long")
     return F.concat(F.floor(m / 60).cast("string"), F.lit("h "), (m % 60).cast("string"), F.lit("m"))

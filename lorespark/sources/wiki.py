@@ -31,18 +31,22 @@ FRONTMATTER = T.StructType(
 SECTION = T.ArrayType(T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("header", S), T.StructField("body", S)]))
 GENERATED = ("index.md", "log.md")
 
-# fixed values: spellings that mean a page type or a status
-TYPE_ALIASES = {"core": "core", "rule": "rule", "task": "task", "spec": "spec", "pattern": "pattern", "concept": "concept", "decision": "decision", "memory": "memory", "howto": "howto", "how-to": "howto", "reference": "reference", "note": "note"}
+# fixed values: spellings that mean a page type, a status or a priority
+TYPE_ALIASES = {
+    "task": "task", "spec": "spec", "concept": "concept", "pattern": "pattern", "decision": "decision", "howto": "howto", "guide": "howto", "reference": "reference",
+    "memory": "memory", "note": "note", "notes": "note", "rule": "rule", "core": "core",
+}
 STATUS_ALIASES = {
-    "draft": "draft", "todo": "todo", "in-progress": "in-progress", "in_progress": "in-progress", "inprogress": "in-progress", "in-review": "in-review", "in_review": "in-review",
-    "blocked": "blocked", "done": "done", "completed": "done", "reviewed": "reviewed", "approved": "approved", "accepted": "accepted", "rejected": "rejected",
-    "superseded": "superseded", "cancelled": "cancelled", "canceled": "cancelled", "archived": "archived", "active": "active", "stale": "stale",
+    "todo": "todo", "in-progress": "in-progress", "wip": "in-progress", "in-review": "in-review", "reviewing": "in-review", "in_review": "in-review", "done": "done", "complete": "done",
+    "blocked": "blocked", "cancelled": "cancelled", "canceled": "cancelled", "draft": "draft", "reviewed": "reviewed", "review": "reviewed", "superseded": "superseded",
+    "approved": "approved", "accepted": "approved", "active": "active", "stale": "stale", "rejected": "rejected", "archived": "archived",
 }
+PRIORITY_ALIASES = {"low": "low", "medium": "medium", "med": "medium", "high": "high", "urgent": "urgent", "critical": "urgent"}
 
 
-def _alias(c: Column, table: dict[str, str], default: str) -> Column:
+def _alias(c: Column, table: dict[str, str], default: str | None) -> Column:
     pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(F.trim(c))), F.lit(default))
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(c)), F.lit(default))
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +154,7 @@ def pages(files: DataFrame) -> DataFrame:
         _alias(fm["type"], TYPE_ALIASES, "concept").alias("page_type"), _alias(fm["status"], STATUS_ALIASES, "draft").alias("status"),
         F.array_union(F.coalesce(fm["tags"], none), text.inline_tags(body)).alias("tags"), F.coalesce(fm["aliases"], none).alias("aliases"), F.coalesce(fm["sources"], none).alias("sources"),
         F.concat(own, linked).alias("relates_to"), text.references(body).alias("refs"), F.coalesce(fm["acceptance_criteria"], F.array().cast(T.ArrayType(CRITERION))).alias("acceptance_criteria"),
-        fm["priority"].alias("priority"), fm["assignee"].alias("assignee"), fm["parent"].alias("parent"), fm["estimate"].alias("estimate"),
+        _alias(fm["priority"], PRIORITY_ALIASES, None).alias("priority"), fm["assignee"].alias("assignee"), fm["parent"].alias("parent"), fm["estimate"].alias("estimate"),
         fm["time_started"].alias("time_started"), fm["time_spent"].alias("time_spent"), fm["updated_at"].alias("updated_at"), fm["unknown"].alias("unknown"),
         body.alias("body"), "content", F.sha2("content", 256).alias("hash"),
     )
