@@ -1,8 +1,9 @@
 """Source trees as tables: scan with fingerprints, and extraction of symbols, imports and edges.
 
-Python files are read with the standard ``ast``; the other languages by line
-patterns (no grammar library is assumed), which see declarations that begin on
-one line.  Extraction is a per-file helper inside Arrow batches; everything
+Python files are read with the standard ``ast``, those that don't parse by
+patterns; the other languages by patterns, too (no grammar library is assumed).
+Import statements are read whole, over any number of lines; declarations must
+begin on one line.  Comments are blanked before, strings are not.  Extraction is a per-file helper inside Arrow batches; everything
 that crosses files is a join (``operators/codeintel.py``).
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import confined, stored
+
 # fixed values: languages by extension, and folders that scans leave out
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "html": "html", "htm": "html", "svelte": "svelte"}
 SKIPPED = ("target", "node_modules", ".git", "dist", "build", ".wm", "__pycache__", ".venv")
@@ -29,7 +33,7 @@ FOUND = T.StructType(
     ]
 )
 
-# fixed values: declaration patterns by language, (kind, pattern with the name in group 1)
+#: Declaration patterns by language, (kind, pattern with the name in group 1).
 DECLARATIONS = {
     "rust": [
         ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"),
@@ -45,11 +49,17 @@ DECLARATIONS = {
     "html": [("id", r"\bid=\"([^\"]+)\""), ("script", r"<script[^>]*\bsrc=\"([^\"]+)\"")],
 }
 DECLARATIONS["svelte"] = DECLARATIONS["typescript"][:1] + [("const", r"^\s*(?:export\s+)?let\s+(\w+)")]
+#: Import statements in the whole text, the target in group 1.
 IMPORTS = {
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", "typescript": r"(?:^\s*(?:import|export)\b[^'\"]*?\bfrom\s*|^\s*import\s*)['\"]([^'\"]+)['\"]",
-    "go": r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$",
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", "typescript": r"^[ \t]*(?:(?:import|export)\b[^'\";()]*?\bfrom\s*|import\s*)['\"]([^'\"]+)['\"]",
+    "go": r"^[ \t]*import\s+(?:[\w.]+\s+)?\"([^\"]+)\"",
 }
 IMPORTS["svelte"] = IMPORTS["typescript"]
+GO_BLOCK, GO_ENTRY = re.compile(r"^[ \t]*import\s*\(([^)]*)\)", re.M), re.compile(r"\"([^\"]+)\"")
+#: A string (kept) or a comment (blanked); in this order, so that signs inside strings don't begin comments.
+STRING_OR_COMMENT = re.compile(r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/", re.S)
+PY_SYMBOL = re.compile(r"^([ \t]*)(?:async\s+)?(def|class)\s+(\w+)", re.M)
+PY_IMPORT = re.compile(r"^([ \t]*)(?:from\s+([.\w]+)\s+import\s+(\([^)]*\)|[^\n#;]+)|import\s+([^\n#;]+))", re.M)
 DYNAMIC = re.compile(r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)")
 CALL = re.compile(r"(?:\b([A-Za-z_]\w*)\s*(?:\.|::)\s*)?\b([A-Za-z_]\w*)\s*\(")
 NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "fn", "function", "func", "catch", "await", "new", "in", "and", "or", "not", "let", "super"}
@@ -64,11 +74,50 @@ def _row(what, kind, name, line, column=0, snippet="", owner=None, target=None,
     return what, kind, name, line, column, snippet.strip()[:200], owner, target, receiver, deferred
 
 
+def _line(content: str, at: int) -> int:
+    return content.count("\n", 0, at) + 1
+
+
+def _broken_python(content: str) -> list[tuple]:
+    """Declarations and imports of a file that doesn't parse."""
+    lines, out = content.split("\n"), []
+    for m in PY_SYMBOL.finditer(content):
+        no = _line(content, m.start(2))
+        kind = "class" if m[2] == "class" else "method" if m[1] else "function"
+        out.append(_row("symbol", kind, m[3], no, len(m[1]), lines[no - 1]))
+    for m in PY_IMPORT.finditer(content):
+        no, inner = _line(content, m.end(1)), bool(m[1])
+        names = [n.split(" as ")[0].strip() for n in (m[3] or m[4]).strip("() \t\n").split(",")]
+        for n in filter(None, names):
+            out.append(_row("import", "import", n, no, 0, lines[no - 1], target=m[2] or n, receiver=n if m[2] else None, deferred=inner))
+    return out
+
+
+def _imports(content: str, language: str) -> tuple[list[tuple], set[int]]:
+    """Static imports of a text without comments, and the lines that they take up."""
+    out, taken = [], set()
+    lines = content.split("\n")
+
+    def add(target: str, start: int, end: int) -> None:
+        no = _line(content, start)
+        taken.update(range(no, _line(content, end) + 1))
+        out.append(_row("import", "import", target, no, 0, lines[no - 1], target=target))
+
+    if language in IMPORTS:
+        for m in re.finditer(IMPORTS[language], content, re.M):
+            add(" ".join(m[1].split()), m.start() + len(m[0]) - len(m[0].lstrip()), m.end())
+    if language == "go":
+        for block in GO_BLOCK.finditer(content):
+            for m in GO_ENTRY.finditer(content, block.start(1), block.end(1)):
+                add(m[1], m.start(), m.end())
+    return out, taken
+
+
 def _python(content: str) -> list[tuple]:
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return _broken_python(content)
     lines, out = content.split("\n"), []
     at = lambda n: (n.lineno, n.col_offset, lines[n.lineno - 1] if n.lineno <= len(lines) else "")
 
@@ -111,12 +160,13 @@ def extract(content: str | None, language: str | None) -> list[tuple]:
         return []
     if language == "python":
         return _python(content)
-    out, owner, depth, opened = [], None, 0, 0
+    owner, depth, opened = None, 0, 0
     patterns = [(k, re.compile(p)) for k, p in DECLARATIONS[language]]
-    imports = re.compile(IMPORTS[language]) if language in IMPORTS else None
-    for no, line in enumerate(content.split("\n"), 1):
+    blank = lambda m: m[1] if m[1] is not None else re.sub(r"[^\n]", " ", m[0])
+    bare = content if language == "html" else STRING_OR_COMMENT.sub(blank, content)
+    out, importing = _imports(bare, language)
+    for no, (line, code) in enumerate(zip(content.split("\n"), bare.split("\n"), strict=True), 1):
         declared = set()
-        code = line.split("//")[0] if language != "html" else line
         for kind, p in patterns:
             for m in p.finditer(code):
                 out.append(_row("symbol", kind, m[1], no, m.start(1), line, owner=owner))
@@ -125,15 +175,12 @@ def extract(content: str | None, language: str | None) -> list[tuple]:
                     owner, opened = m[1], depth
         if language == "html":
             continue
-        imported = imports.search(code) if imports else None
-        if imported and (language != "go" or "import" in code or not declared):
-            out.append(_row("import", "import", imported[1].strip(), no, 0, line, target=imported[1].strip()))
         for m in DYNAMIC.finditer(code):
             out.append(_row("import", "import", m[1], no, 0, line, owner=owner, target=m[1], deferred=True))
         for kind, p, a, b in BASES.get(language, []):
             if m := p.search(code):
                 out.append(_row("edge", kind, m[a], no, 0, line, owner=m[a], target=m[b]))
-        if not imported:
+        if no not in importing:
             for m in CALL.finditer(code):
                 if m[2] not in NOT_CALLS and m[2] not in declared and m[1] not in NOT_CALLS:
                     out.append(_row("edge", "calls", owner, no, m.start(2), line, owner=owner, target=m[2], receiver=m[1]))
@@ -168,6 +215,65 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.col("language").isNotNull() & ~F.rlike("path", F.lit(f"(^|/)({hidden})/")))
 
 
+def read_file(files: DataFrame, path: str) -> DataFrame:
+    """One file of a scan as text; paths that leave the root or are hidden are refused."""
+    return files.where(F.col("path") == confined(path)).select("path", F.col("content").cast("string").alias("content"))
+
+
+def lag_seconds(files: DataFrame, manifest: DataFrame | None) -> int | None:
+    """Whole seconds by which the newest file is ahead of the newest indexed one, 0 if it isn't; None without an index."""
+    if manifest is None:
+        return None
+    newest, indexed = (df.agg(F.max(F.unix_micros("mtime"))).first()[0] or 0 for df in (files, manifest))
+    return max(newest - indexed, 0) // 1_000_000
+
+
+def refresh(spark: SparkSession, folder: str, path: str, force: bool = False) -> DataFrame:
+    """Bring the code index below ``path`` up to date with a source tree; returns ``codeintel.index_stats``.
+
+    Only files whose time, then hash, changed are parsed; rows of changed and
+    vanished files are replaced, and edges are resolved anew over all findings.
+    Every run writes a new version and names it last, so readers never see half.
+    """
+    from ..operators import codeintel
+
+    files = scan(spark, folder)
+    old = index_tables(spark, path)
+    here = files.select("path", "mtime")
+    if old is None or force:
+        fresh_files, kept, manifest = files.withColumn("sha256", F.sha2("content", 256)), None, None
+    else:
+        fresh_files = changed(files, old["manifest"])
+        gone = fresh_files.select(F.col("path").alias("file"))
+        alive = here.select(F.col("path").alias("file"))
+        kept = old["findings"].join(gone, "file", "left_anti").join(alive, "file", "left_semi")
+        same = old["manifest"].join(fresh_files.select("path"), "path", "left_anti").select("path", "sha256")
+        manifest = same.join(here, "path").select("path", "mtime", "sha256")
+    new = stored(fresh_files, "changed-files")
+    found = findings(new)
+    found = stored(found if kept is None else kept.unionByName(found), "findings")
+    marks = new.select("path", "mtime", "sha256")
+    marks = marks if manifest is None else manifest.unionByName(marks)
+    imports = codeintel.resolve_imports(dependencies(found), here)
+    edges = codeintel.resolve_symbols(raw_edges(found), symbols(found)).unionByName(imports.drop("deferred"))
+    at = f"{path.rstrip('/')}/v{uuid.uuid4().hex}"
+    for name, df in (("manifest", marks), ("findings", found), ("edges", edges)):
+        df.write.parquet(f"{at}/{name}")
+    spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/current")
+    read = index_tables(spark, path)
+    return codeintel.index_stats(here, new, symbols(read["findings"]), dependencies(read["findings"]), read["edges"])
+
+
+def index_tables(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """``manifest``, ``findings`` and resolved ``edges`` of a stored code index; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/current/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        return None
+    at = spark.read.parquet(f"{path.rstrip('/')}/current").first()["at"]
+    return {name: spark.read.parquet(f"{at}/{name}") for name in ("manifest", "findings", "edges")}
+
+
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Number of files and the last change, without reading contents."""
     return scan(spark, folder).agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("latest"))
