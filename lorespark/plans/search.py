@@ -4,23 +4,36 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scoring, text
 from ..operators import graph, lexical, vector
 from ..sources import wiki
+from ..sources.store import stored
 
+# fixed values: statuses that a page of a type may have
+ALLOWED_STATUSES = {
+    "task": ["todo", "in-progress", "in-review", "done", "blocked", "cancelled"], "spec": ["draft", "reviewed", "approved", "superseded"],
+    "decision": ["draft", "approved", "superseded", "rejected", "archived"], "rule": ["draft", "active", "superseded", "archived"], "other": ["draft", "reviewed", "approved", "archived"],
+}
 MODES = ("auto", "keyword", "semantic", "hybrid")
 BUDGET, BUDGET_MIN, BUDGET_MAX = 8192, 256, 131072
 UNKNOWN_DAYS = 7.0
 CONTEXT = T.StructType([T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType())])
 
 
+def _allowed_status(page_type: Column, status: Column) -> Column:
+    out = status.isin(*ALLOWED_STATUSES["other"])
+    for kind, allowed in ALLOWED_STATUSES.items():
+        out = F.when(page_type == kind, status.isin(*allowed)).otherwise(out)
+    return out
+
+
 def parse_mode(mode: str | None) -> str:
     """A mode's name; nothing means hybrid, an unknown name keyword."""
     if mode is None:
@@ -132,12 +145,71 @@ class KnowledgeBase:
         best = self.search(query, "auto", 1).results.select(text.base_id("id").alias("id"))
         return context(self.pages, self.edges, best, query, budget)
 
+    def retrieve_with_memories(self, query: str, budget: int = BUDGET) -> DataFrame:
+        """The packed context, then memories that a search finds, as long as their bytes fit what is left: ``(id, score, text, type)``."""
+        pages = self.retrieve(query, budget).withColumn("type", F.lit("page"))
+        hits = self.of_type("memory").search(query, "auto", 10, recency=False).results.select(text.base_id("id").alias("id"), "score")
+        said = hits.groupBy("id").agg(F.max("score").alias("score")).join(self.pages.select("id", "title", "body"), "id")
+        note = F.concat(F.lit("[memory:"), "id", F.lit("] "), "title", F.lit(" — "), F.trim("body"), F.lit("\n"))
+        left = budget - (pages.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+        rows, taken = said.select("id", "score", note.alias("text")).orderBy(F.desc("score"), "id").collect(), []  # ten at most
+        for r in rows:
+            if len(r["text"].encode()) <= left:
+                left -= len(r["text"].encode())
+                taken.append((r["id"], r["score"], r["text"], "memory"))
+        return pages.unionByName(pages.sparkSession.createDataFrame(taken, pages.schema))
+
+    def of_type(self, page_type: str) -> KnowledgeBase:
+        """The part of the base with the pages of one type; statistics stay those of the whole."""
+        pages = self.pages.where(F.col("page_type") == page_type)
+        sections = self.sections.join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+        postings = self.index.postings.join(sections.select(F.col("section_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return replace(self, pages=pages, sections=sections, index=replace(self.index, postings=postings))
+
+    # ---- upkeep ------------------------------------------------------------
+
+    def changed(self, files: DataFrame | None = None, gone: list[str] | None = None) -> KnowledgeBase:
+        """The base after ``files(path, content)`` were created or updated and the pages ``gone`` deleted.
+
+        Pages, sections and vectors of these ids are replaced, the index moves
+        by deltas of their sections, and the edges are built anew.  New sections
+        have no vector until ``embed`` gives them one here.
+        """
+        new = wiki.pages(files) if files is not None else self.pages.limit(0)
+        bad = new.where(~_allowed_status(F.col("page_type"), F.col("status"))).select("id", "status").first()
+        if bad is not None:
+            raise ValueError(f"status {bad['status']} is not allowed for {bad['id']}")
+        ids = new.select("id")
+        if gone:
+            ids = ids.unionByName(self.pages.sparkSession.createDataFrame([(g,) for g in gone], "id string"))
+        ids = stored(ids.distinct(), "changed-ids")
+        pages = stored(self.pages.join(ids, "id", "left_anti").unionByName(new), "pages")
+        of = ids.withColumnRenamed("id", "page_id")
+        was, now = self.sections.join(of, "page_id", "left_semi"), wiki.sections(new)
+        sections = stored(self.sections.join(of, "page_id", "left_anti").unionByName(now), "sections")
+        index = lexical.merge_statistics(self.index, wiki.search_fields(was), wiki.search_fields(now))
+        vectors = self.vectors
+        if vectors is not None:
+            vectors = vectors.withColumn("_base", text.base_id("id")).join(ids.withColumnRenamed("id", "_base"), "_base", "left_anti").drop("_base")
+            if self.embed is not None:
+                made = embed_batches(now.select(F.col("section_id").alias("id"), F.concat_ws("\n", "header", "body").alias("text")), self.embed)
+                vectors = vectors.select("id", "v").unionByName(made.select("id", F.col("v").cast(dict(vectors.dtypes)["v"]).alias("v")))
+        return replace(self, pages=pages, sections=sections, edges=graph.build_edges(pages), index=index, vectors=vectors)
+
+    def status(self, code_lag: int | None = None, stale: bool = False) -> dict:
+        """Sizes of everything derived, and how far the code index is behind."""
+        n = lambda df: 0 if df is None else df.count()
+        return {
+            "graph_nodes": n(self.pages), "graph_edges": n(self.edges), "sections": n(self.sections), "indexed": self.index.total.first()["n"] or 0, "vectors": n(self.vectors),
+            "embedder_loaded": self.embed is not None, "stale": stale, "code_index_age_seconds": code_lag,
+        }
+
     # ---- dispatch ------------------------------------------------------------
 
     def call(self, operation: str, **arguments) -> DataFrame:
         """An operation by name, as a tool registry would offer it."""
         table = {
-            "search.query": lambda **a: self.search(**a).results, "search.resolve": self.resolve, "search.retrieve": self.retrieve,
+            "search.query": lambda **a: self.search(**a).results, "search.resolve": self.resolve, "search.retrieve": self.retrieve, "search.context": self.retrieve_with_memories,
             "graph.neighbors": lambda node, query=None: graph.neighbors(self.edges, self.pages, node, query),
             "graph.subgraph": lambda node, depth=1: graph.subgraph(self.edges, node, depth)[0],
             "graph.path": lambda start, end, max_depth=10: graph.shortest_path(self.edges, start, end, max_depth),
