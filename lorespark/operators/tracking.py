@@ -103,6 +103,25 @@ def merge(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return joined.select(key, *[F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in table.columns if c != key])
 
 
+def subtask(tasks: DataFrame, parent: str, task_id: str, title: str) -> DataFrame:
+    """A new task below another, to do, unless its id is taken."""
+    known = {"id": F.lit(task_id), "title": F.lit(title), "status": F.lit("todo"), "parent": F.lit(parent)}
+    row = tasks.sparkSession.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tasks.schema])
+    return tasks.unionByName(row.join(tasks.select("id"), "id", "left_anti").select(*tasks.columns))
+
+
+def remember(memories: DataFrame, new: DataFrame, capacity: int = MEMORY_CAPACITY, stability: float = scoring.DEFAULT_STABILITY) -> DataFrame:
+    """Session memories with ``new`` in place of equal ids; above the capacity the least recent of the old go."""
+    room = capacity - new.select("id").distinct().count()
+    old = evict(delete(memories, new), max(room, 0), stability=stability)
+    return old.unionByName(new)
+
+
+def promote(memories: DataFrame, memory: str, layer: str = "project") -> DataFrame:
+    """Move one memory to another layer."""
+    return memories.withColumn("layer", F.when(F.col("id") == memory, layer).otherwise(F.col("layer")))
+
+
 def delete(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return table.join(gone.select(key), key, "left_anti")
 
