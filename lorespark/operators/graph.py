@@ -237,10 +237,10 @@ def _bridged(edges: DataFrame) -> DataFrame:
     """Edges after some nodes with one edge in and one out gave way to an edge past them; no two neighbours at once."""
     into = edges.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("a")).where("n = 1").drop("n")
     out = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("b")).where("n = 1").drop("n")
-    single = checkpointed(into.join(out, "v").select("v", "a", "b", F.xxhash64("v").alias("h")))
+    single = into.join(out, "v").select("v", "a", "b", F.xxhash64("v").alias("h"))
     of = lambda x: single.select(F.col("v").alias(x), F.col("h").alias(f"h{x}"))
     least = (F.col("ha").isNull() | (F.col("h") < F.col("ha"))) & (F.col("hb").isNull() | (F.col("h") < F.col("hb")))
-    gone = checkpointed(single.join(of("a"), "a", "left").join(of("b"), "b", "left").where(least).select("v", "a", "b"))
+    gone = single.join(of("a"), "a", "left").join(of("b"), "b", "left").where(least).select("v", "a", "b")
     nodes = gone.select("v")
     stay = edges.join(nodes.withColumnRenamed("v", "src"), "src", "left_anti").join(nodes.withColumnRenamed("v", "dst"), "dst", "left_anti")
     return stay.select("src", "dst").union(gone.select("a", "b")).distinct()
@@ -248,17 +248,15 @@ def _bridged(edges: DataFrame) -> DataFrame:
 
 def has_cycle(edges: DataFrame) -> bool:
     """Whether the edges close a cycle; chains shrink by a share every round, so their length doesn't count."""
-    now = checkpointed(edges.select("src", "dst").distinct())
-    size = now.count()
-    while size:
-        if not now.where("src = dst").isEmpty():
-            return True
-        now = checkpointed(_bridged(checkpointed(_peeled(now))))
-        left = now.count()
-        if left == size:
+    now, size = checkpointed(edges.select("src", "dst").distinct()), -1
+    while True:
+        left, loops = now.agg(F.count(F.lit(1)), F.count_if(F.col("src") == F.col("dst"))).first()
+        if not left:
+            return False
+        # where nothing could be peeled or bridged, every node has edges in and out
+        if loops or left == size:
             return True
-        size = left
-    return False
+        size, now = left, checkpointed(_bridged(checkpointed(_peeled(now))))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -54,10 +54,11 @@ def top_k_cosine_many(vectors: DataFrame, queries: DataFrame, k: int, block: int
         if len(held) == block:
             scan(held)
             held, n = [], n + 1
-    if held or not n:
+    if held:
         scan(held)
         n += 1
-    return spark.read.parquet(*[f"{out}/{i}" for i in range(n)])
+    schema = "query_id long, vec_id long, score double, rank int"
+    return spark.read.schema(schema).parquet(*[f"{out}/{i}" for i in range(n)]) if n else spark.createDataFrame([], schema)
 
 
 def union_lists(first: DataFrame, second: DataFrame) -> DataFrame:
