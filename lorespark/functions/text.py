@@ -32,8 +32,9 @@ def code_tokens(text: Column | str) -> Column:
     """
 
     def parts(t: Column) -> Column:
-        own = F.filter(F.split(t, r"[_\-]"), lambda p: F.length(p) > 1)
-        return F.when(F.rlike(t, F.lit(r"[_\-]")), F.concat(F.array(t), own)).otherwise(own)
+        plain = F.when(F.length(t) > 1, F.array(t)).otherwise(F.array().cast("array<string>"))
+        own = F.filter(F.split(F.translate(t, "-", "_"), "_"), lambda p: F.length(p) > 1)
+        return F.when(F.contains(t, F.lit("_")) | F.contains(t, F.lit("-")), F.concat(F.array(t), own)).otherwise(plain)
 
     return F.flatten(F.transform(F.coalesce(raw_tokens(text), F.array().cast("array<string>")), parts))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import codeintel, graph, history, lexical, logs, rules, tracking, vector
-from ..sources.store import checkpointed, scratch, stored, table
+from ..sources.store import checkpointed, scratch, spread, stored, table
 from ..streaming import feeds
 
 QUERIES: dict = {}
@@ -37,7 +37,7 @@ def six(c) -> F.Column:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:

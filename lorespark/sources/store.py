@@ -42,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where its files give fewer splits than there are cores; a larger input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def confined(path: str) -> str:
     """A relative path without detours; one that leaves its root or names hidden files or folders is refused."""
     out: list[str] = []
