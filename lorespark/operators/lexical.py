@@ -41,41 +41,56 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in parts), stems=self.stems)
 
 
-def term_frequencies(fields: DataFrame, tokens: Column | None = None, stems: bool = False, only: DataFrame | None = None) -> DataFrame:
-    """Postings of every field, or of the terms in ``only(term)``; with stems, a part's stem counts beside it where it differs."""
-    if stems and only is not None:
-        raise ValueError("stems lengthen fields, so all terms are needed")
-    tokens = text.code_tokens("text") if tokens is None else tokens
-    rows = fields.select("doc_id", "field", F.col("weight").cast("double").alias("weight"), tokens.alias("tokens"))
+def _counted(fields: DataFrame, tokens: Column | None, only: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, field, weight, length, term, tf)``; the empty term stands for the field itself, so that its length is kept.
+
+    Texts are dealt by document before they are split, so a document's terms
+    meet without another shuffle and stay together.
+    """
+    tokens = F.coalesce(text.code_tokens("text") if tokens is None else tokens, F.array().cast("array<string>"))
+    rows = fields.repartition("doc_id").select("doc_id", "field", F.col("weight").cast("double").alias("weight"), tokens.alias("tokens"))
     rows = rows.withColumn("length", F.size("tokens"))
-    said = rows.select("doc_id", "field", "weight", "length", F.explode("tokens").alias("term"))
-    said = said if only is None else said.join(_small(only.select("term").distinct()), "term", "left_semi")
-    counted = said.groupBy("doc_id", "field", "weight", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    if not stems:
-        return counted
+    said = rows.select("doc_id", "field", "weight", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    if only is not None:
+        own = fields.sparkSession.createDataFrame([("",)], "term string")
+        said = said.join(_small(only.select("term").union(own).distinct()), "term", "left_semi")
+    return said.groupBy("doc_id", "field", "weight", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _with_stems(counted: DataFrame) -> DataFrame:
+    """Postings with the stem of a part beside it where it differs; stems lengthen their field."""
     parts = counted.where(~F.rlike(F.col("term"), F.lit(r"[_\-]")))
     stemmed = parts.select("term").distinct().withColumn("stem", text.stem("term")).where("stem <> term")
     extra = parts.join(stemmed, "term").select("doc_id", "field", "weight", "length", F.col("stem").alias("term"), "tf")
     both = counted.unionByName(extra).groupBy("doc_id", "field", "weight", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    # stems lengthen their field
     added = extra.groupBy("doc_id", "field").agg(F.sum("tf").alias("added"))
     longer = both.join(added, ["doc_id", "field"], "left").withColumn("length", F.col("length") + F.coalesce("added", F.lit(0)))
     return longer.select("doc_id", "field", "weight", "length", "term", "tf")
 
 
+def term_frequencies(fields: DataFrame, tokens: Column | None = None, stems: bool = False) -> DataFrame:
+    """Postings of every field; with stems, a part's stem counts beside it where it differs."""
+    counted = _counted(fields, tokens).where("term <> ''")
+    return _with_stems(stored(counted, "terms")) if stems else counted
+
+
 def build_index(fields: DataFrame, tokens: Column | None = None, stems: bool = False, only: DataFrame | None = None) -> Index:
-    """The index of ``fields``; with ``only(term)`` the part that queries of these terms need, without shuffling other terms.
+    """The index of ``fields``; with ``only(term)`` the part that queries of these terms need, without storing other terms.
 
-    Postings are counted once and stored, as everything else is read from them.
+    Texts are split once; the counts are stored, as everything else is read from them.
     """
-    postings = stored(term_frequencies(fields, tokens, stems, only), "postings")
-    frequencies = postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if stems and only is not None:
+        raise ValueError("stems lengthen fields, so all terms are needed")
+    counted = stored(_counted(fields, tokens, only), "postings")
+    own, postings = counted.where("term = ''"), counted.where("term <> ''")
     if stems:
-        per = postings.select("doc_id", "field", "length").distinct()
+        postings = stored(_with_stems(postings), "stemmed-postings")
+        per = postings.select("doc_id", "field", "length").distinct().withColumn("tf", F.lit(1))
     else:
-        per = fields.select("field", F.size(text.code_tokens("text") if tokens is None else tokens).alias("length")).where("length > 0")
-    lengths = per.groupBy("field").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("docs"))
-    return Index(postings, frequencies, lengths, fields.agg(F.count_distinct("doc_id").alias("n")), stems)
+        per = own.where("length > 0").select("field", "length", "tf")
+    frequencies = postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    lengths = per.groupBy("field").agg(F.sum(F.col("length") * F.col("tf")).alias("total"), F.sum("tf").cast("long").alias("docs"))
+    return Index(postings, frequencies, lengths, own.agg(F.count_distinct("doc_id").alias("n")), stems)
 
 
 def query_terms(queries: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -94,13 +109,13 @@ def bm25(index: Index, terms: DataFrame) -> DataFrame:
     Scores are rounded to 9 places, so that the order in which parts are summed
     never decides between equal documents.
     """
-    terms = _small(terms)
-    weighed = terms.join(index.frequencies, "term").select("query_id", "term", "times", "df")
-    hits = index.postings.where("weight <> 0").join(weighed, "term")
-    means = index.lengths.select("field", F.greatest(F.col("total") / F.col("docs"), F.lit(1.0)).alias("mean"))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     n = index.total.scalar()
-    part = F.col("weight") * F.col("times") * scoring.idf(n, "df") * scoring.tf_part("tf", "length", "mean")
-    return hits.join(F.broadcast(means), "field").select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    weighed = (F.broadcast(terms) if few else terms).join(index.frequencies, "term").select("query_id", "term", (F.col("times") * scoring.idf(n, "df")).alias("idf"))
+    means = index.lengths.select("field", F.greatest(F.col("total") / F.col("docs"), F.lit(1.0)).alias("mean"))
+    said = index.postings.where("weight <> 0").join(F.broadcast(means), "field").select("doc_id", "term", (F.col("weight") * scoring.tf_part("tf", "length", "mean")).alias("part"))
+    hits = said.join(F.broadcast(weighed) if few else weighed, "term")
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:

@@ -40,6 +40,11 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def _body(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as one field each; ``doc_id`` is their key, so a (term, document) pair is one row of counts."""
+    return _documents(spark, d).select("doc_id", F.lit("body").alias("field"), "text", F.lit(1.0).alias("weight"))
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -50,9 +55,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 @register(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({CODE_TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
 def tok_df(spark, d):
     """Document and collection frequency of every term."""
-    rows = _documents(spark, d).select("doc_id", F.explode(text.code_tokens("text")).alias("term"))
-    per = rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return lexical.term_frequencies(_body(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @register(
@@ -61,8 +64,7 @@ def tok_df(spark, d):
 )
 def term_freq(spark, d):
     """Tokens, distinct terms and the highest term frequency of every document."""
-    fields = _documents(spark, d).select("doc_id", F.lit("body").alias("field"), "text", F.lit(1.0).alias("weight"))
-    return lexical.term_frequencies(fields).groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count(F.lit(1)).alias("terms"), F.max("tf").alias("max_tf"))
+    return lexical.term_frequencies(_body(spark, d)).groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count(F.lit(1)).alias("terms"), F.max("tf").alias("max_tf"))
 
 
 BM25_SQL = """
@@ -93,7 +95,7 @@ def _top10(spark, d, fields: DataFrame) -> DataFrame:
 @register(BM25_SQL.format(fields=BODY, tokens=CODE_TOKENS.format("text"), qtokens=CODE_TOKENS.format("text")))
 def bm25_topk(spark, d):
     """Ten best documents for every benchmark text."""
-    return _top10(spark, d, _documents(spark, d).select("doc_id", F.lit("body").alias("field"), "text", F.lit(1.0).alias("weight")))
+    return _top10(spark, d, _body(spark, d))
 
 
 def _fields(docs: DataFrame) -> DataFrame:
@@ -114,10 +116,10 @@ def bm25_stemmed(spark, d):
     """Stemmed index, benchmark texts as queries; no SQL, as the oracle has no stemmer."""
     fields = _fields(_documents(spark, d))
     index = lexical.build_index(fields, stems=True)
-    terms = lexical.query_terms(_queries(spark, d))
+    terms = stored(lexical.query_terms(_queries(spark, d)), "terms")
     stems = terms.select("term").distinct().withColumn("stem", text.stem("term")).where("stem <> term and not term rlike '[_-]'")
     more = terms.join(stems, "term").select("query_id", F.col("stem").alias("term"), "times")
-    both = terms.unionByName(more).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+    both = stored(terms.unionByName(more).groupBy("query_id", "term").agg(F.sum("times").alias("times")), "terms")
     return lexical.top_k(lexical.bm25(index, both), 10).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), six("score").alias("score"))
 
 
@@ -153,7 +155,7 @@ SELECT term, count(*) AS df FROM p GROUP BY term"""
 )
 def index_delta(spark, d):
     """Document frequencies after one document went and another changed, from deltas."""
-    fields = _documents(spark, d).select("doc_id", F.lit("body").alias("field"), "text", F.lit(1.0).alias("weight"))
+    fields = _body(spark, d)
     gone = fields.where("doc_id in (0, 1)")
     new = fields.where("doc_id = 1").withColumn("text", F.lit("a new text"))
     return lexical.merge_statistics(lexical.build_index(fields), gone, new).frequencies
