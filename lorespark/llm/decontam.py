@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .near_dup import node
-from .shared import broadcast_if_small, checkpointed, fresh, scratch, table
+from .shared import broadcast_if_small, checkpointed, fresh, scratch, table, texts_table
 from .words import WORD_PATTERN, mix, ngram_hashes, word_hashes
 
 SHINGLE = 5
@@ -167,7 +167,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak of a benchmark item into a document."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(texts_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 SQL = r"""

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .jpeg import MAX_ROWS, Picture, decode_thumbnails, encode_gray, parse
-from .shared import table
+from .shared import texts_table
 
 BLOCK = 64
 GROUP = 1 << 20
@@ -175,7 +175,7 @@ def decode(rows: DataFrame, media: str = "media", features: str = "features") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's media digests and features."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    docs = texts_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     read = decode(encode(docs).drop("text")).drop("media")
     f = F.col("features")
     return read.select(

@@ -54,7 +54,7 @@ from pyspark.sql import types as T
 
 from .alignment import similar
 from .components import components
-from .shared import broadcast_if_small, checkpointed, fresh, scratch, table
+from .shared import broadcast_if_small, checkpointed, fresh, scratch, texts_table
 from .words import mix, ngram_hashes, word_hashes
 
 K = 5
@@ -306,4 +306,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class."""
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "keep")
+    return classes(texts_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "keep")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import scratch, table
+from .shared import scratch, table, texts_table
 from .toxicity import fold, labelled
 from .words import hash_spans, pieces, spans
 
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .near_dup import node
-from .shared import checkpointed, scratch, table
+from .shared import checkpointed, scratch, texts_table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -179,7 +179,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``copies`` deletes all but one row of equal texts (the one with the smallest
     source, language and doc_id stays).
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = texts_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     provisional = F.floor(F.coalesce(F.length("text"), F.lit(0)) / CHARS_PER_TOKEN).cast("long")
     counted = scratch(spark, "token-counts")
     docs.select("doc_id", "source", "lang", node(F.coalesce("text", F.lit(""))).alias("node"), provisional.alias("provisional"), counter()(F.col("text")).alias("n_tokens")).write.parquet(counted)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpointed, table
+from .shared import checkpointed, table, texts_table
 from .words import ngram_hashes, word_hashes
 
 BITS = 20
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
