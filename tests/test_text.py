@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespark.functions import scoring, text
+from lorespark.operators import lexical
+from lorespark.sources.store import spread
 
 
 def one(spark, column, value):
@@ -83,3 +85,23 @@ def test_unit_vectors(spark):
     v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [list(r[0]) for r in v.select(scoring.unit("v")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     assert v.select(scoring.cosine(F.array(F.lit(1.0), F.lit(-1.0)), "v")).first()[0] == 0.0
+
+
+def test_small_inputs_are_dealt_over_the_cores(spark, tmp_path):
+    path = f"file://{tmp_path}/one"
+    spark.range(100).coalesce(1).write.parquet(path)
+    read, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    assert spread(read).rdd.getNumPartitions() >= cores
+    assert sorted(r["id"] for r in spread(read).collect()) == list(range(100))
+    many = spark.range(0, 100, 1, cores + 1)
+    assert spread(many) is many
+
+
+def test_index_counts_fields_without_terms(spark):
+    rows = [(1, "body", "Ab a_b x ab", 1.0), (2, "body", None, 1.0), (3, "body", "", 1.0), (4, "body", "q", 1.0), (1, "header", "ab", 4.0)]
+    fields = spark.createDataFrame(rows, "doc_id long, field string, text string, weight double")
+    index = lexical.build_index(fields)
+    assert index.total.first()["n"] == 4
+    assert {tuple(r) for r in index.lengths.select("field", "total", "docs").collect()} == {("body", 3, 1), ("header", 1, 1)}
+    assert {tuple(r) for r in index.frequencies.select("term", "df").collect()} == {("ab", 1), ("a_b", 1)}
+    assert {tuple(r) for r in index.postings.select("doc_id", "field", "term", "tf", "length").collect()} == {(1, "body", "ab", 2, 3), (1, "body", "a_b", 1, 3), (1, "header", "ab", 1, 1)}
