@@ -72,6 +72,8 @@ FURTHER = 256
 MEMBERS = 16
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
+#: Coarser bins of the same counts, compared inside the join of large buckets.
+COARSE = 32
 #: Nodes (16 bytes each) whose texts are wanted may be broadcast up to so many; beyond, words are shuffled.
 WANTED = 1_000_000
 
@@ -143,6 +145,12 @@ def _bags_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series(np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= limit.to_numpy())
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _coarse_udf(bags: pd.Series) -> pd.Series:
+    counts = np.frombuffer(b"".join(bags), np.uint8).reshape(-1, COARSE, BINS // COARSE).sum(2, dtype=np.int32)
+    return pd.Series(list(counts), dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def _words_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: (word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes())
@@ -194,12 +202,23 @@ def grown(found: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def across(hot: DataFrame, found: DataFrame, turn: int, members: int) -> DataFrame:
-    """Distinct pairs of about ``members`` texts a bucket, others each ``turn``, with its texts of other classes; of ``hot(key, id, node)``."""
-    rooted = checkpointed(hot.join(found, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root")))
+    """Distinct pairs of about ``members`` texts a bucket, others each ``turn``, with its texts of other classes; of ``hot(key, id, node, size, coarse)``.
+
+    Pairs whose sizes or coarse counts exclude the threshold, which ``links``
+    would drop, are not put out.
+    """
+    rooted = checkpointed(hot.join(found, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root"), "size", "coarse"))
     mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     live = checkpointed(rooted.join(checkpointed(mixed.select("key", "n")), "key"))
-    drawn = live.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), "n") < members).select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
-    return live.join(drawn, "key").where("root <> a_root").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    drawn = live.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), "n") < members).select("key", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"), F.col("coarse").alias("a_coarse"))
+    limit = F.floor((1 - THRESHOLD) * F.greatest("a_size", "size") + 1e-9)
+    diffs = [F.col("a_coarse")[i] - F.col("coarse")[i] for i in range(COARSE)]
+    surplus = sum((F.greatest(d, F.lit(0)) for d in diffs[1:]), F.greatest(diffs[0], F.lit(0)))
+    lack = sum((F.greatest(-d, F.lit(0)) for d in diffs[1:]), F.greatest(-diffs[0], F.lit(0)))
+    near = (F.abs(F.col("a_size") - F.col("size")) <= limit) & (surplus <= limit) & (lack <= limit)
+    other = live.withColumnRenamed("key", "_key")
+    met = other.join(drawn, (F.col("_key") == F.col("key")) & (F.col("root") != F.col("a_root")) & near)
+    return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -218,7 +237,7 @@ def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     second = checkpointed(candidates(further).join(pairs, ["a", "b"], "left_anti"))
     found = checkpointed(components(verified.union(checkpointed(links(texts, second, nodes)))))
     still = crowded(further, nodes, FURTHER).union(dense.where(F.col("kmers") <= SINGLES))
-    hot = checkpointed(shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).join(checkpointed(still.select("id", "node")), "id").select("key", "id", "node"))
+    hot = checkpointed(shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).join(checkpointed(still.select("id", "node").join(nodes.select("id", "size", _coarse_udf("bag").alias("coarse")), "id")), "id").select("key", "id", "node", "size", "coarse"))
     largest = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     turn, members = 0, MEMBERS
     while largest > 1:
