@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, media, mixing, near_dup, quality, token_counts, toxicity, url_filters, vector_codes, warc_zip
+from . import chat, decontam, language_id, media, mixing, near_dup, quality, token_counts, toxicity, url_filters, vector_codes, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_warc": warc_zip.query,
     "op10_url_filters": url_filters.query,
+    "op11_language_id": language_id.query,
     "op13_vector_codes": vector_codes.query,
 }
 
