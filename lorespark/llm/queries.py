@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language_id, media, mixing, near_dup, quality, token_counts, toxicity, url_filters, vector_codes, warc_zip
+from . import chat, decontam, language_id, media, mixing, near_dup, quality, token_counts, toxicity, turns, url_filters, vector_codes, warc_zip
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc_zip.query,
     "op10_url_filters": url_filters.query,
     "op11_language_id": language_id.query,
+    "op12_turns": turns.query,
     "op13_vector_codes": vector_codes.query,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op7_decontaminate": decontam.SQL,
     "op9_warc": warc_zip.SQL,
     "op10_url_filters": url_filters.SQL,
+    "op12_turns": turns.SQL,
     "op13_vector_codes": vector_codes.SQL,
 }
