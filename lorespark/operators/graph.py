@@ -298,7 +298,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def import_cycles(edges: DataFrame) -> DataFrame:
     """Files that import each other: a sorted, closed list for every component of static imports."""
-    static = edges.where("edge_type = 'imports' and not coalesce(deferred, false)").select("src", "dst")
+    static = edges.where("edge_type = 'imports'").select("src", "dst")
     groups = strong_components(static).groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return groups.select(F.concat("ids", F.slice("ids", 1, 1)).alias("cycle")).orderBy("cycle")
 

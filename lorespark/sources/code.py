@@ -1,10 +1,11 @@
 """Source trees as tables: scan with fingerprints, and extraction of symbols, imports and edges.
 
 Python files are read with the standard ``ast``, those that don't parse by
-patterns; the other languages by patterns, too (no grammar library is assumed).
-Import statements are read whole, over any number of lines; declarations must
-begin on one line.  Comments are blanked before, strings are not.  Extraction is a per-file helper inside Arrow batches; everything
-that crosses files is a join (``operators/codeintel.py``).
+patterns; Rust, TypeScript and Go by a scanner with a stack of scopes
+(``scopes.py``); HTML and Svelte by patterns.  Import statements are read whole,
+over any number of lines, and the names that they bring into the file are
+findings of their own.  Extraction is a per-file helper inside Arrow batches;
+everything that crosses files is a join (``operators/codeintel.py``).
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scopes
 from .store import confined, stored
 
 # fixed values: languages by extension, and folders that scans leave out
@@ -30,25 +34,16 @@ FOUND = T.StructType(
     [
         T.StructField("what", S), T.StructField("kind", S), T.StructField("name", S), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()),
         T.StructField("snippet", S), T.StructField("owner", S), T.StructField("target", S), T.StructField("receiver", S), T.StructField("deferred", T.BooleanType()),
+        # what a reference's type is of, or a name's module; the type that a call's receiver has
+        T.StructField("context", S), T.StructField("of", S),
     ]
 )
 
 #: Declaration patterns by language, (kind, pattern with the name in group 1).
 DECLARATIONS = {
-    "rust": [
-        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"),
-        ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"),
-        ("const", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(\w+)\s*:"), ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)"), ("macro", r"^\s*macro_rules!\s*(\w+)"),
-    ],
-    "typescript": [
-        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
-        ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*[=<]"), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"),
-        ("const", r"^\s*(?:export\s+)?const\s+(\w+)\s*[:=]"), ("method", r"^\s+(?:public\s+|private\s+|protected\s+)?(?:static\s+)?(?:async\s+)?(?!if|for|while|switch|catch|return)(\w+)\s*\([^)]*\)\s*(?::[^{;]+)?\{"),
-    ],
-    "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("type", r"^type\s+(\w+)"), ("const", r"^(?:const|var)\s+(\w+)")],
+    "svelte": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), ("const", r"^\s*(?:export\s+)?let\s+(\w+)")],
     "html": [("id", r"\bid=\"([^\"]+)\""), ("script", r"<script[^>]*\bsrc=\"([^\"]+)\"")],
 }
-DECLARATIONS["svelte"] = DECLARATIONS["typescript"][:1] + [("const", r"^\s*(?:export\s+)?let\s+(\w+)")]
 #: Import statements in the whole text, the target in group 1.
 IMPORTS = {
     "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", "typescript": r"^[ \t]*(?:(?:import|export)\b[^'\";()]*?\bfrom\s*|import\s*)['\"]([^'\"]+)['\"]",
@@ -56,22 +51,17 @@ IMPORTS = {
 }
 IMPORTS["svelte"] = IMPORTS["typescript"]
 GO_BLOCK, GO_ENTRY = re.compile(r"^[ \t]*import\s*\(([^)]*)\)", re.M), re.compile(r"\"([^\"]+)\"")
-#: A string (kept) or a comment (blanked); in this order, so that signs inside strings don't begin comments.
-STRING_OR_COMMENT = re.compile(r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/", re.S)
 PY_SYMBOL = re.compile(r"^([ \t]*)(?:async\s+)?(def|class)\s+(\w+)", re.M)
 PY_IMPORT = re.compile(r"^([ \t]*)(?:from\s+([.\w]+)\s+import\s+(\([^)]*\)|[^\n#;]+)|import\s+([^\n#;]+))", re.M)
 DYNAMIC = re.compile(r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)")
 CALL = re.compile(r"(?:\b([A-Za-z_]\w*)\s*(?:\.|::)\s*)?\b([A-Za-z_]\w*)\s*\(")
 NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "fn", "function", "func", "catch", "await", "new", "in", "and", "or", "not", "let", "super"}
-BASES = {
-    "rust": [("implements", re.compile(r"^\s*impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s+for\s+(\w+)"), 2, 1)],
-    "typescript": [("inherits", re.compile(r"\b(?:class|interface)\s+(\w+)(?:<[^>]*>)?\s+extends\s+(\w+)"), 1, 2), ("implements", re.compile(r"\bclass\s+(\w+)[^{]*?\bimplements\s+(\w+)"), 1, 2)],
-}
-TYPED = re.compile(r"(?::|->)\s*&?(?:mut\s+)?([A-Z]\w*)(?:<\s*([A-Z]\w*))?")
+TS_CLAUSE = re.compile(r"^[ \t]*(import|export)\s+(?:type\s+)?([^'\";()]*?)\s*\bfrom\s*['\"]([^'\"]+)['\"]", re.M)
+RUST_USE = re.compile(r"^[ \t]*(pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", re.M)
 
 
-def _row(what, kind, name, line, column=0, snippet="", owner=None, target=None, receiver=None, deferred=False) -> tuple:
-    return what, kind, name, line, column, snippet.strip()[:200], owner, target, receiver, deferred
+def _row(what, kind, name, line, column=0, snippet="", owner=None, target=None, receiver=None, deferred=False, context=None, of=None) -> tuple:
+    return what, kind, name, line, column, snippet.strip()[:200], owner, target, receiver, deferred, context, of
 
 
 def _line(content: str, at: int) -> int:
@@ -113,80 +103,154 @@ def _imports(content: str, language: str) -> tuple[list[tuple], set[int]]:
     return out, taken
 
 
+def _rust_names(path: str, before: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
+    """``(module, name, local name)`` of a use declaration's tree."""
+    head, brace, rest = path.strip().partition("{")
+    if not brace:
+        path, _, local = head.strip().partition(" as ")
+        parts = [*before, *filter(None, (x.strip() for x in path.split("::")))]
+        if parts and parts[-1] == "self" and len(parts) > 1:
+            parts.pop()
+        return [("::".join(parts[:-1]), parts[-1], local.strip() or parts[-1])] if parts else []
+    now = (*before, *filter(None, (x.strip() for x in head.split("::"))))
+    out, depth, begin = [], 0, 0
+    rest = rest.rstrip()[:-1] + ","
+    for i, c in enumerate(rest):
+        depth += (c == "{") - (c == "}")
+        if c == "," and not depth:
+            out += _rust_names(rest[begin:i], now) if rest[begin:i].strip() else []
+            begin = i + 1
+    return out
+
+
+def _names(bare: str, language: str) -> list[tuple]:
+    """The names that static imports bring in: name here, name there, module, and what the import is listed under."""
+    out = []
+    if language == "rust":
+        for m in RUST_USE.finditer(bare):
+            path = " ".join(m[2].split())
+            listed = re.sub(r"(::)?\s*\{.*$", "", path).split(" as ")[0].strip()
+            kind, no = "reexport" if m[1] else "import", _line(bare, m.end(0) - len(m[0].lstrip()))
+            out += [_row("name", kind, local, no, target=listed, receiver=name, context=module) for module, name, local in _rust_names(path)]
+    elif language in ("typescript", "svelte"):
+        for m in TS_CLAUSE.finditer(bare):
+            kind, no = "reexport" if m[1] == "export" else "import", _line(bare, m.end(0) - len(m[0].lstrip()))
+            clause, _, braced = m[2].partition("{")
+            for part in filter(None, (x.strip() for x in clause.split(","))):
+                star, _, local = part.partition(" as ")
+                name = "*" if star.strip() == "*" else "default"
+                out.append(_row("name", kind, local.strip() or part, no, target=m[3], receiver=name if not local or name != "*" else "", context=m[3]))
+            for part in filter(None, (x.strip() for x in braced.partition("}")[0].split(","))):
+                name, _, local = part.removeprefix("type ").partition(" as ")
+                out.append(_row("name", kind, local.strip() or name.strip(), no, target=m[3], receiver=name.strip(), context=m[3]))
+    return out
+
+
+def _python_type(node: ast.AST | None) -> str | None:
+    """The class that an annotation or a constructor's call names."""
+    if isinstance(node, ast.Call):
+        name = _python_type(node.func)
+        return name if name and name[:1].isupper() else None
+    if isinstance(node, ast.Subscript):
+        return _python_type(node.value)
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value if node.value.isidentifier() else None
+    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+
+
 def _python(content: str) -> list[tuple]:
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
         return _broken_python(content)
-    lines, out = content.split("\n"), []
+    lines, out, fields = content.split("\n"), [], {}
     at = lambda n: (n.lineno, n.col_offset, lines[n.lineno - 1] if n.lineno <= len(lines) else "")
 
-    def walk(node, owner: str | None, inside: str | None) -> None:
+    def receiver(f: ast.Attribute, types: dict, around: str | None) -> tuple[str, str | None]:
+        text, v = " ".join(ast.unparse(f.value).split())[:200], f.value
+        if isinstance(v, ast.Name):
+            return text, around if v.id in ("self", "cls") else types.get(v.id) or (v.id if v.id[:1].isupper() else None)
+        if isinstance(v, ast.Attribute) and isinstance(v.value, ast.Name) and v.value.id == "self":
+            return text, fields.get((around, v.attr))
+        return text, _python_type(v) if isinstance(v, ast.Call) else None
+
+    def walk(node, owner: str | None, inside: str | None, around: str | None, types: dict) -> None:
         for n in ast.iter_child_nodes(node):
             here = owner
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
                 out.append(_row("symbol", "method" if inside else "function", n.name, *at(n), owner=inside))
-                here = n.name
-                walk(n, here, None)
+                args = [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]
+                walk(n, n.name, None, around, types | {a.arg: t for a in args if (t := _python_type(a.annotation))})
                 continue
             if isinstance(n, ast.ClassDef):
                 out.append(_row("symbol", "class", n.name, *at(n)))
                 for b in n.bases:
-                    name = b.id if isinstance(b, ast.Name) else b.attr if isinstance(b, ast.Attribute) else None
-                    if name:
+                    if name := _python_type(b):
                         out.append(_row("edge", "inherits", n.name, *at(n), owner=n.name, target=name))
-                walk(n, owner, n.name)
+                for x in ast.walk(n):
+                    if isinstance(x, ast.Assign | ast.AnnAssign):
+                        for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
+                            found = _python_type(x.annotation) if isinstance(x, ast.AnnAssign) else _python_type(x.value) if isinstance(x.value, ast.Call) else None
+                            if found and isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
+                                fields[n.name, t.attr] = found
+                walk(n, owner, n.name, n.name, types)
                 continue
             if isinstance(n, ast.Import):
                 out.extend(_row("import", "import", a.name, *at(n), owner=owner, target=a.name, deferred=owner is not None) for a in n.names)
             elif isinstance(n, ast.ImportFrom):
                 base = "." * n.level + (n.module or "")
                 out.extend(_row("import", "import", a.name, *at(n), owner=owner, target=base, receiver=a.name, deferred=owner is not None) for a in n.names)
+                if owner is None:
+                    out.extend(_row("name", "reexport", a.asname or a.name, *at(n)[:1], target=base, receiver=a.name, context=base) for a in n.names)
             elif isinstance(n, ast.Call):
                 f = n.func
                 if isinstance(f, ast.Name):
                     out.append(_row("edge", "calls", owner, *at(n), owner=owner, target=f.id))
                 elif isinstance(f, ast.Attribute):
-                    out.append(_row("edge", "calls", owner, *at(n), owner=owner, target=f.attr, receiver=f.value.id if isinstance(f.value, ast.Name) else None))
-            walk(n, here, inside)
-
-    walk(tree, None, None)
+                    text, of = receiver(f, types, around)
+                    out.append(_row("edge", "calls", owner, *at(n), owner=owner, target=f.attr, receiver=text, of=of))
+            elif isinstance(n, ast.Assign | ast.AnnAssign):
+                for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                    if isinstance(t, ast.Name):
+                        types.pop(t.id, None)
+                        found = _python_type(n.annotation) if isinstance(n, ast.AnnAssign) else _python_type(n.value) if isinstance(n.value, ast.Call) else None
+                        types |= {t.id: found} if found else {}
+            walk(n, here, inside, around, types)
+
+    walk(tree, None, None, None, {})
     return out
 
 
 def extract(content: str | None, language: str | None) -> list[tuple]:
-    """Symbols, imports and raw edges of one file, in the order of ``FOUND``."""
-    if not content or language not in {*DECLARATIONS, "python"}:
+    """Symbols, imports, imported names and raw edges of one file, in the order of ``FOUND``."""
+    if not content or language not in {*DECLARATIONS, *scopes.SCANNERS, "python"}:
         return []
     if language == "python":
         return _python(content)
+    bare = content if language == "html" else scopes.without_comments(content, language)
+    out, importing = _imports(bare, language)
+    out += _names(bare, language)
+    if language in scopes.SCANNERS:
+        for m in DYNAMIC.finditer(bare) if language == "typescript" else ():
+            no = _line(bare, m.start())
+            out.append(_row("import", "import", m[1], no, 0, content.split("\n")[no - 1], target=m[1], deferred=True))
+        return out + scopes.read(content, language, _row)
     owner, depth, opened = None, 0, 0
     patterns = [(k, re.compile(p)) for k, p in DECLARATIONS[language]]
-    blank = lambda m: m[1] if m[1] is not None else re.sub(r"[^\n]", " ", m[0])
-    bare = content if language == "html" else STRING_OR_COMMENT.sub(blank, content)
-    out, importing = _imports(bare, language)
     for no, (line, code) in enumerate(zip(content.split("\n"), bare.split("\n"), strict=True), 1):
         declared = set()
         for kind, p in patterns:
             for m in p.finditer(code):
                 out.append(_row("symbol", kind, m[1], no, m.start(1), line, owner=owner))
                 declared.add(m[1])
-                if kind in ("function", "method"):
+                if kind == "function":
                     owner, opened = m[1], depth
         if language == "html":
             continue
-        for m in DYNAMIC.finditer(code):
-            out.append(_row("import", "import", m[1], no, 0, line, owner=owner, target=m[1], deferred=True))
-        for kind, p, a, b in BASES.get(language, []):
-            if m := p.search(code):
-                out.append(_row("edge", kind, m[a], no, 0, line, owner=m[a], target=m[b]))
         if no not in importing:
             for m in CALL.finditer(code):
                 if m[2] not in NOT_CALLS and m[2] not in declared and m[1] not in NOT_CALLS:
                     out.append(_row("edge", "calls", owner, no, m.start(2), line, owner=owner, target=m[2], receiver=m[1]))
-            if language in ("rust", "typescript"):
-                for m in TYPED.finditer(code):
-                    out.extend(_row("edge", "references", owner, no, 0, line, owner=owner, target=t) for t in (m[1], m[2]) if t)
         depth += code.count("{") - code.count("}")
         if owner and depth <= opened and "}" in code:
             owner = None
@@ -206,13 +270,48 @@ def language_of(path: Column | str) -> Column:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, mtime, content, language)`` of known source files; content is only read if used."""
+    """``(path, mtime, content, language)`` of known source files; content is only read if used.
+
+    Spark's readers pass over names that begin with an underscore, so the
+    ``__init__.py`` beside other Python files are read in tasks of their own, in
+    stores that Arrow can open (local, S3, GCS, HDFS).
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = raw.select(_relative(folder).alias("path"), F.col("modificationTime").alias("mtime"), "content").withColumn("language", language_of("path"))
+    rows = rows.where(F.col("language").isNotNull() & _visible(F.col("path")))
+    root = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    if root.split("://")[0] not in STORES:
+        return rows
+    packages = rows.where("language = 'python'").select(F.regexp_replace("path", r"[^/]*$", "").alias("folder")).distinct()
+    inits = packages.select(F.concat("folder", F.lit("__init__.py")).alias("path"), F.concat(F.lit(root.rstrip("/") + "/"), "folder", F.lit("__init__.py")).alias("uri")).mapInArrow(_opened, "path string, mtime timestamp, content binary")
+    return rows.unionByName(inits.withColumn("language", F.lit("python")))
+
+
+#: Stores whose files tasks open by Arrow.
+STORES = ("file", "s3", "gs", "hdfs")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, at = fs.FileSystem.from_uri(uri)
+            info = store.get_file_info(at)
+            if info.type == fs.FileType.File:
+                with store.open_input_stream(at) as f:
+                    out.append((path, info.mtime_ns // 1000, f.read()))
+        path, mtime, content = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+        yield pa.record_batch([pa.array(path, pa.string()), pa.array(mtime, pa.timestamp("us", tz="UTC")), pa.array(content, pa.binary())], ["path", "mtime", "content"])
+
+
+def _relative(folder: str) -> Column:
     base = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "")
-    rows = raw.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "content").withColumn("language", language_of("path"))
+    return F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(base)}/", "")
+
+
+def _visible(path: Column) -> Column:
     hidden = "|".join(re.escape(d) for d in SKIPPED)
-    return rows.where(F.col("language").isNotNull() & ~F.rlike("path", F.lit(f"(^|/)({hidden})/")))
+    return ~F.rlike(path, F.lit(f"(^|/)({hidden})/"))
 
 
 def read_file(files: DataFrame, path: str) -> DataFrame:
@@ -254,8 +353,7 @@ def refresh(spark: SparkSession, folder: str, path: str, force: bool = False) ->
     found = stored(found if kept is None else kept.unionByName(found), "findings")
     marks = new.select("path", "mtime", "sha256")
     marks = marks if manifest is None else manifest.unionByName(marks)
-    imports = codeintel.resolve_imports(dependencies(found), here)
-    edges = codeintel.resolve_symbols(raw_edges(found), symbols(found)).unionByName(imports.drop("deferred"))
+    edges = resolved(found, here, configs(spark, folder))
     at = f"{path.rstrip('/')}/v{uuid.uuid4().hex}"
     for name, df in (("manifest", marks), ("findings", found), ("edges", edges)):
         df.write.parquet(f"{at}/{name}")
@@ -264,6 +362,26 @@ def refresh(spark: SparkSession, folder: str, path: str, force: bool = False) ->
     return codeintel.index_stats(here, new, symbols(read["findings"]), dependencies(read["findings"]), read["edges"])
 
 
+def resolved(found: DataFrame, files: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """All edges of ``findings`` over ``files(path)``; ``settings(path, content)`` has configuration files."""
+    from ..operators import codeintel
+
+    deps, own = dependencies(found), names(found)
+    aliases = None
+    if settings is not None:
+        every = deps.select("file", "target", "language").union(own.select("file", "module", "language"))
+        aliases = stored(codeintel.resolve_aliases(every, codeintel.config_mappings(settings), codeintel.workspace_packages(settings)), "aliases")
+    known = stored(codeintel.resolve_names(own, files, symbols(found), aliases), "names")
+    imports = codeintel.with_derived(codeintel.resolve_imports(deps, files, aliases), known)
+    return imports.unionByName(codeintel.resolve_symbols(raw_edges(found), symbols(found), known))
+
+
+def configs(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, content)`` of the files that say how TypeScript imports resolve, in folders that scans don't leave out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{tsconfig.json,package.json,pnpm-workspace.yaml}").load(folder)
+    return raw.select(_relative(folder).alias("path"), "content").where(_visible(F.col("path")))
+
+
 def index_tables(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     """``manifest``, ``findings`` and resolved ``edges`` of a stored code index; None where there is none."""
     jvm = spark.sparkContext._jvm
@@ -301,6 +419,11 @@ def dependencies(found: DataFrame) -> DataFrame:
     return found.where("what = 'import'").select("file", "target", "line", "kind", "language", "deferred")
 
 
+def names(found: DataFrame) -> DataFrame:
+    """Imported names: ``file, local, name, module, target, line, language, kind``; kind ``reexport`` where the file passes them on."""
+    return found.where("what = 'name'").select("file", F.col("name").alias("local"), F.col("receiver").alias("name"), F.col("context").alias("module"), "target", "line", "language", "kind")
+
+
 def raw_edges(found: DataFrame) -> DataFrame:
-    """Edges before resolution: ``source_file, source_symbol, edge_type, target_symbol, receiver, line, language``."""
-    return found.where("what = 'edge'").select(F.col("file").alias("source_file"), F.col("owner").alias("source_symbol"), F.col("kind").alias("edge_type"), F.col("target").alias("target_symbol"), "receiver", "line", "language")
+    """Edges before resolution: ``source_file, source_symbol, edge_type, target_symbol, receiver, of, context, line, column, language``."""
+    return found.where("what = 'edge'").select(F.col("file").alias("source_file"), F.col("owner").alias("source_symbol"), F.col("kind").alias("edge_type"), F.col("target").alias("target_symbol"), "receiver", "of", "context", "line", "column", "language")
