@@ -128,15 +128,28 @@ def import_targets(deps: DataFrame, files: DataFrame, aliases: DataFrame | None
     return hits.groupBy(F.col("source_file").alias("file"), "target").agg(F.min_by("target_file", "ord").alias("target_file"))
 
 
-def resolve_imports(deps: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Import edges to files; those that wait for a call are ``imports_deferred``."""
-    found = deps.join(import_targets(deps, files, aliases), ["file", "target"])
+def resolve_imports(deps: DataFrame, targets: DataFrame) -> DataFrame:
+    """Import edges to the files of ``targets``; those that wait for a call are ``imports_deferred``."""
+    found = deps.join(targets, ["file", "target"])
     kind = F.when(F.coalesce("deferred", F.lit(False)), "imports_deferred").otherwise("imports")
     listed = F.regexp_replace(F.regexp_replace("target", r"(::)?\s*\{.*$", ""), r"\s+as\s+\w+$", "")
     return found.select(F.col("file").alias("source_file"), F.lit(None).cast("string").alias("source_symbol"), kind.alias("edge_type"), "target_file", listed.alias("target_symbol"), "line", F.lit("explicit").alias("provenance"), F.array().cast("array<string>").alias("via"), "language", F.lit(None).cast("string").alias("context")).distinct()
 
 
-def resolve_names(names: DataFrame, files: DataFrame, symbols: DataFrame, aliases: DataFrame | None = None, depth: int = 2) -> DataFrame:
+def with_full(names: DataFrame) -> DataFrame:
+    """Imported names with ``full``, the module's path that names them, should they be modules themselves."""
+    whole = F.concat_ws("::", F.nullif("module", F.lit("")), F.when(F.col("name") != "*", F.col("name")))
+    dotted = F.concat(F.regexp_replace("module", r"([^.])$", "$1."), F.col("name"))
+    return names.withColumn("full", F.when(F.col("language") == "rust", whole).when((F.col("language") == "python") & (F.col("name") != "*"), dotted).otherwise(F.col("module")))
+
+
+def asked_targets(deps: DataFrame, names: DataFrame) -> DataFrame:
+    """``(file, target, language)`` of all that ``import_targets`` should find for imports and names."""
+    of = lambda c: with_full(names).select("file", F.col(c).alias("target"), "language")
+    return deps.select("file", "target", "language").union(of("full")).union(of("module")).where("target is not null").distinct()
+
+
+def resolve_names(names: DataFrame, targets: DataFrame, symbols: DataFrame, depth: int = 2) -> DataFrame:
     """Where imported names come from: ``(file, local, name, module, target, line, language, kind, target_file, via)``.
 
     A name that the module's file doesn't declare is followed through what that
@@ -144,15 +157,10 @@ def resolve_names(names: DataFrame, files: DataFrame, symbols: DataFrame, aliase
     at most ``depth`` files; ``via`` lists them.  Names that end nowhere stay with
     the module's file.
     """
-    whole = lambda glue: F.concat_ws(glue, F.nullif("module", F.lit("")), F.when(F.col("name") != "*", F.col("name")))
-    dotted = F.concat(F.regexp_replace("module", r"([^.])$", "$1."), F.col("name"))
-    full = F.when(F.col("language") == "rust", whole("::")).when((F.col("language") == "python") & (F.col("name") != "*"), dotted).otherwise(F.col("module"))
-    asked = names.withColumn("_full", full)
-    as_deps = lambda c: asked.select("file", F.col(c).alias("target"), "language").where("target is not null").distinct()
-    found = checkpointed(import_targets(as_deps("_full").union(as_deps("module")).distinct(), files, aliases))
-    inner = asked.join(found.select("file", F.col("target").alias("_full"), F.col("target_file").alias("_inner")), ["file", "_full"], "left")
-    placed = inner.join(found.select("file", F.col("target").alias("module"), F.col("target_file").alias("_outer")), ["file", "module"], "left")
-    placed = placed.withColumn("target_file", F.coalesce("_inner", "_outer")).drop("_inner", "_outer", "_full").where("target_file is not null").distinct()
+    asked = with_full(names)
+    inner = asked.join(targets.select("file", F.col("target").alias("full"), F.col("target_file").alias("_inner")), ["file", "full"], "left")
+    placed = inner.join(targets.select("file", F.col("target").alias("module"), F.col("target_file").alias("_outer")), ["file", "module"], "left")
+    placed = placed.withColumn("target_file", F.coalesce("_inner", "_outer")).drop("_inner", "_outer", "full").where("target_file is not null").distinct()
     declared = symbols.select(F.col("name"), F.col("file").alias("target_file")).distinct()
     # a file that bears the name is the module itself
     stem = F.regexp_extract(F.regexp_replace("target_file", rf"/({'|'.join(FOLDER_FILES)})\.[^.]*$", ""), r"([^/]*?)(?:\.[^./]*)?$", 1)
@@ -166,6 +174,8 @@ def resolve_names(names: DataFrame, files: DataFrame, symbols: DataFrame, aliase
     now = here.where(~settled).select(*columns, F.col("name").alias("_wanted"), F.col("target_file").alias("_now"), none.alias("via"))
     left = now
     for _ in range(depth):
+        if now.isEmpty():
+            break
         by_name = now.join(passes, (F.col("_now") == F.col("_at")) & (F.col("_wanted") == F.col("_name")))
         by_star = now.join(passes.where("_name = '*'"), F.col("_now") == F.col("_at"))
         step = by_name.unionByName(by_star).where("_to <> file and not array_contains(via, _to)")

@@ -367,12 +367,11 @@ def resolved(found: DataFrame, files: DataFrame, settings: DataFrame | None = No
     from ..operators import codeintel
 
     deps, own = dependencies(found), names(found)
-    aliases = None
-    if settings is not None:
-        every = deps.select("file", "target", "language").union(own.select("file", "module", "language"))
-        aliases = stored(codeintel.resolve_aliases(every, codeintel.config_mappings(settings), codeintel.workspace_packages(settings)), "aliases")
-    known = stored(codeintel.resolve_names(own, files, symbols(found), aliases), "names")
-    imports = codeintel.with_derived(codeintel.resolve_imports(deps, files, aliases), known)
+    asked = codeintel.asked_targets(deps, own)
+    aliases = None if settings is None else codeintel.resolve_aliases(asked, codeintel.config_mappings(settings), codeintel.workspace_packages(settings))
+    targets = stored(codeintel.import_targets(asked, files, aliases), "import-targets")
+    known = stored(codeintel.resolve_names(own, targets, symbols(found)), "names")
+    imports = codeintel.with_derived(codeintel.resolve_imports(deps, targets), known)
     return imports.unionByName(codeintel.resolve_symbols(raw_edges(found), symbols(found), known))
 
 
