@@ -13,14 +13,18 @@ key in common share a bucket:
 
 - in a bucket of at most ``FEW`` texts all pairs are candidates;
 - in a larger one every text is a candidate of the bucket's smallest, which
-  gives n - 1 pairs and not n**2;
-- a text most of whose single keys lie in larger buckets (a passage that many
-  texts share hides the rest of it) gets its ``FURTHER`` k-mers of least hash
-  as keys, and buckets are formed again among such texts;
-- texts that are still crowded then meet more members of their larger buckets
-  that are of other classes: about ``MEMBERS`` a bucket, chosen by hash, and
-  ``MEMBERS`` times more in every further round, until a round finds no link or
-  has tried all.
+  gives n - 1 pairs and not n**2.
+
+Where many texts share passages, all that two copies share may lie in larger
+buckets.  Texts with at least 1 / ``PARTNER`` of their single keys there (the
+hidden pair's less edited text has more than 1 / ``CROWDED``, or its other keys
+would show the pair) get their ``FURTHER`` k-mers of least hash as keys.  Those
+of small buckets are tried pair by pair; of the others each text takes its
+``RARE`` rarest, and larger buckets are parted by adding a further, later one of
+them to the key that doesn't overlap those it has: sets of two, three, up to
+``LEVELS`` k-mers, until a bucket is small, then pair by pair.  Buckets that
+stay large then have all pairs of different classes compared.  No round is left
+out because another one found nothing.
 
 Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
 dropped, which loses nothing; the others are aligned inside a band that is as
@@ -30,7 +34,8 @@ connected components.
 How it scales: equal texts (by MD5) collapse first, on the map side, so a text
 that a third of all rows share is one node.  The bucket shuffles carry two
 64-bit numbers a key; should two texts agree in the short number, both are
-looked at.  Words travel only for texts that pass the filters on lengths and
+looked at.  Sets of rare k-mers are at most ``RARE * (RARE - 1) / 2`` a text at
+first and grow in larger buckets only.  Words travel only for texts that pass the filters on lengths and
 counts.  Bucket minima and component minima are partial aggregates; joins that
 meet a hot key have stored tables on both sides, so that adaptive execution can
 split them.  Nothing is collected.
@@ -48,6 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,15 +70,17 @@ THRESHOLD = 0.8
 SINGLES = 24
 #: Buckets of at most so many texts are tried pair by pair.
 FEW = 16
-#: A text with fewer single keys than this outside larger buckets gets further keys.
-COLD = 16
-#: Keys that such a text gets.
-FURTHER = 256
-#: Texts of a larger bucket that the crowded ones meet in a first round; so many times more in every further one.
-MEMBERS = 16
+#: Texts with more than 1 / CROWDED of their keys in larger buckets may hide a copy, which has 1 / PARTNER there at least.
+CROWDED, PARTNER = 3, 6
+#: Keys that such texts get.
+FURTHER = 512
+#: Rarest of these, sets of which are keys.
+RARE = 24
+#: Most k-mers in such a set.
+LEVELS = 5
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
-#: Coarser bins of the same counts, compared inside the join of large buckets.
+#: Coarser bins of the same counts, compared inside buckets.
 COARSE = 32
 #: Nodes (16 bytes each) whose texts are wanted may be broadcast up to so many; beyond, words are shuffled.
 WANTED = 1_000_000
@@ -133,9 +141,17 @@ def _sketch_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"keys": pd.Series([None if x is None else np.concatenate([x, shingle_keys(w, SINGLES)]).view(np.int64) for x, w in zip(keys, found, strict=True)], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object)})
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _further_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_keys(word_hashes(t), FURTHER).view(np.int64) for t in texts], dtype=object)
+def placed_kmers(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` labelled k-mers of least hash and their places in the text."""
+    h = labelled_kmers(words)
+    at = np.arange(len(h)) if len(h) <= n else np.sort(np.argpartition(h, n)[:n])
+    return h[at], at
+
+
+@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]))
+def _further_udf(texts: pd.Series) -> pd.DataFrame:
+    found = [placed_kmers(word_hashes(t), FURTHER) for t in texts]
+    return pd.DataFrame({"keys": pd.Series([h.view(np.int64) for h, _ in found], dtype=object), "places": pd.Series([p.astype(np.int32) for _, p in found], dtype=object)})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -145,10 +161,35 @@ def _bags_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series(np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= limit.to_numpy())
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+@F.pandas_udf(T.BinaryType())
 def _coarse_udf(bags: pd.Series) -> pd.Series:
     counts = np.frombuffer(b"".join(bags), np.uint8).reshape(-1, COARSE, BINS // COARSE).sum(2, dtype=np.int32)
-    return pd.Series(list(counts), dtype=object)
+    return pd.Series([x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)], dtype=object)
+
+
+def _fitting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``(a, b)`` of different roots in ``members(id, root, size, coarse)`` of each bucket that sizes and coarse counts don't exclude."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            column = whole.column(0).slice(at, 4096)
+            n = np.diff(column.offsets.to_numpy())
+            all_of = column.flatten()
+            ids, roots, sizes = (all_of.field(x).to_numpy(zero_copy_only=False) for x in ("id", "root", "size"))
+            coarse = np.frombuffer(b"".join(all_of.field("coarse").to_pylist()), np.uint8).reshape(-1, COARSE).astype(np.int16)
+            begin = np.cumsum(n) - n
+            # the i-th member with each of those after it
+            left = np.repeat(np.arange(len(ids)), np.repeat(begin + n, n) - np.arange(len(ids)) - 1)
+            first = np.repeat(np.cumsum(np.repeat(begin + n, n) - np.arange(len(ids)) - 1) - (np.repeat(begin + n, n) - np.arange(len(ids)) - 1), np.repeat(begin + n, n) - np.arange(len(ids)) - 1)
+            right = left + 1 + np.arange(len(left)) - first
+            limit = np.floor((1 - THRESHOLD) * np.maximum(sizes[left], sizes[right]) + 1e-9)
+            near = (roots[left] != roots[right]) & (np.abs(sizes[left] - sizes[right]) <= limit)
+            left, right, limit = left[near], right[near], limit[near]
+            for k in range(0, len(left), 1 << 18):
+                x, y = left[k : k + (1 << 18)], right[k : k + (1 << 18)]
+                diff = coarse[x] - coarse[y]
+                fits = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= limit[k : k + (1 << 18)]
+                x, y = ids[x[fits]], ids[y[fits]]
+                yield pa.record_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -185,11 +226,11 @@ def candidates(shared: DataFrame) -> DataFrame:
     return star.union(few).distinct()
 
 
-def crowded(shared: DataFrame, nodes: DataFrame, keys: int) -> DataFrame:
-    """``(id, node, kmers)`` of the texts with fewer than ``COLD`` of at most ``keys`` single keys outside larger buckets."""
+def hot_texts(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(id, node, crowded)`` of the texts with enough single keys in larger buckets."""
     hot = shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
-    kmers = F.greatest(F.col("size") - (K - 1), F.lit(1))
-    return hot.join(nodes.select("id", "node", kmers.alias("kmers")), "id").where(F.least("kmers", F.lit(keys)) - F.col("hot") < COLD).select("id", "node", "kmers")
+    keys = F.least(F.greatest(F.col("size") - (K - 1), F.lit(1)), F.lit(SINGLES))
+    return hot.join(nodes.select("id", "node", "size"), "id").where(F.col("hot") * PARTNER >= keys).select("id", "node", (F.col("hot") * CROWDED > keys).alias("crowded"))
 
 
 def grown(found: DataFrame, new: DataFrame) -> DataFrame:
@@ -201,54 +242,63 @@ def grown(found: DataFrame, new: DataFrame) -> DataFrame:
     return checkpointed(found.join(over, "root", "left").select("node", F.coalesce("_over", "root").alias("root")).union(top))
 
 
-def across(hot: DataFrame, found: DataFrame, turn: int, members: int) -> DataFrame:
-    """Distinct pairs of about ``members`` texts a bucket, others each ``turn``, with its texts of other classes; of ``hot(key, id, node, size, coarse)``.
-
-    Pairs whose sizes or coarse counts exclude the threshold, which ``links``
-    would drop, are not put out.
-    """
-    rooted = checkpointed(hot.join(found, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root"), "size", "coarse"))
-    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    live = checkpointed(rooted.join(checkpointed(mixed.select("key", "n")), "key"))
-    drawn = live.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), "n") < members).select("key", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"), F.col("coarse").alias("a_coarse"))
+def hidden_links(texts: DataFrame, nodes: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
+    """Components ``found(node, root)`` with the links among ``hot(id, node, crowded)``, sought by sets of rare k-mers."""
+    texts = _stored(_chosen(texts, hot), "hot-nodes-texts")
+    mine = _stored(hot.join(nodes.select("id", "size", "bag"), "id").withColumn("coarse", _coarse_udf("bag")), "hot-nodes")
+    own = nodes.join(mine.select("id"), "id", "left_semi")
+    entries = texts.join(mine.select("id", "node"), "node").select("id", _further_udf("text").alias("f"))
+    shared = bucketed(entries.select("id", F.explode(F.arrays_zip("f.keys", "f.places")).alias("f")).select("id", F.col("f.keys").alias("key"), F.col("f.places").alias("place")))
+
+    def rooted() -> DataFrame:
+        """The texts with the numbers of their classes."""
+        return checkpointed(mine.join(found, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "coarse", "crowded"))
+
+    def tried(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """``found`` after all pairs of small buckets ``members(key, id)``."""
+        full = members.select("key", "id").join(roots, "id").groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", "coarse")).alias("members"))  # at most FEW
+        pairs = checkpointed(full.select("members").mapInArrow(_fitting_pairs, "a long, b long").distinct())
+        new = checkpointed(links(texts, pairs, own))
+        return found if new.isEmpty() else grown(found, new)
+
+    found = tried(shared.where(F.col("n") <= FEW), rooted())
+    # at most FURTHER a text
+    ranked = shared.where(F.col("n") > FEW).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "key", "place"))), 1, RARE).alias("rare"))
+    rare = _stored(ranked, "rare-kmers")
+    now = rare.select("id", F.posexplode("rare").alias("last", "x")).select("id", "last", F.col("x.key").alias("key"), F.array("x.place").alias("places"))
+    for _ in range(LEVELS - 1):
+        roots = rooted()
+        apart = lambda y: (y["at"] > F.col("last")) & F.forall(F.col("places"), lambda p: F.abs(p - y["place"]) >= K)
+        more = F.filter(F.transform("rare", lambda y, i: F.struct(i.alias("at"), y["key"].alias("key"), y["place"].alias("place"))), apart)
+        wider = now.join(rare, "id").select("id", "key", "places", F.explode(more).alias("y"))
+        wider = wider.select("id", F.xxhash64("key", "y.key").alias("key"), F.col("y.at").alias("last"), F.array_append("places", F.col("y.place")).alias("places"))
+        wider = _stored(wider, "kmer-sets")
+        met = wider.select("key", "id").join(roots.select("id", "root", "crowded"), "id").groupBy("key")
+        live = met.agg(F.count(F.lit(1)).alias("n"), F.max("crowded").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and any and lo <> hi")
+        held = _stored(wider.join(_stored(live.select("key", "n"), "live-sets"), "key"), "live-entries")
+        found = tried(held.where(F.col("n") <= FEW), roots)
+        now = held.where(F.col("n") > FEW).drop("n")
+        if now.isEmpty():
+            return found
+    new = checkpointed(links(texts, checkpointed(across(now.select("key", "id").join(rooted(), "id"))), own))
+    return found if new.isEmpty() else grown(found, new)
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Distinct pairs of different roots in each bucket of ``members(key, id, root, size)`` whose sizes allow the threshold."""
     limit = F.floor((1 - THRESHOLD) * F.greatest("a_size", "size") + 1e-9)
-    diffs = [F.col("a_coarse")[i] - F.col("coarse")[i] for i in range(COARSE)]
-    surplus = sum((F.greatest(d, F.lit(0)) for d in diffs[1:]), F.greatest(diffs[0], F.lit(0)))
-    lack = sum((F.greatest(-d, F.lit(0)) for d in diffs[1:]), F.greatest(-diffs[0], F.lit(0)))
-    near = (F.abs(F.col("a_size") - F.col("size")) <= limit) & (surplus <= limit) & (lack <= limit)
-    other = live.withColumnRenamed("key", "_key")
-    met = other.join(drawn, (F.col("_key") == F.col("key")) & (F.col("root") != F.col("a_root")) & near)
-    return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    other = members.select(F.col("key").alias("_key"), F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"))
+    met = members.join(other, (F.col("_key") == F.col("key")) & (F.col("a") < F.col("id")) & (F.col("root") != F.col("a_root")) & (F.abs(F.col("a_size") - F.col("size")) <= limit))
+    return met.select("a", F.col("id").alias("b")).distinct()
 
 
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components ``(node, root)`` of ``nodes(node, id, keys, size, bag)`` by the links of all buckets."""
     texts = docs.select(node(F.col("text")).alias("node"), "text")
     shared = bucketed(nodes.select("id", F.explode("keys").alias("key")))
-    pairs = checkpointed(candidates(shared))
-    verified = checkpointed(links(texts, pairs, nodes))
-    dense = _stored(crowded(shared, nodes, SINGLES), "crowded")
-    if dense.isEmpty():
-        return components(verified)
-    # from here on the crowded texts alone
-    texts, nodes = _stored(_chosen(texts, dense), "crowded-texts"), _stored(nodes.drop("keys").join(dense.select("id"), "id", "left_semi"), "crowded-nodes")
-    hidden = texts.join(dense.where(F.col("kmers") > SINGLES).select("id", "node"), "node").select("id", _further_udf("text").alias("keys"))
-    further = bucketed(hidden.select("id", F.explode("keys").alias("key")))
-    second = checkpointed(candidates(further).join(pairs, ["a", "b"], "left_anti"))
-    found = checkpointed(components(verified.union(checkpointed(links(texts, second, nodes)))))
-    still = crowded(further, nodes, FURTHER).union(dense.where(F.col("kmers") <= SINGLES))
-    hot = checkpointed(shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).join(checkpointed(still.select("id", "node").join(nodes.select("id", "size", _coarse_udf("bag").alias("coarse")), "id")), "id").select("key", "id", "node", "size", "coarse"))
-    largest = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    turn, members = 0, MEMBERS
-    while largest > 1:
-        new = checkpointed(links(texts, checkpointed(across(hot, found, turn, members)), nodes))
-        if new.isEmpty():
-            break
-        found = grown(found, new)
-        if members >= largest:  # all pairs of different classes were tried
-            break
-        turn, members = turn + 1, MEMBERS * members
-    return found
+    found = checkpointed(components(checkpointed(links(texts, checkpointed(candidates(shared)), nodes))))
+    hot = _stored(hot_texts(shared, nodes), "hot-texts")
+    return found if hot.where("crowded").isEmpty() else hidden_links(texts, nodes, hot, found)
 
 
 def _chosen(texts: DataFrame, wanted: DataFrame) -> DataFrame:
