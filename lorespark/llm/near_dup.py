@@ -20,10 +20,12 @@ buckets.  Texts with at least 1 / ``PARTNER`` of their single keys there (the
 hidden pair's less edited text has more than 1 / ``CROWDED``, or its other keys
 would show the pair) get their ``FURTHER`` k-mers of least hash as keys.  Those
 of small buckets are tried pair by pair; of the others each text takes its
-``RARE`` rarest, and larger buckets are parted by adding a further, later one of
-them to the key that doesn't overlap those it has: sets of two, three, up to
-``LEVELS`` k-mers, until a bucket is small, then pair by pair.  Buckets that
-stay large then have all pairs of different classes compared.  No round is left
+``RARE`` rarest (k-mers that the same texts have, as those of a passage, count
+once), and larger buckets are parted by adding a further, later one of
+them to the key that doesn't overlap those it has (all of them for sets of two,
+the ``NEXT`` ones for larger sets), up to ``LEVELS`` k-mers, until a bucket is
+small, then pair by pair.  Buckets that
+stay large then have all pairs of different classes compared.  No step is left
 out because another one found nothing.
 
 Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
@@ -76,8 +78,8 @@ CROWDED, PARTNER = 3, 6
 FURTHER = 512
 #: Rarest of these, sets of which are keys.
 RARE = 24
-#: Most k-mers in such a set.
-LEVELS = 5
+#: Most k-mers in such a set, and how many next rarer ones a large bucket's sets of two or more are tried with.
+LEVELS, NEXT = 4, 3
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
 #: Coarser bins of the same counts, compared inside buckets.
@@ -208,9 +210,9 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def bucketed(entries: DataFrame) -> DataFrame:
-    """``(key, id, n)`` of the entries whose key has n > 1 texts; stored."""
-    shared = _stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+def bucketed(entries: DataFrame, *more: Column) -> DataFrame:
+    """``(key, id, n)`` of the entries whose key has n > 1 texts, with ``more`` of a key's texts; stored."""
+    shared = _stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1"), "shared-keys")
     return _stored(entries.join(shared, "key"), "buckets")
 
 
@@ -244,43 +246,36 @@ def grown(found: DataFrame, new: DataFrame) -> DataFrame:
 
 def hidden_links(texts: DataFrame, nodes: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
     """Components ``found(node, root)`` with the links among ``hot(id, node, crowded)``, sought by sets of rare k-mers."""
-    texts = _stored(_chosen(texts, hot), "hot-nodes-texts")
-    mine = _stored(hot.join(nodes.select("id", "size", "bag"), "id").withColumn("coarse", _coarse_udf("bag")), "hot-nodes")
-    own = nodes.join(mine.select("id"), "id", "left_semi")
+    texts = _stored(_chosen(texts, hot), "hot-texts-once")
+    classed = hot.join(nodes.select("id", "size", "bag"), "id").join(found, "node", "left")
+    mine = _stored(classed.select("id", "node", "crowded", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "bag", _coarse_udf("bag").alias("coarse")), "hot-nodes")
     entries = texts.join(mine.select("id", "node"), "node").select("id", _further_udf("text").alias("f"))
-    shared = bucketed(entries.select("id", F.explode(F.arrays_zip("f.keys", "f.places")).alias("f")).select("id", F.col("f.keys").alias("key"), F.col("f.places").alias("place")))
-
-    def rooted() -> DataFrame:
-        """The texts with the numbers of their classes."""
-        return checkpointed(mine.join(found, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "coarse", "crowded"))
-
-    def tried(members: DataFrame, roots: DataFrame) -> DataFrame:
-        """``found`` after all pairs of small buckets ``members(key, id)``."""
-        full = members.select("key", "id").join(roots, "id").groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", "coarse")).alias("members"))  # at most FEW
-        pairs = checkpointed(full.select("members").mapInArrow(_fitting_pairs, "a long, b long").distinct())
-        new = checkpointed(links(texts, pairs, own))
-        return found if new.isEmpty() else grown(found, new)
-
-    found = tried(shared.where(F.col("n") <= FEW), rooted())
+    entries = entries.select("id", F.explode(F.arrays_zip("f.keys", "f.places")).alias("f")).select("id", F.col("f.keys").alias("key"), F.col("f.places").alias("place"))
+    # texts(key) stands for the set of texts that have a k-mer; those of one set (a passage's) count once
+    shared = bucketed(entries, F.bit_xor(F.xxhash64("id")).alias("texts"))
+    small = shared.where(F.col("n") <= FEW).select("key", "id")
     # at most FURTHER a text
-    ranked = shared.where(F.col("n") > FEW).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "key", "place"))), 1, RARE).alias("rare"))
-    rare = _stored(ranked, "rare-kmers")
+    ranked = shared.where(F.col("n") > FEW).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "texts", "key", "place"))).alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | (F.get(F.col("all"), i - 1)["texts"] != x["texts"]))
+    ranked = ranked.select("id", F.slice(once, 1, RARE).alias("rare"))
+    rare = _stored(ranked.join(mine.select("id", "root", "crowded"), "id"), "rare-kmers")
     now = rare.select("id", F.posexplode("rare").alias("last", "x")).select("id", "last", F.col("x.key").alias("key"), F.array("x.place").alias("places"))
-    for _ in range(LEVELS - 1):
-        roots = rooted()
+    for level in range(2, LEVELS + 1):
         apart = lambda y: (y["at"] > F.col("last")) & F.forall(F.col("places"), lambda p: F.abs(p - y["place"]) >= K)
         more = F.filter(F.transform("rare", lambda y, i: F.struct(i.alias("at"), y["key"].alias("key"), y["place"].alias("place"))), apart)
-        wider = now.join(rare, "id").select("id", "key", "places", F.explode(more).alias("y"))
-        wider = wider.select("id", F.xxhash64("key", "y.key").alias("key"), F.col("y.at").alias("last"), F.array_append("places", F.col("y.place")).alias("places"))
-        wider = _stored(wider, "kmer-sets")
-        met = wider.select("key", "id").join(roots.select("id", "root", "crowded"), "id").groupBy("key")
-        live = met.agg(F.count(F.lit(1)).alias("n"), F.max("crowded").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and any and lo <> hi")
-        held = _stored(wider.join(_stored(live.select("key", "n"), "live-sets"), "key"), "live-entries")
-        found = tried(held.where(F.col("n") <= FEW), roots)
+        more = more if level == 2 else F.slice(more, 1, NEXT)
+        wider = now.join(rare, "id").select("id", "root", "crowded", "key", "places", F.explode(more).alias("y"))
+        wider = _stored(wider.select("id", "root", "crowded", F.xxhash64("key", "y.key").alias("key"), F.col("y.at").alias("last"), F.array_append("places", F.col("y.place")).alias("places")), "kmer-sets")
+        live = wider.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("crowded").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and any and lo <> hi")
+        held = _stored(wider.join(_stored(live.select("key", "n"), "live-sets"), "key").select("id", "key", "n", "last", "places"), "live-entries")
+        small = small.union(held.where(F.col("n") <= FEW).select("key", "id"))
         now = held.where(F.col("n") > FEW).drop("n")
-        if now.isEmpty():
-            return found
-    new = checkpointed(links(texts, checkpointed(across(now.select("key", "id").join(rooted(), "id"))), own))
+        if level == LEVELS or now.isEmpty():
+            break
+    # the pairs of all sets' buckets at once: FEW members each
+    full = small.join(mine.select("id", "root", "size", "coarse"), "id").groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", "coarse")).alias("members"))
+    pairs = full.select("members").mapInArrow(_fitting_pairs, "a long, b long").union(across(now.select("key", "id").join(mine.select("id", "root", "size"), "id"))).distinct()
+    new = checkpointed(links(texts, checkpointed(pairs), mine.select("id", "node", "size", "bag")))
     return found if new.isEmpty() else grown(found, new)
 
 

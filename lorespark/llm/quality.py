@@ -8,8 +8,8 @@ sum.  Only document labels are used; the attention finds the passages that
 decide.
 
 How it scales: the learner sees every passage of at most ``MAX_TRAIN`` labelled
-documents, those with the smallest hash of doc_id; documents that would bring
-the sample above ``MAX_PASSAGES`` passages are passed over whole.  It runs in
+documents, those with the smallest hash of doc_id; the first that would bring
+the sample above ``MAX_PASSAGES`` passages ends it.  It runs in
 one process, as the sample is bounded.  Scoring is one
 map over the documents: no shuffle, whole texts, and memory bounded by one
 Arrow batch, as texts pass through in pieces and attention is a running softmax.
@@ -132,6 +132,25 @@ class Model:
             total, bag, top = total * keep + a.sum(), bag * keep + a @ h, new
         return float(1 / (1 + np.exp(-np.clip(bag / total @ self.p["c"] + self.p["d"][0], -30, 30))))
 
+    def gradients(self, bags: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over scaled bags, by parameter."""
+        p, sizes = self.p, np.array([len(x) for x in bags])
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        bag = np.repeat(np.arange(len(bags)), sizes)
+        x = np.concatenate(bags)
+        h, t, s, e = self.encode(x)
+        a = np.exp(e - np.maximum.reduceat(e, begin)[bag])
+        a /= np.add.reduceat(a, begin)[bag]
+        z = np.add.reduceat(a[:, None] * h, begin)
+        q = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"][0], -30, 30)))
+        g = (q - y) / len(bags)
+        gz = g[:, None] * p["c"]
+        dot = (gz[bag] * h).sum(1)
+        ge = a * (dot - np.add.reduceat(a * dot, begin)[bag])
+        gt, gs = ge[:, None] * p["w"] * s * (1 - t * t), ge[:, None] * p["w"] * t * s * (1 - s)
+        gh = (a[:, None] * gz[bag] + gt @ p["V"].T + gs @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ gh, "b": gh.sum(0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": np.array([g.sum()])}
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 5) -> Model:
         """Adam on the log loss of whole bags."""
         ones = float(y.sum())
@@ -150,22 +169,7 @@ class Model:
             order = r.permutation(len(bags))
             for lo in range(0, len(order), BATCH):
                 ids = order[lo : lo + BATCH]
-                sizes = np.array([len(bags[i]) for i in ids])
-                begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                bag = np.repeat(np.arange(len(ids)), sizes)
-                x = np.concatenate([bags[i] for i in ids])
-                h, t, s, e = self.encode(x)
-                a = np.exp(e - np.maximum.reduceat(e, begin)[bag])
-                a /= np.add.reduceat(a, begin)[bag]
-                z = np.add.reduceat(a[:, None] * h, begin)
-                q = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"][0], -30, 30)))
-                g = (q - y[ids]) / len(ids)
-                gz = g[:, None] * p["c"]
-                dot = (gz[bag] * h).sum(1)
-                ge = a * (dot - np.add.reduceat(a * dot, begin)[bag])
-                gt, gs = ge[:, None] * p["w"] * s * (1 - t * t), ge[:, None] * p["w"] * t * s * (1 - s)
-                gh = (a[:, None] * gz[bag] + gt @ p["V"].T + gs @ p["U"].T) * (1 - h * h)
-                grads = {"W": x.T @ gh, "b": gh.sum(0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": np.array([g.sum()])}
+                grads = self.gradients([bags[i] for i in ids], y[ids])
                 step += 1
                 for k, grad in grads.items():
                     m[k] = 0.9 * m[k] + 0.1 * grad
@@ -184,14 +188,9 @@ def _train_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: train_vectors(t).astype("<f2").tobytes())
 
 
-def fitting(sizes: list[int], most: int) -> list[int]:
-    """The places of the bags that are taken one by one while their sum stays within ``most``."""
-    out, total = [], 0
-    for i, n in enumerate(sizes):
-        if total + n <= most:
-            out.append(i)
-            total += n
-    return out
+def fitting(sizes: list[int], most: int) -> int:
+    """How many of the bags, in order, stay within ``most`` together; the first that doesn't ends it, so none is taken for being short."""
+    return int(np.searchsorted(np.cumsum(sizes), most, "right"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN, passages: int = MAX_PASSAGES) -> Model:
@@ -202,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     # at most limit rows of three numbers
     sizes = sorted(map(tuple, sample.select("rank", "doc_id", F.octet_length("x") / (2 * WIDTH)).collect()))
     taken = fitting([int(n) for _, _, n in sizes], passages)
-    if len(taken) < len(sizes):
-        sample = sample.where(F.col("doc_id").isin([sizes[i][1] for i in taken]))
+    if taken < len(sizes):
+        sample = sample.where(F.struct("rank", "doc_id") < F.struct(F.lit(sizes[taken][0]), F.lit(sizes[taken][1])))
     sample = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     bags = [np.frombuffer(v.as_py(), "<f2").reshape(-1, WIDTH).astype(np.float32) for v in sample["x"]]
     return Model().fit(bags, np.asarray(sample["y"], np.float64))

@@ -4,8 +4,11 @@ The rollup holds additive totals (documents, tokens) by source, language and
 tokenizer version.  A batch is a set of change rows ``(op, source, lang,
 tokenizer, n_tokens, old_tokens)``: ``insert`` adds, ``delete`` takes away,
 ``revise`` replaces an old count by a new one.  ``commit`` reduces a batch to
-signed sums, writes them aside and moves them to the batch's name in one step,
-so of two writers of one name one wins; the totals are the sums over all
+signed sums, writes them aside and moves them to the batch's name by a rename,
+whose result counts: a batch that could not be moved raises and is not
+committed.  On file systems with atomic renames of folders (HDFS, local ones) of
+two writers of one name one wins; on object stores, where a rename copies file
+by file, one writer at a time may commit a name.  The totals are the sums over all
 committed batches.  A batch that is committed again is recognised by
 its name and leaves the totals as they are; a writer that dies leaves no marker
 and therefore no totals, and the batch can be committed anew.  ``compact``
@@ -109,32 +112,45 @@ class Rollup:
     def _snapshot(self) -> str | None:
         return max(self._done("snapshots"), default=None)
 
-    def batches(self) -> set[str]:
+    def _folded(self, s: str | None) -> DataFrame:
+        """Names of the batches that a snapshot holds."""
+        return self.spark.createDataFrame([], "batch string") if s is None else self.spark.read.schema("batch string").parquet(f"{self.path}/folded/{s}")
+
+    def batches(self) -> DataFrame:
         """Names of all committed batches, folded or not."""
-        names = set(self._done("batches"))
-        if (s := self._snapshot()) is not None:
-            names |= {r["batch"] for r in self.spark.read.parquet(f"{self.path}/folded/{s}").collect()}
-        return names
+        done = self.spark.createDataFrame([(b,) for b in self._done("batches")], "batch string")
+        return self._folded(self._snapshot()).union(done).distinct()
+
+    def committed(self, batch: str) -> bool:
+        return self._fs.exists(self._at(f"{self.path}/batches/{batch}/_SUCCESS")) or not self._folded(self._snapshot()).where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch unless its name is committed already; says whether it did."""
-        if batch in self.batches():
+        """Add a batch unless its name is committed already; says whether it did.
+
+        A batch that can't be put in its place raises ``OSError`` and leaves
+        nothing.
+        """
+        if self.committed(batch):
             return False
         own = f"_{uuid.uuid4().hex}"
         signed(changes).select(*TOTALS.names).coalesce(1).write.parquet(f"{self.path}/pending/{own}")
         written, target = self._at(f"{self.path}/pending/{own}"), self._at(f"{self.path}/batches/{batch}")
-        if batch in self.batches():
+        if self.committed(batch):
             self._fs.delete(written, True)
             return False
         if self._fs.exists(target) and not self._fs.exists(self._at(f"{target}/_SUCCESS")):
             self._fs.delete(target, True)
         self._fs.mkdirs(target.getParent())
-        self._fs.rename(written, target)
+        moved = self._fs.rename(written, target)
         # where another writer's folder was there by then, ours went into it, under a name that readers pass over
         late = self._at(f"{target}/{own}")
-        if self._fs.exists(late):
+        if self._fs.exists(late) or not moved and self.committed(batch):
             self._fs.delete(late, True)
+            self._fs.delete(written, True)
             return False
+        if not moved or not self.committed(batch):
+            self._fs.delete(written, True)
+            raise OSError(f"batch {batch} was written, but could not be moved to {target}")
         return True
 
     def totals(self) -> DataFrame:
@@ -142,9 +158,9 @@ class Rollup:
         return self._summed(*self._state())
 
     def _state(self) -> tuple[str | None, set[str], list[str]]:
-        """The newest snapshot, the batches folded into it, and those that came since."""
+        """The newest snapshot, those of the listed batches that are folded into it, and those that came since."""
         done, s = self._done("batches"), self._snapshot()
-        folded = {r["batch"] for r in self.spark.read.parquet(f"{self.path}/folded/{s}").collect()} if s is not None else set()
+        folded = {r["batch"] for r in self._folded(s).where(F.col("batch").isin(done)).collect()} if s is not None and done else set()
         return s, folded, [b for b in done if b not in folded]
 
     def _summed(self, s: str | None, folded: set[str], since: list[str]) -> DataFrame:
@@ -161,7 +177,7 @@ class Rollup:
         """
         s, folded, since = self._state()
         name = f"{int(s or 0) + 1:010d}"
-        self.spark.createDataFrame([(n,) for n in sorted({*folded, *since})], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/{name}")
+        self._folded(s).union(self.spark.createDataFrame([(n,) for n in since], "batch string")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/{name}")
         self._summed(s, folded, since).select(*TOTALS.names).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
 
 

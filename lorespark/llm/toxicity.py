@@ -8,7 +8,7 @@ its L1 term leaves most weights at exactly zero; the result is a short list of
 
 How it scales: the learner sees at most ``MAX_TRAIN`` labelled documents (those
 with the smallest hash of doc_id), already reduced to coordinates in the tasks,
-and passes over them in one process, as the method is sequential.  Scoring is
+of which the first in that order are taken whose ``MAX_COORDINATES`` fit, and passes over them in one process, as the method is sequential.  Scoring is
 one map over the documents with the model in the closure: no shuffle, whole
 texts, memory bounded by one Arrow batch and the weight table (4 MB).
 
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpointed, table, texts_table
+from .shared import checkpointed, scratch, table, texts_table
 from .words import ngram_hashes, word_hashes
 
 BITS = 20
 MAX_TRAIN = 12_000
+#: Coordinates that the learner holds, 4 bytes each.
+MAX_COORDINATES = 40_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.5
@@ -116,11 +118,19 @@ def _features_udf(texts: pd.Series) -> pd.Series:
     return texts.map(features)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_TRAIN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_TRAIN, coordinates: int = MAX_COORDINATES) -> Model:
     """Fit on a bounded sample of ``labels`` outside the held-out fold."""
-    sample = labelled(docs, labels, label, limit).select("rank", "doc_id", _features_udf("text").alias("x"), "y").toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
-    rows = [np.asarray(v.values, np.int32) for v in sample["x"]]
-    return fit(rows, np.asarray(sample["y"], np.float64))
+    path = scratch(docs.sparkSession, "toxicity-sample")
+    labelled(docs, labels, label, limit).select("rank", "doc_id", _features_udf("text").alias("x"), "y").write.parquet(path)
+    sample = docs.sparkSession.read.parquet(path)
+    # at most limit rows of three numbers
+    sizes = sorted(map(tuple, sample.select("rank", "doc_id", F.size("x")).collect()))
+    taken = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), coordinates, "right"))
+    if taken < len(sizes):
+        sample = sample.where(F.struct("rank", "doc_id") < F.struct(F.lit(sizes[taken][0]), F.lit(sizes[taken][1])))
+    found = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
+    rows = [np.asarray(v.values, np.int32) for v in found["x"]]
+    return fit(rows, np.asarray(found["y"], np.float64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -147,5 +147,46 @@ def test_the_learner_sees_every_passage_of_a_long_text(spark):
     assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
 
 
-def test_a_document_above_the_passage_bound_is_passed_over_whole():
-    assert quality.fitting([3, 50, 4, 2, 9], 10) == [0, 2, 3]
+def test_the_sample_ends_at_the_first_document_that_does_not_fit(spark):
+    assert [quality.fitting([3, 50, 4, 2, 9], n) for n in (2, 3, 52, 53, 68, 100)] == [0, 1, 1, 2, 5, 5]
+    docs = spark.createDataFrame([(i, "some words " * (10 + 400 * (i % 5 == 0)) + str(i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    order = [r["doc_id"] for r in toxicity.labelled(docs, labels, "toxic", 100).orderBy("rank", "doc_id").collect()]
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    total, first = 0, []
+    for i in order:
+        total += len(toxicity.features(text[i]))
+        if total > 400:
+            break
+        first.append(i)
+    assert 0 < len(first) < len(order)
+    want = toxicity.fit([toxicity.features(text[i]) for i in first], np.array([float(i % 2) for i in first]))
+    got = toxicity.train(docs, labels, coordinates=400)
+    assert got.bias == want.bias and (got.index == want.index).all() and (got.weight == want.weight).all()
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(3)
+    model = quality.Model()
+    bags = [rng.normal(0, 1, (n, quality.WIDTH)) for n in (1, 4, 2)]
+    y = np.array([0.0, 1.0, 1.0])
+
+    def loss():
+        out = 0.0
+        for x, want in zip(bags, y, strict=True):
+            h, _, _, e = model.encode(x)
+            a = np.exp(e - e.max())
+            q = 1 / (1 + np.exp(-((a / a.sum()) @ h @ model.p["c"] + model.p["d"][0])))
+            out -= np.log(q if want else 1 - q) / len(bags)
+        return out
+
+    grads = model.gradients(bags, y)
+    for k, p in model.p.items():
+        for at in {tuple(rng.integers(0, n) for n in p.shape) for _ in range(8)}:
+            old = p[at]
+            p[at] = old + 1e-5
+            up = loss()
+            p[at] = old - 1e-5
+            down = loss()
+            p[at] = old
+            assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-9)

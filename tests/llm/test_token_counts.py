@@ -34,6 +34,10 @@ def totals(rollup):
     return {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in rollup.totals().collect()}
 
 
+def names(rollup):
+    return {r["batch"] for r in rollup.batches().collect()}
+
+
 def test_signed_changes_match_a_ledger(spark, tmp_path):
     rng = random.Random(1)
     rollup, seen = tc.Rollup(spark, f"file://{tmp_path}/r"), []
@@ -49,7 +53,7 @@ def test_signed_changes_match_a_ledger(spark, tmp_path):
             rollup.compact()
             assert totals(rollup) == ledger(seen) and not rollup.commit("b0", df)
     assert rollup.commit("empty", spark.createDataFrame([], CHANGES)) and totals(rollup) == ledger(seen)
-    assert rollup.batches() == {*(f"b{b}" for b in range(5)), "empty"}
+    assert names(rollup) == {*(f"b{b}" for b in range(5)), "empty"}
 
 
 def test_a_failed_batch_changes_nothing_and_can_come_again(spark, tmp_path):
@@ -102,13 +106,15 @@ def test_a_batch_that_comes_while_another_process_compacts_counts_once(spark, tm
     monkeypatch.setattr(rollup, "_state", late)
     rollup.compact()
     monkeypatch.undo()
-    assert totals(rollup) == {("a", "en", "v1"): (2, 12)} and rollup.batches() == {"b0", "b1"}
+    assert totals(rollup) == {("a", "en", "v1"): (2, 12)} and names(rollup) == {"b0", "b1"}
 
 
 def test_the_later_of_two_writers_of_one_name_loses(spark, tmp_path, monkeypatch):
     first, second = (tc.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
     one = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None, 1)], CHANGES)
-    monkeypatch.setattr(second, "batches", lambda: set())
+    answers = iter([False, False])
+    known = second.committed
+    monkeypatch.setattr(second, "committed", lambda b: next(answers, None) is not False and known(b))
     assert first.commit("b", one(5)) and not second.commit("b", one(7))
     assert totals(first) == {("a", "en", "v1"): (1, 5)}
 
@@ -116,3 +122,23 @@ def test_the_later_of_two_writers_of_one_name_loses(spark, tmp_path, monkeypatch
 def test_query_on_an_empty_table(spark, sf, tmp_path):
     table(spark, sf, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert tc.query(spark, str(tmp_path)).collect() == []
+
+
+def test_a_batch_that_cannot_be_moved_is_not_committed(spark, tmp_path, monkeypatch):
+    rollup = tc.Rollup(spark, f"file://{tmp_path}/r")
+    df = spark.createDataFrame([("insert", "a", "en", "v1", 5, None, 1)], CHANGES)
+
+    class Store:
+        def rename(self, a, b):
+            return False
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    real = rollup._fs
+    monkeypatch.setattr(rollup, "_fs", Store())
+    with pytest.raises(OSError, match="could not be moved"):
+        rollup.commit("b", df)
+    monkeypatch.undo()
+    assert totals(rollup) == {} and not rollup.committed("b") and not os.listdir(tmp_path / "r/pending")
+    assert rollup.commit("b", df) and totals(rollup) == {("a", "en", "v1"): (1, 5)}
