@@ -22,11 +22,11 @@ would show the pair) get their ``FURTHER`` k-mers of least hash as keys.  Those
 of small buckets are tried pair by pair; of the others each text takes its
 ``RARE`` rarest (k-mers that the same texts have, as those of a passage, count
 once), and larger buckets are parted by adding a further, later one of
-them to the key that doesn't overlap those it has (all of them for sets of two,
-the ``NEXT`` ones for larger sets), up to ``LEVELS`` k-mers, until a bucket is
-small, then pair by pair.  Buckets that
-stay large then have all pairs of different classes compared.  No step is left
-out because another one found nothing.
+them to the key that doesn't overlap those it has, up to ``LEVELS`` k-mers: all of
+them for sets of two; beyond, a text's ``KEPT`` large sets that fewest texts have
+grow by the ``NEXT`` ones each.  Small buckets are tried pair by pair, those that
+stay large by their smallest text.  No step is left
+out because another one found nothing, and no step is quadratic.
 
 Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
 dropped, which loses nothing; the others are aligned inside a band that is as
@@ -37,7 +37,7 @@ How it scales: equal texts (by MD5) collapse first, on the map side, so a text
 that a third of all rows share is one node.  The bucket shuffles carry two
 64-bit numbers a key; should two texts agree in the short number, both are
 looked at.  Sets of rare k-mers are at most ``RARE * (RARE - 1) / 2`` a text at
-first and grow in larger buckets only.  Words travel only for texts that pass the filters on lengths and
+first, and ``KEPT * NEXT`` for each further k-mer.  Words travel only for texts that pass the filters on lengths and
 counts.  Bucket minima and component minima are partial aggregates; joins that
 meet a hot key have stored tables on both sides, so that adaptive execution can
 split them.  Nothing is collected.
@@ -56,7 +56,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +78,8 @@ CROWDED, PARTNER = 3, 6
 FURTHER = 512
 #: Rarest of these, sets of which are keys.
 RARE = 24
-#: Most k-mers in such a set, and how many next rarer ones a large bucket's sets of two or more are tried with.
-LEVELS, NEXT = 4, 3
+#: Most k-mers in such a set; how many of a text's large sets, those that fewest texts have, grow, and by how many of the next k-mers each.
+LEVELS, KEPT, NEXT = 4, 4, 3
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
 #: Coarser bins of the same counts, compared inside buckets.
@@ -269,24 +269,21 @@ def hidden_links(texts: DataFrame, nodes: DataFrame, hot: DataFrame, found: Data
         live = wider.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("crowded").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and any and lo <> hi")
         held = _stored(wider.join(_stored(live.select("key", "n"), "live-sets"), "key").select("id", "key", "n", "last", "places"), "live-entries")
         small = small.union(held.where(F.col("n") <= FEW).select("key", "id"))
-        now = held.where(F.col("n") > FEW).drop("n")
+        large = held.where(F.col("n") > FEW)
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "key"))
+        now = _stored(large.withColumn("rank", rank).where(F.col("rank") <= KEPT).drop("rank", "n"), "grown-sets")
         if level == LEVELS or now.isEmpty():
             break
-    # the pairs of all sets' buckets at once: FEW members each
+    # the pairs of all small buckets at once, FEW members each; of the large ones that are left the smallest text with the others
     full = small.join(mine.select("id", "root", "size", "coarse"), "id").groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", "coarse")).alias("members"))
-    pairs = full.select("members").mapInArrow(_fitting_pairs, "a long, b long").union(across(now.select("key", "id").join(mine.select("id", "root", "size"), "id"))).distinct()
+    rooted = now.select("key", "id").join(mine.select("id", "root"), "id")
+    least = checkpointed(rooted.groupBy("key").agg(F.min(F.struct("id", "root")).alias("least")))
+    star = rooted.join(least, "key").where(F.col("root") != F.col("least.root")).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    pairs = full.select("members").mapInArrow(_fitting_pairs, "a long, b long").union(star).distinct()
     new = checkpointed(links(texts, checkpointed(pairs), mine.select("id", "node", "size", "bag")))
     return found if new.isEmpty() else grown(found, new)
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Distinct pairs of different roots in each bucket of ``members(key, id, root, size)`` whose sizes allow the threshold."""
-    limit = F.floor((1 - THRESHOLD) * F.greatest("a_size", "size") + 1e-9)
-    other = members.select(F.col("key").alias("_key"), F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"))
-    met = members.join(other, (F.col("_key") == F.col("key")) & (F.col("a") < F.col("id")) & (F.col("root") != F.col("a_root")) & (F.abs(F.col("a_size") - F.col("size")) <= limit))
-    return met.select("a", F.col("id").alias("b")).distinct()
-
-
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components ``(node, root)`` of ``nodes(node, id, keys, size, bag)`` by the links of all buckets."""
     texts = docs.select(node(F.col("text")).alias("node"), "text")
