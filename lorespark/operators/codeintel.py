@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..sources.store import checkpointed
 from .graph import with_seq
 
@@ -305,6 +306,27 @@ def as_graph(edges: DataFrame) -> DataFrame:
     return with_seq(rows, "src", "dst", "edge_type", "line")
 
 
+def code_neighbors(edges: DataFrame, node: str, query: str | None = None) -> DataFrame:
+    """Neighbours of ``file#symbol``, a file or a bare symbol name, in the columns of ``graph.neighbors``.
+
+    A file, and a symbol's file with it, takes the edges of all its symbols.  A
+    row an edge: its other end, a title (symbol or file name), and the score of
+    its type, 2 more where the title has the query's text.
+    """
+    file, _, symbol = node.partition("#")
+    source, target = (F.concat_ws("#", F.nullif(f"{s}_file", F.lit("")), F.nullif(f"{s}_symbol", F.lit(""))) for s in ("source", "target"))
+    if symbol or has_file(edges, node):
+        touches = (F.col("source_file") == file) | (F.col("target_file") == file)
+    else:
+        touches = (F.col("source_symbol") == node) | (F.col("target_symbol") == node)
+    rows = edges.where(touches).dropDuplicates(["edge_type", "source_file", "source_symbol", "target_file", "target_symbol", "line"])
+    out = (source == node) if symbol else (F.col("source_file") == file) if has_file(edges, node) else (F.col("source_symbol") == node)
+    other = F.when(out, target).otherwise(source)
+    named = rows.select(other.alias("other"), F.when(out, "out").otherwise("in").alias("direction"), "edge_type", "provenance", F.when(F.contains(other, F.lit("#")), F.substring_index(other, "#", -1)).otherwise(F.substring_index(other, "/", -1)).alias("title"), F.when(F.contains(other, F.lit("#")), "symbol").otherwise("file").alias("page_type"))
+    more = F.when(F.contains(F.lower("title"), F.lit(query.lower())), 2.0).otherwise(0.0) if query else F.lit(0.0)
+    return named.where("other <> ''").withColumn("score", scoring.edge_priority("edge_type").cast("double") + more).orderBy(F.desc("score"), "other", "edge_type")
+
+
 def has_file(edges: DataFrame, file: str) -> bool:
     return not edges.where((F.col("source_file") == file) | (F.col("target_file") == file)).isEmpty()
 

@@ -41,20 +41,37 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in parts), stems=self.stems)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def term_counts(tokens: Column) -> Column:
+    """``(term, tf)`` structs of an array of tokens, by runs of equal ones in sorted order."""
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(first, lambda f: F.transform(f, lambda at, i: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(f, i + 1), F.size(s)) - at).cast("long").alias("tf"))))
+
+    return _let(F.sort_array(tokens), runs)
+
+
 def _counted(fields: DataFrame, tokens: Column | None, only: DataFrame | None = None) -> DataFrame:
     """``(doc_id, field, weight, length, term, tf)``; the empty term stands for the field itself, so that its length is kept.
 
-    Texts are dealt by document before they are split, so a document's terms
-    meet without another shuffle and stay together.
+    A field's terms are counted inside its row, so neither texts nor terms are
+    shuffled here.
     """
     tokens = F.coalesce(text.code_tokens("text") if tokens is None else tokens, F.array().cast("array<string>"))
-    rows = fields.repartition("doc_id").select("doc_id", "field", F.col("weight").cast("double").alias("weight"), tokens.alias("tokens"))
-    rows = rows.withColumn("length", F.size("tokens"))
-    said = rows.select("doc_id", "field", "weight", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    rows = fields.select("doc_id", "field", F.col("weight").cast("double").alias("weight"), tokens.alias("tokens"))
+    own = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
+    counted = rows.select("doc_id", "field", "weight", F.size("tokens").alias("length"), F.explode(F.concat(own, term_counts(F.col("tokens")))).alias("t"))
+    said = counted.select("doc_id", "field", "weight", "length", "t.term", "t.tf")
     if only is not None:
-        own = fields.sparkSession.createDataFrame([("",)], "term string")
-        said = said.join(_small(only.select("term").union(own).distinct()), "term", "left_semi")
-    return said.groupBy("doc_id", "field", "weight", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        wanted = fields.sparkSession.createDataFrame([("",)], "term string")
+        said = said.join(broadcast_few(only.select("term").union(wanted).distinct()), "term", "left_semi").select("doc_id", "field", "weight", "length", "term", "tf")
+    return said
 
 
 def _with_stems(counted: DataFrame) -> DataFrame:
@@ -99,7 +116,8 @@ def query_terms(queries: DataFrame, tokens: Column | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast where its counted rows are few, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
@@ -124,13 +142,13 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def boost(query: str, title: Column | str, doc_id: Column | str, tags: Column | str) -> Column:
-    """Keyword-mode boosts: title 8 / 4 / 2, id 7, tags 3 once."""
+def boost(query: str, title: Column | str, doc_id: Column | str, tags: Column | str, title_stem: Column | None = None) -> Column:
+    """Keyword-mode boosts: title 8 / 4 / 2, id 7, tags 3 once; ``title_stem`` has the stems of lower-cased titles, should they be at hand."""
     q, terms = query.lower(), text.tokenize(query)
     title, doc_id, tags = (F.lower(F.col(c) if isinstance(c, str) else c) for c in (title, doc_id, tags))
     literal = F.lit(q)
     # whole strings are compared by their stems, too
-    exact = (title == literal) | (text.stem(title) == F.lit(text.stem_word(q)))
+    exact = (title == literal) | ((text.stem(title) if title_stem is None else title_stem) == F.lit(text.stem_word(q)))
     on_title = F.when(exact, 8.0).when(F.startswith(title, literal) | F.startswith(literal, title), 4.0).when(F.contains(title, literal), 2.0).otherwise(0.0)
     on_tags = F.when(F.exists(F.array(*[F.lit(t) for t in terms] or [F.lit("\0")]), lambda t: F.contains(tags, t)), 3.0).otherwise(0.0)
     return F.coalesce(on_title, F.lit(0.0)) + F.when(doc_id == literal, 7.0).otherwise(0.0) + F.coalesce(on_tags, F.lit(0.0))
@@ -145,7 +163,7 @@ def keyword_search(index: Index, docs: DataFrame, query: str, limit: int = 10) -
     counts = {t: terms.count(t) for t in dict.fromkeys(terms)}
     q = spark.createDataFrame([(0, t, n) for t, n in counts.items()], "query_id int, term string, times int")
     scores = bm25(index, q).select("doc_id", "score")
-    boosted = docs.join(scores, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)) + boost(query, "title", "doc_id", "tags")).where("score > 0")
+    boosted = docs.join(scores, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)) + boost(query, "title", "doc_id", "tags", F.col("title_stem") if "title_stem" in docs.columns else None)).where("score > 0")
     top = boosted.agg(F.max("score").alias("m"))
     out = boosted.crossJoin(F.broadcast(top))  # one row
     best = out.orderBy(F.desc("score"), "doc_id").limit(limit)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..sources.store import scratch
+from ..sources.store import scratch, stored
+
+#: Vectors that are scored at a time.
+PIECE = 512
 
 
 def top_k_cosine(vectors: DataFrame, query: list[float] | Column, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -21,7 +27,8 @@ def top_k_cosine_many(vectors: DataFrame, queries: DataFrame, k: int, block: int
     """``(query_id, vec_id, score, rank)``, the best ``k`` of ``vectors(vec_id, embedding)`` for each of ``queries(query_id, q)``.
 
     Queries are taken in blocks of bounded size, one pass over all vectors a
-    block: every task multiplies its batches with the block and keeps its own
+    block: every task multiplies pieces of ``PIECE`` vectors with the block (16 MB
+    of scores at 4,096 queries) and keeps its own
     best ``k`` a query, so what is shuffled is tasks x queries x k rows.  Each
     block's result is stored before the next block is read.  Scores are rounded
     to 12 places, so that equal vectors tie; ties go by id.
@@ -35,14 +42,18 @@ def top_k_cosine_many(vectors: DataFrame, queries: DataFrame, k: int, block: int
 
         def best(batches):
             query_ids, matrix = shared.value
-            top, who = np.full((len(query_ids), 0), -1.0), np.zeros((len(query_ids), 0), np.int64)
+            top, who = np.full((len(query_ids), k), -1.0), np.zeros((len(query_ids), k), np.int64)
             for pdf in batches:
-                if len(pdf):
-                    score = np.round(np.clip(matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 0, 1), 12)
-                    top, who = np.concatenate([top, score], 1), np.concatenate([who, np.broadcast_to(pdf["vec_id"].to_numpy(np.int64), score.shape)], 1)
-                    order = np.lexsort((who, -top), axis=1)[:, :k]
-                    top, who = np.take_along_axis(top, order, 1), np.take_along_axis(who, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(query_ids, top.shape[1]), "vec_id": who.ravel(), "score": top.ravel()})
+                for at in range(0, len(pdf), PIECE):
+                    piece = pdf.iloc[at : at + PIECE]
+                    score = np.round(np.clip(matrix @ np.stack(piece["embedding"].to_numpy()).astype(np.float64).T, 0, 1), 12)
+                    better = np.flatnonzero((score >= top[:, -1:]).any(1))  # these queries have a new best, or a tie
+                    both = np.concatenate([top[better], score[better]], 1)
+                    ids = np.concatenate([who[better], np.broadcast_to(piece["vec_id"].to_numpy(np.int64), (len(better), len(piece)))], 1)
+                    order = np.lexsort((ids, -both), axis=1)[:, :k]
+                    top[better], who[better] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+            there = top.ravel() >= 0  # fewer than k vectors were seen
+            yield pd.DataFrame({"query_id": np.repeat(query_ids, k)[there], "vec_id": who.ravel()[there], "score": top.ravel()[there]})
 
         scored = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -103,7 +114,7 @@ def merge_by_type(results: DataFrame, k: int = scoring.RRF_K) -> DataFrame:
 
 
 def rerank_fused(fused: DataFrame, query: str) -> DataFrame:
-    """Additive bonuses on fused scores with their breakdown; ``fused(id, score, title, tags)``.
+    """Additive bonuses on fused scores with their breakdown; ``fused(id, score, title, tags)``, with ``title_stem`` if it is at hand.
 
     In field order: exact id, title density and title match, then the tag share
     of the running score (so tags weigh what came before).
@@ -116,7 +127,8 @@ def rerank_fused(fused: DataFrame, query: str) -> DataFrame:
     out = fused.withColumn("rrf", F.col("score"))
     out = out.withColumn("exact_id", F.when(id_ == literal, 0.10).otherwise(0.0))
     out = out.withColumn("title_density", F.coalesce(matched(title) * 0.03, F.lit(0.0)))
-    exact = (title == literal) | (text.stem(title) == F.lit(text.stem_word(q)))
+    stem = F.col("title_stem") if "title_stem" in fused.columns else text.stem(title)
+    exact = (title == literal) | (stem == F.lit(text.stem_word(q)))
     starts = F.startswith(title, literal) | F.startswith(literal, title)
     out = out.withColumn("exact_title", F.when(exact, 0.15).otherwise(0.0))
     out = out.withColumn("title_starts_with", F.when((F.col("exact_title") == 0) & starts, 0.08).otherwise(0.0))
@@ -131,18 +143,72 @@ def normalise_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFram
     return vectors.withColumn(vector, scoring.unit(vector))
 
 
-def carry_forward(new: DataFrame, old: DataFrame) -> DataFrame:
+def carry_forward(new: DataFrame, old: DataFrame, force: bool = False) -> DataFrame:
     """Vectors that needn't be computed again: ``new(id, hash)`` against ``old(id, hash, v)``.
 
     A row keeps its own vector if its hash is unchanged, takes that of equal
-    content under another id (the smallest), or has ``v`` null and must be embedded.
+    content under another id (the smallest), or has ``v`` null and must be
+    embedded; with ``force`` all must.
     """
+    if force:
+        return new.select("id", "hash", F.lit(None).cast(old.schema["v"].dataType).alias("v"), F.lit(True).alias("embed"))
     same = old.select(F.col("id"), F.col("hash"), F.col("v").alias("own"))
     by_hash = old.groupBy("hash").agg(F.min_by("v", "id").alias("other"))
     joined = new.select("id", "hash").join(same, ["id", "hash"], "left").join(by_hash, "hash", "left")
     return joined.select("id", "hash", F.coalesce("own", "other").alias("v"), F.coalesce("own", "other").isNull().alias("embed"))
 
 
+def must_embed_anew(old: dict[str, str], model_modified_at: str = "", chunking_version: str = "") -> bool:
+    """Whether stored vectors are void: the model or the chunking changed, or neither was ever noted and there is a model."""
+    model, chunking = old.get("model_modified_at", ""), old.get("chunking_version", "")
+    if not model and not chunking:
+        return bool(model_modified_at)
+    return bool(model and model_modified_at and model != model_modified_at) or bool(chunking and chunking != chunking_version)
+
+
+class VectorStore:
+    """Vectors ``(id, hash, v)`` and their metadata in a folder, committed together: a version's name is written last."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _current(self) -> str | None:
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current/_SUCCESS")
+        if not mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            return None
+        return self.spark.read.parquet(f"{self.path}/current").first()["at"]
+
+    def vectors(self) -> DataFrame:
+        at = self._current()
+        return self.spark.createDataFrame([], "id string, hash string, v array<float>") if at is None else self.spark.read.parquet(f"{at}/vectors")
+
+    def metadata(self) -> dict[str, str]:
+        at = self._current()
+        return {} if at is None else {r["key"]: r["value"] for r in self.spark.read.parquet(f"{at}/metadata").collect()}
+
+    def commit(self, vectors: DataFrame, metadata: dict[str, str]) -> None:
+        at = f"{self.path}/v{uuid.uuid4().hex}"
+        vectors.select("id", "hash", F.col("v").cast("array<float>").alias("v")).write.parquet(f"{at}/vectors")
+        self.spark.createDataFrame(sorted(metadata.items()), "key string, value string").coalesce(1).write.parquet(f"{at}/metadata")
+        self.spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/current")
+
+    def refresh(self, docs: DataFrame, embed: Callable[[Column], Column], model_modified_at: str = "", chunking_version: str = "") -> DataFrame:
+        """Bring the store in step with ``docs(id, text)``; returns ``(id, embed)``, which rows were embedded.
+
+        Unchanged rows keep their vectors, unless the metadata say that the model
+        or the chunking is another; rows that are gone lose theirs.
+        """
+        old = self.metadata()
+        force = must_embed_anew(old, model_modified_at, chunking_version)
+        rows = docs.select("id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+        plan = stored(carry_forward(rows, self.vectors(), force), "embed-plan")
+        fresh = rows.join(plan.where("embed").select("id"), "id", "left_semi").select("id", "hash", scoring.unit(embed(F.col("text"))).alias("v"))
+        kept = plan.where("not embed").select("id", "hash", "v")
+        noted = {"model_modified_at": model_modified_at or old.get("model_modified_at", ""), "chunking_version": chunking_version or old.get("chunking_version", "")}
+        self.commit(kept.unionByName(fresh), noted)
+        return plan.select("id", "embed")
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """``table`` with rows of ``changes`` in place of those with the same key."""
     return table.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes)

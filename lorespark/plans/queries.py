@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import codeintel, graph, history, lexical, logs, rules, tracking, vector
+from ..sources import code
 from ..sources.store import checkpointed, scratch, spread, stored, table
 from ..streaming import feeds
 
@@ -348,13 +349,13 @@ def bfs_depth3(spark, d):
 
 
 @register(
-    f"""WITH RECURSIVE {EDGES}, u AS (SELECT src AS a, dst AS b FROM e WHERE src NOT LIKE 'o:%' UNION SELECT dst, src FROM e WHERE src NOT LIKE 'o:%'),
+    f"""WITH RECURSIVE {EDGES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 w(id, depth) AS (SELECT 'c:1', 0 UNION SELECT b, depth + 1 FROM w JOIN u ON a = id WHERE depth < 6)
 SELECT (SELECT 'r:' || n_regionkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_custkey = 1) AS id, CAST(min(depth) AS INTEGER) AS length, (SELECT 'n:' || n_nationkey || '>r:' || n_regionkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_custkey = 1) AS path FROM w WHERE id = (SELECT 'r:' || n_regionkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_custkey = 1) HAVING count(*) > 0"""
 )
 def shortest_path(spark, d):
-    """Length of the shortest path from customer 1 to its region, not over orders."""
-    links = edges(spark, d).where("src not like 'o:%'")
+    """Length of the shortest path from customer 1 to its region."""
+    links = edges(spark, d)
     nation = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()
     return graph.shortest_path(links, "c:1", f"r:{nation['n_regionkey']}", 6).select("id", F.size("hops").alias("length"), F.array_join(F.transform("hops", lambda h: h["node"]), ">").alias("path"))
 
@@ -368,12 +369,11 @@ def affected(spark, d):
     return graph.affected(edges(spark, d), "n:2").select("id", "depth", F.array_join(F.transform("hops", lambda h: h["node"]), ">").alias("path"))
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
+@register("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def orphans(spark, d):
-    """Customers to which no seventh order leads."""
+    """Customers to which no order leads."""
     c = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey", "c_name")
-    some = edges(spark, d).where("src like 'o:%' and cast(substring(src, 3) as bigint) % 7 = 0")
-    return graph.orphans(c, some).select("c_custkey", "c_name")
+    return graph.orphans(c, edges(spark, d)).select("c_custkey", "c_name")
 
 
 @register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -582,21 +582,35 @@ def symbol_filter(spark, d):
     return codeintel.query_symbols(rows, name="ring", kind="Brand#2").select("p_partkey", F.col("name").alias("p_name"))
 
 
+@register(
+    r"SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '<([A-Za-z][A-Za-z0-9_:.-]*)', 1)) AS name FROM pages) GROUP BY page_id, name"
+)
+def html_elements(spark, d):
+    """Symbols of every page's markup: its elements by name."""
+    files = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"), F.lit("html").alias("language"))
+    found = code.symbols(code.findings(spread(files)))
+    return found.groupBy(F.col("file").cast("long").alias("page_id"), "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     f"""WITH best AS ({BM25_SQL.format(fields=BODY, tokens=CODE_TOKENS.format("text"), qtokens=CODE_TOKENS.format("text"))}),
-w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))) AS head FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)),
-g AS (SELECT item_id, doc_id FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS head FROM benchmark WHERE len(string_split(text, ' ')) >= 8) JOIN w USING (head)),
+g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(' ' || d.text || ' ', ' ' || b.text || ' ')),
 h AS (SELECT g.item_id, count(*) AS n, count(*) FILTER (best.rank < 5) AS k5, count(*) FILTER (best.rank < 1) AS k1, min(best.rank) AS first FROM g LEFT JOIN best ON best.query_id = g.item_id AND best.doc_id = g.doc_id GROUP BY g.item_id)
 SELECT floor(avg(CAST(k5 AS DOUBLE) / n) * 1e6 + 0.5) / 1e6 AS recall_at_k, floor(avg(CAST(k1 AS DOUBLE) / n) * 1e6 + 0.5) / 1e6 AS recall_at_1, floor(avg(coalesce(1.0::DOUBLE / (first + 1), 0)) * 1e6 + 0.5) / 1e6 AS mrr FROM h"""
 )
 def golden_metrics(spark, d):
-    """Retrieval quality over all documents: expected are those that hold the first eight words of a benchmark text."""
-    n = 8
-    words = F.split("text", " ")
-    heads = table(spark, d, "benchmark").where(F.size(words) >= n).select(F.col("item_id").alias("query"), F.array_join(F.slice(words, 1, n), " ").alias("head"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    said = _documents(spark, d).select("doc_id", words.alias("w")).select("doc_id", F.explode(runs).alias("head"))
-    held = said.join(heads, "head").select("query", "doc_id").distinct()
+    """Retrieval quality over all documents: expected are those that hold a benchmark text's words in a row."""
+    items = stored(table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("query"), F.split("text", " ").alias("words")).withColumn("k", F.least(F.size("words"), F.lit(8))), "items")
+    sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most eight
+    head = lambda w, at, k: F.xxhash64(F.array_join(F.slice(w, at, k), " "))
+    heads = items.select("query", "k", head(F.col("words"), F.lit(1), F.col("k")).alias("head"))
+    docs = _documents(spark, d).where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    runs = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.struct(F.lit(k).alias("k"), i.alias("at"), head(F.col("w"), i, F.lit(k)).alias("head"))))
+    said = docs.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*[runs(k) for k in sizes])))).alias("r")).select("doc_id", "r.*") if sizes else docs.select("doc_id", F.lit(0).alias("k"), F.lit(1).alias("at"), F.lit(0).cast("long").alias("head")).limit(0)
+    # the heads are sought by their hashes, then whole texts are compared
+    near = stored(said.join(lexical.broadcast_few(heads), ["k", "head"]).select("doc_id", "query", "at").distinct(), "heads")
+    whole = near.join(items.select("query", "words"), "query").join(docs, "doc_id").where(F.slice("w", F.col("at"), F.size("words")) == F.col("words"))
+    held = whole.select("query", "doc_id").distinct()
     golden = held.groupBy("query").agg(F.collect_set("doc_id").alias("expected"))
     results = bm25_topk(spark, d).select(F.col("query_id").alias("query"), F.col("doc_id").alias("id"), "rank")
     found = rules.recall_metrics(results, golden)
@@ -608,25 +622,40 @@ def golden_metrics(spark, d):
     "b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS changes FROM b GROUP BY user_id, k"
 )
 def stream_debounce(spark, d):
-    """Bursts of each user's events with gaps below half an hour."""
-    return feeds.debounced_batch(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts", 1800)
+    """Bursts of each user's events with gaps below half an hour, by a streaming job over the events file.
 
+    The job runs to the end of its input in complete mode, as the last bursts
+    would else wait for a later event to close them.
+    """
+    stream, kind = _event_stream(spark, d)
+    bursts = feeds.debounced(stream.select("user_id", "ts"), "user_id", "ts", "30 minutes")
+    out = _ran(spark, bursts, "complete")
+    last = spark.read.parquet(out).where(F.col("epoch") == spark.read.parquet(out).agg(F.max("epoch")).first()[0])
+    return last.select("user_id", F.col("first").cast(kind).alias("first"), F.col("last").cast(kind).alias("last"), "changes")
 
-@register("SELECT event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY event_type")
-def stream_counts(spark, d):
-    """Hourly counts by a streaming job over the events file, then summed."""
-    # the schema of the file, so that the stream doesn't infer one
+
+def _event_stream(spark, d):
+    """The events file as a stream, with the type of its times; the schema is the file's, so that the stream doesn't infer one."""
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    out = scratch(spark, "stream-counts")
-    counts = feeds.windowed_counts(stream)
-    epochs: list[int] = []
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d), schema["ts"].dataType
+
+
+def _ran(spark, result: DataFrame, mode: str) -> str:
+    """Run a streaming job to the end of its input; the folder has a batch's rows under its epoch."""
+    out = scratch(spark, "stream-out")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        # complete mode: an epoch holds all counts so far
-        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
-        epochs.append(epoch)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return out
+
 
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/{max(epochs)}")
+@register("SELECT event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY event_type")
+def stream_counts(spark, d):
+    """Hourly counts by a streaming job over the events file, then summed."""
+    stream, _ = _event_stream(spark, d)
+    # update mode: a batch holds the windows that it changed, closed ones leave the state; the newest row of each counts
+    out = _ran(spark, feeds.windowed_counts(stream), "update")
+    rows = spark.read.parquet(out).groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "epoch").alias("r")).select("event_type", "r.*")
     return checkpointed(rows.groupBy("event_type").agg(F.sum("n").alias("n"), (F.floor(F.sum("total") * 100 + 0.5) / 100).alias("total")))

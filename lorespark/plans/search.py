@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scoring, text
-from ..operators import graph, lexical, vector
+from ..operators import codeintel, graph, lexical, vector
 from ..sources import wiki
 from ..sources.store import stored
 
@@ -34,6 +34,11 @@ def _allowed_status(page_type: Column, status: Column) -> Column:
     return out
 
 
+def _stemmed(sections: DataFrame) -> DataFrame:
+    """Sections with the stem of their lower-cased title, so that queries need no Python for it."""
+    return sections.withColumn("title_stem", text.stem(F.lower("title")))
+
+
 def parse_mode(mode: str | None) -> str:
     """A mode's name; nothing means hybrid, an unknown name keyword."""
     if mode is None:
@@ -63,6 +68,8 @@ class KnowledgeBase:
     vectors: DataFrame | None = None
     embed: object = None
     strict_compat: bool = False
+    #: Resolved edges of a code index (``sources.code.load_edges``).
+    code_edges: DataFrame | None = None
     options: dict = field(default_factory=dict)
 
     @classmethod
@@ -71,13 +78,13 @@ class KnowledgeBase:
 
     @classmethod
     def from_pages(cls, pages: DataFrame, **more) -> KnowledgeBase:
-        sections = wiki.sections(pages)
+        sections = stored(_stemmed(wiki.sections(pages)), "sections")
         return cls(pages, sections, graph.build_edges(pages), lexical.build_index(wiki.search_fields(sections), stems=True), **more)
 
     # ---- search ------------------------------------------------------------
 
     def documents(self) -> DataFrame:
-        return self.sections.select(F.col("section_id").alias("doc_id"), "title", F.concat_ws(" ", "tags").alias("tags"))
+        return self.sections.select(F.col("section_id").alias("doc_id"), "title", F.concat_ws(" ", "tags").alias("tags"), "title_stem")
 
     def _semantic(self, query: str, limit: int) -> DataFrame:
         q = [float(x) for x in self.embed(query)]
@@ -185,7 +192,7 @@ class KnowledgeBase:
         ids = stored(ids.distinct(), "changed-ids")
         pages = stored(self.pages.join(ids, "id", "left_anti").unionByName(new), "pages")
         of = ids.withColumnRenamed("id", "page_id")
-        was, now = self.sections.join(of, "page_id", "left_semi"), wiki.sections(new)
+        was, now = self.sections.join(of, "page_id", "left_semi"), stored(_stemmed(wiki.sections(new)), "new-sections")
         sections = stored(self.sections.join(of, "page_id", "left_anti").unionByName(now), "sections")
         index = lexical.merge_statistics(self.index, wiki.search_fields(was), wiki.search_fields(now))
         vectors = self.vectors
@@ -210,7 +217,7 @@ class KnowledgeBase:
         """An operation by name, as a tool registry would offer it."""
         table = {
             "search.query": lambda **a: self.search(**a).results, "search.resolve": self.resolve, "search.retrieve": self.retrieve, "search.context": self.retrieve_with_memories,
-            "graph.neighbors": lambda node, query=None: graph.neighbors(self.edges, self.pages, node, query),
+            "graph.neighbors": self.neighbors,
             "graph.subgraph": lambda node, depth=1: graph.subgraph(self.edges, node, depth)[0],
             "graph.path": lambda start, end, max_depth=10: graph.shortest_path(self.edges, start, end, max_depth),
             "graph.affected": lambda node, max_depth=10: graph.affected(self.edges, node, max_depth),
@@ -221,6 +228,13 @@ class KnowledgeBase:
             raise KeyError(f"unknown operation: {operation}")
         return table[operation](**arguments)
 
+    def neighbors(self, node: str, query: str | None = None) -> DataFrame:
+        """Neighbours among pages and, with ``code_edges``, among sources, the best first."""
+        found = graph.neighbors(self.edges, self.pages, node, query)
+        if self.code_edges is None:
+            return found
+        return found.unionByName(codeintel.code_neighbors(self.code_edges, node, query)).orderBy(F.desc("score"), "other", "edge_type")
+
     def list_pages(self, page_type: str | None = None) -> DataFrame:
         rows = self.pages if page_type is None else self.pages.where(F.col("page_type") == page_type)
         return rows.select("id", "title", "page_type", "status").orderBy("id")

@@ -42,7 +42,7 @@ FOUND = T.StructType(
 #: Declaration patterns by language, (kind, pattern with the name in group 1).
 DECLARATIONS = {
     "svelte": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), ("const", r"^\s*(?:export\s+)?let\s+(\w+)")],
-    "html": [("id", r"\bid=\"([^\"]+)\""), ("script", r"<script[^>]*\bsrc=\"([^\"]+)\"")],
+    "html": [],
 }
 #: Import statements in the whole text, the target in group 1.
 IMPORTS = {
@@ -56,6 +56,9 @@ PY_IMPORT = re.compile(r"^([ \t]*)(?:from\s+([.\w]+)\s+import\s+(\([^)]*\)|[^\n#
 DYNAMIC = re.compile(r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)")
 CALL = re.compile(r"(?:\b([A-Za-z_]\w*)\s*(?:\.|::)\s*)?\b([A-Za-z_]\w*)\s*\(")
 NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "fn", "function", "func", "catch", "await", "new", "in", "and", "or", "not", "let", "super"}
+#: What holds no elements of a page: comments, scripts and styles.
+NO_MARKUP = re.compile(r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>", re.S | re.I)
+TAG = re.compile(r"<([A-Za-z][\w:.-]*)")
 TS_CLAUSE = re.compile(r"^[ \t]*(import|export)\s+(?:type\s+)?([^'\";()]*?)\s*\bfrom\s*['\"]([^'\"]+)['\"]", re.M)
 RUST_USE = re.compile(r"^[ \t]*(pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", re.M)
 
@@ -235,6 +238,14 @@ def extract(content: str | None, language: str | None) -> list[tuple]:
             no = _line(bare, m.start())
             out.append(_row("import", "import", m[1], no, 0, content.split("\n")[no - 1], target=m[1], deferred=True))
         return out + scopes.read(content, language, _row)
+    lines = content.split("\n")
+    markup = NO_MARKUP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content)
+    for m in TAG.finditer(markup):
+        no = _line(markup, m.start())
+        kind = "component" if language == "svelte" and m[1][0].isupper() else "element"
+        out.append(_row("symbol", kind, m[1], no, m.start() - markup.rfind("\n", 0, m.start()) - 1, lines[no - 1]))
+    if language == "html":
+        return out
     owner, depth, opened = None, 0, 0
     patterns = [(k, re.compile(p)) for k, p in DECLARATIONS[language]]
     for no, (line, code) in enumerate(zip(content.split("\n"), bare.split("\n"), strict=True), 1):
@@ -245,8 +256,6 @@ def extract(content: str | None, language: str | None) -> list[tuple]:
                 declared.add(m[1])
                 if kind == "function":
                     owner, opened = m[1], depth
-        if language == "html":
-            continue
         if no not in importing:
             for m in CALL.finditer(code):
                 if m[2] not in NOT_CALLS and m[2] not in declared and m[1] not in NOT_CALLS:
@@ -391,6 +400,23 @@ def index_tables(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     return {name: spark.read.parquet(f"{at}/{name}") for name in ("manifest", "findings", "edges")}
 
 
+def is_stale(files: DataFrame, manifest: DataFrame) -> bool:
+    """Whether a source tree's number of files or newest change differs from what the manifest has; contents aren't read."""
+    here, known = (df.agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("mtime")).alias("newest")).first() for df in (files, manifest))
+    return here["n"] != known["n"] or (here["newest"] or 0) > (known["newest"] or 0)
+
+
+def load_edges(spark: SparkSession, folder: str, path: str) -> DataFrame | None:
+    """Resolved edges of the index at ``path``, brought up to date first if the tree has moved on; None where none was ever built."""
+    tables = index_tables(spark, path)
+    if tables is None:
+        return None
+    if is_stale(scan(spark, folder), tables["manifest"]):
+        refresh(spark, folder, path)
+        tables = index_tables(spark, path)
+    return tables["edges"]
+
+
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Number of files and the last change, without reading contents."""
     return scan(spark, folder).agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("latest"))

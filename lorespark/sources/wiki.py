@@ -83,7 +83,7 @@ def _relation(x) -> tuple[str, str] | None:
 
 def _criterion(x) -> tuple[str, bool]:
     if isinstance(x, dict):
-        return str(x.get("text", "")), bool(x.get("checked", False))
+        return str(x.get("text", "")), str(x.get("checked", "")).lower() in ("true", "yes", "on")
     return str(x), False
 
 

@@ -267,3 +267,27 @@ def test_only_changed_files_are_read_again(spark, tmp_path):
     at = f"file://{root}/../index-src"
     stats = code.refresh(spark, str(root), at).first()
     assert stats["changed"] == 1 and code.index_tables(spark, at)["edges"].where("edge_type = 'calls'").count() == 2
+
+
+def test_pages_and_sources_are_one_graph(spark, tmp_path):
+    from lorespark.plans.search import KnowledgeBase
+    from lorespark.sources import wiki
+
+    root, at = tmp_path / "src", f"file://{tmp_path}/index"
+    root.mkdir()
+    (root / "a.rs").write_text("pub fn helper() {}\n")
+    (root / "b.rs").write_text("use crate::a::helper;\npub fn run() { helper() }\n")
+    assert code.load_edges(spark, str(root), at) is None
+    code.refresh(spark, str(root), at)
+    (root / "c.rs").write_text("use crate::a::helper;\npub fn late() { helper() }\n")
+    edges = code.load_edges(spark, str(root), at)  # refreshed first
+    near = lambda *a: {(r["other"], r["direction"], r["edge_type"]) for r in codeintel.code_neighbors(edges, *a).collect()}
+    assert near("a.rs#helper") >= {("b.rs#run", "in", "calls"), ("c.rs#late", "in", "calls")}
+    assert near("b.rs") == {("a.rs#helper", "out", "calls"), ("a.rs#crate::a::helper", "out", "imports")}
+    assert near("helper") == {("b.rs#run", "in", "calls"), ("c.rs#late", "in", "calls")}
+    scores = {r["other"]: r["score"] for r in codeintel.code_neighbors(edges, "helper", "LATE").collect()}
+    assert scores["c.rs#late"] == scores["b.rs#run"] + 2
+    pages = wiki.pages(spark.createDataFrame([("a.md", "---\ntitle: A\n---\nSee [[b]].\n"), ("b.md", "---\ntitle: B\n---\nText.\n")], "path string, content string"))
+    base = KnowledgeBase.from_pages(pages, code_edges=edges)
+    assert {r["other"] for r in base.call("graph.neighbors", node="wiki:a").collect()} == {"wiki:b"}
+    assert {r["other"] for r in base.call("graph.neighbors", node="helper").collect()} == {"b.rs#run", "c.rs#late"}

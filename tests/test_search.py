@@ -109,9 +109,7 @@ def test_page_feed_keeps_the_table_in_step(spark, tmp_path):
     run()
     run()
     assert sorted(map(tuple, table.read().collect())) == [("a", "2"), ("c", "1")]
-    before = table.version()
-    table.write(table.read().limit(0), before)
-    assert table.read().count() == 2
+    assert table.version() == 1
 
 
 def test_bursts_of_changes(spark):
