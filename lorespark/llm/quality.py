@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     sizes = sorted(map(tuple, sample.select("rank", "doc_id", F.octet_length("x") / (2 * WIDTH)).collect()))
     taken = fitting([int(n) for _, _, n in sizes], passages)
     if taken < len(sizes):
-        sample = sample.where(F.struct("rank", "doc_id") < F.struct(F.lit(sizes[taken][0]), F.lit(sizes[taken][1])))
+        rank, doc_id, _ = sizes[taken]
+        sample = sample.where((F.col("rank") < rank) | (F.col("rank") == rank) & (F.col("doc_id") < doc_id))
     sample = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     bags = [np.frombuffer(v.as_py(), "<f2").reshape(-1, WIDTH).astype(np.float32) for v in sample["x"]]
     return Model().fit(bags, np.asarray(sample["y"], np.float64))

@@ -127,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     sizes = sorted(map(tuple, sample.select("rank", "doc_id", F.size("x")).collect()))
     taken = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), coordinates, "right"))
     if taken < len(sizes):
-        sample = sample.where(F.struct("rank", "doc_id") < F.struct(F.lit(sizes[taken][0]), F.lit(sizes[taken][1])))
+        rank, doc_id, _ = sizes[taken]
+        sample = sample.where((F.col("rank") < rank) | (F.col("rank") == rank) & (F.col("doc_id") < doc_id))
     found = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     rows = [np.asarray(v.values, np.int32) for v in found["x"]]
     return fit(rows, np.asarray(found["y"], np.float64))
