@@ -57,6 +57,7 @@ def lint(pages: DataFrame, edges: DataFrame, sources: DataFrame | None = None, f
         found.append(issue(stale.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), "stale_sources_summary", "info", F.concat(F.col("n").cast("string"), F.lit(" stale source(s)")), F.lit("registry")))
     if paths is not None:
         stray = paths.select(F.regexp_extract("path", r"^(.+/\.wm)/", 1).alias("id")).where("id <> ''").distinct()
+        # fixed values: the names of these two issues
         found.append(issue(stray, "rogue_wm_dir", "error", "A second data folder below the project root"))
         found.append(issue(stray.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), "rogue_wm_summary", "info", F.concat(F.col("n").cast("string"), F.lit(" stray folder(s)")), F.lit("filesystem")))
     out = reduce(DataFrame.unionByName, found)
