@@ -15,18 +15,14 @@ key in common share a bucket:
 - in a larger one every text is a candidate of the bucket's smallest, which
   gives n - 1 pairs and not n**2.
 
-Where many texts share passages, all that two copies share may lie in larger
-buckets.  Texts with at least 1 / ``PARTNER`` of their single keys there (the
-hidden pair's less edited text has more than 1 / ``CROWDED``, or its other keys
-would show the pair) get their ``FURTHER`` k-mers of least hash as keys.  Those
-of small buckets are tried pair by pair; of the others each text takes its
-``RARE`` rarest (k-mers that the same texts have, as those of a passage, count
-once), and larger buckets are parted by adding a further, later one of
-them to the key that doesn't overlap those it has, up to ``LEVELS`` k-mers: all of
-them for sets of two; beyond, a text's ``KEPT`` large sets that fewest texts have
-grow by the ``NEXT`` ones each.  Small buckets are tried pair by pair, those that
-stay large by their smallest text.  No step is left
-out because another one found nothing, and no step is quadratic.
+The smallest text joins what is like it at little cost, so that large groups of
+copies have one root before the rest is sought: in every larger bucket all pairs
+of texts with different roots are compared by lengths and word counts, inside
+blocks of at most ``BLOCK`` texts of like length and between two blocks at a time.
+A first pass verifies, of each two roots in a block, the two texts whose counts
+are most alike, a second one every pair of roots that are still apart.  So no
+pair of a bucket is left out; the comparisons of a bucket grow with the square of
+its different roots, in memory for two blocks.
 
 Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
 dropped, which loses nothing; the others are aligned inside a band that is as
@@ -36,8 +32,9 @@ connected components.
 How it scales: equal texts (by MD5) collapse first, on the map side, so a text
 that a third of all rows share is one node.  The bucket shuffles carry two
 64-bit numbers a key; should two texts agree in the short number, both are
-looked at.  Sets of rare k-mers are at most ``RARE * (RARE - 1) / 2`` a text at
-first, and ``KEPT * NEXT`` for each further k-mer.  Words travel only for texts that pass the filters on lengths and
+looked at.  Texts of larger buckets carry 150 bytes a key, cut into blocks within
+range partitions, and a pair of blocks is a group of its own, so a bucket is dealt
+over all tasks.  Words travel only for texts that pass the filters on lengths and
 counts.  Bucket minima and component minima are partial aggregates; joins that
 meet a hot key have stored tables on both sides, so that adaptive execution can
 split them.  Nothing is collected.
@@ -56,7 +53,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,14 +69,8 @@ THRESHOLD = 0.8
 SINGLES = 24
 #: Buckets of at most so many texts are tried pair by pair.
 FEW = 16
-#: Texts with more than 1 / CROWDED of their keys in larger buckets may hide a copy, which has 1 / PARTNER there at least.
-CROWDED, PARTNER = 3, 6
-#: Keys that such texts get.
-FURTHER = 512
-#: Rarest of these, sets of which are keys.
-RARE = 24
-#: Most k-mers in such a set; how many of a text's large sets, those that fewest texts have, grow, and by how many of the next k-mers each.
-LEVELS, KEPT, NEXT = 4, 4, 3
+#: Larger ones of at most so many texts are compared in one go, those beyond in blocks of at most ``BLOCK`` texts.
+SOME, BLOCK = 48, 4096
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
 #: Coarser bins of the same counts, compared inside buckets.
@@ -143,19 +134,6 @@ def _sketch_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"keys": pd.Series([None if x is None else np.concatenate([x, shingle_keys(w, SINGLES)]).view(np.int64) for x, w in zip(keys, found, strict=True)], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object)})
 
 
-def placed_kmers(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``n`` labelled k-mers of least hash and their places in the text."""
-    h = labelled_kmers(words)
-    at = np.arange(len(h)) if len(h) <= n else np.sort(np.argpartition(h, n)[:n])
-    return h[at], at
-
-
-@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]))
-def _further_udf(texts: pd.Series) -> pd.DataFrame:
-    found = [placed_kmers(word_hashes(t), FURTHER) for t in texts]
-    return pd.DataFrame({"keys": pd.Series([h.view(np.int64) for h, _ in found], dtype=object), "places": pd.Series([p.astype(np.int32) for _, p in found], dtype=object)})
-
-
 @F.pandas_udf(T.BooleanType())
 def _bags_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     """Whether no more than ``limit`` words are surplus on either side; an edit changes either surplus by one at most."""
@@ -194,6 +172,105 @@ def _fitting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.record_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
+BLOCKS = "key long, n int, lo int, hi int, least long, most long, ids binary, roots binary, sizes binary, bags binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, id, root, size, bag)`` in order of key and size as ``BLOCKS`` of one key each."""
+    held: list[tuple] = []
+
+    def block() -> pa.RecordBatch:
+        key, ids, roots, sizes = (np.concatenate([h[i] for h in held]) for i in range(4))
+        bags = b"".join(h[4] for h in held)
+        held.clear()
+        row = (int(key[0]), len(ids), int(sizes[0]), int(sizes[-1]), int(roots.min()), int(roots.max()), ids.tobytes(), roots.tobytes(), sizes.tobytes(), bags)
+        kinds = (pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.binary()] * 4)
+        return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+
+    for batch in batches:
+        key, ids, roots, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        bags = b"".join(batch.column(4).to_pylist())
+        at = 0
+        ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+        for end in ends:
+            while at < end:
+                if held and (held[0][0][0] != key[at] or sum(len(h[0]) for h in held) >= BLOCK):
+                    yield block()
+                to = min(end, at + BLOCK - sum(len(h[0]) for h in held))
+                held.append((key[at:to], ids[at:to], roots[at:to], sizes[at:to], bags[at * BINS : to * BINS]))
+                at = to
+    if held:
+        yield block()
+
+
+def _ranges(x: dict, y: dict | None) -> tuple[dict, dict, np.ndarray, np.ndarray, np.ndarray]:
+    """``x`` and ``y`` (None: ``x`` with itself) in the order in which fewer pairs are looked at, and ranges ``left, begin, end``: texts of ``y`` that ``x[left]`` meets."""
+    alone, y = y is None, x if y is None else y
+    reach = 1 / THRESHOLD
+    here = np.arange(len(x["size"]))
+    # by length: what no other length may be like is passed over
+    end = np.searchsorted(y["size"], np.floor(x["size"] * reach + 1e-6), "right")
+    begin = here + 1 if alone else np.searchsorted(y["size"], np.ceil(x["size"] / reach - 1e-6), "left")
+    # by root: what is linked already is passed over
+    by = lambda z, order: {k: v[order] for k, v in z.items()}
+    xr, yr = by(x, np.argsort(x["root"], kind="stable")), by(y, np.argsort(y["root"], kind="stable"))
+    before, after = np.searchsorted(yr["root"], xr["root"], "left"), np.searchsorted(yr["root"], xr["root"], "right")
+    left, start, stop = (here, after, np.full(len(here), len(here))) if alone else (np.concatenate([here, here]), np.concatenate([np.zeros_like(before), after]), np.concatenate([before, np.full(len(here), len(yr["root"]))]))
+    if (stop - start).sum() < np.maximum(end - begin, 0).sum():
+        return xr, yr, left, start, stop
+    return x, y, here, begin, np.maximum(end, begin)
+
+
+def _apart(x: dict, y: dict | None, best: bool) -> pa.RecordBatch:
+    """Pairs of different roots in one block, or between two, that lengths and counts don't exclude; ``best``: of each two roots those most alike."""
+    x, y, left, begin, end = _ranges(x, y)
+    n = end - begin
+    total, found = np.cumsum(n), []
+    of = lambda c: (c.astype(np.float32), c.sum(1, dtype=np.int64))
+    sides = [[of(z["bag"].reshape(-1, COARSE, BINS // COARSE).sum(2, dtype=np.int32)), of(z["bag"])] for z in (x, y)]
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 18), "right")))
+        m = n[lo:hi]
+        i = np.repeat(left[lo:hi], m)
+        k = np.arange(len(i)) + np.repeat(begin[lo:hi] - (np.cumsum(m) - m), m)
+        lo = hi
+        limit = np.floor((1 - THRESHOLD) * np.maximum(x["size"][i], y["size"][k]) + 1e-9)
+        near = (x["root"][i] != y["root"][k]) & (np.abs(x["size"][i] - y["size"][k]) <= limit)
+        i, k, limit = i[near], k[near], limit[near]
+        # coarse counts first, for what they leave the finer ones
+        for (cx, sx), (cy, sy) in zip(*sides, strict=True):
+            diff = cx[i]
+            diff -= cy[k]
+            # the surpluses of both sides are half of their sum and difference
+            apart = (np.abs(diff, out=diff) @ np.ones(diff.shape[1], np.float32) + np.abs(sx[i] - sy[k])) / 2
+            fits = apart <= limit
+            i, k, limit, apart = i[fits], k[fits], limit[fits], apart[fits]
+        if best and len(i):
+            one, two = np.minimum(x["root"][i], y["root"][k]), np.maximum(x["root"][i], y["root"][k])
+            order = np.lexsort((apart, two, one))
+            first = np.ones(len(order), bool)
+            first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            i, k = i[order[first]], k[order[first]]
+        found.append((x["id"][i], y["id"][k]))
+    a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
+    return pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _opened(block: dict) -> dict:
+    number = lambda c, t: np.frombuffer(block[c], t)
+    return {"id": number("ids", np.int64), "root": number("roots", np.int64), "size": number("sizes", np.int32).astype(np.int64), "bag": number("bags", np.uint8).reshape(-1, BINS)}
+
+
+def _between(best: bool):
+    """Pairs of a group that holds one block, or two."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_apart(*([_opened(b) for b in group.to_pylist()] + [None])[:2], best)])
+
+    return pairs
+
+
 @F.pandas_udf(T.BinaryType())
 def _words_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: (word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes())
@@ -210,14 +287,14 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def bucketed(entries: DataFrame, *more: Column) -> DataFrame:
-    """``(key, id, n)`` of the entries whose key has n > 1 texts, with ``more`` of a key's texts; stored."""
-    shared = _stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1"), "shared-keys")
+def bucketed(entries: DataFrame) -> DataFrame:
+    """``(key, id, n)`` of the entries whose key has n > 1 texts; stored."""
+    shared = _stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
     return _stored(entries.join(shared, "key"), "buckets")
 
 
 def candidates(shared: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of small buckets, and of larger buckets' smallest texts with their others."""
+    """Distinct pairs ``(a, b)`` of small buckets, and of larger buckets' smallest texts with their others, whose further pairs ``crowded_links`` seeks."""
     hot = shared.where(F.col("n") > FEW)
     least = checkpointed(hot.groupBy("key").agg(F.min("id").alias("a")))
     star = hot.join(least, "key").where("id <> a").select("a", F.col("id").alias("b"))
@@ -228,13 +305,6 @@ def candidates(shared: DataFrame) -> DataFrame:
     return star.union(few).distinct()
 
 
-def hot_texts(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(id, node, crowded)`` of the texts with enough single keys in larger buckets."""
-    hot = shared.where((F.col("n") > FEW) & (F.col("key") % 2 == 0)).groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
-    keys = F.least(F.greatest(F.col("size") - (K - 1), F.lit(1)), F.lit(SINGLES))
-    return hot.join(nodes.select("id", "node", "size"), "id").where(F.col("hot") * PARTNER >= keys).select("id", "node", (F.col("hot") * CROWDED > keys).alias("crowded"))
-
-
 def grown(found: DataFrame, new: DataFrame) -> DataFrame:
     """Components ``found(node, root)`` after the links ``new(a, b)``: only the roots that these join are worked on."""
     of = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -244,44 +314,43 @@ def grown(found: DataFrame, new: DataFrame) -> DataFrame:
     return checkpointed(found.join(over, "root", "left").select("node", F.coalesce("_over", "root").alias("root")).union(top))
 
 
-def hidden_links(texts: DataFrame, nodes: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
-    """Components ``found(node, root)`` with the links among ``hot(id, node, crowded)``, sought by sets of rare k-mers."""
-    texts = _stored(_chosen(texts, hot), "hot-texts-once")
-    classed = hot.join(nodes.select("id", "size", "bag"), "id").join(found, "node", "left")
-    mine = _stored(classed.select("id", "node", "crowded", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "bag", _coarse_udf("bag").alias("coarse")), "hot-nodes")
-    entries = texts.join(mine.select("id", "node"), "node").select("id", _further_udf("text").alias("f"))
-    entries = entries.select("id", F.explode(F.arrays_zip("f.keys", "f.places")).alias("f")).select("id", F.col("f.keys").alias("key"), F.col("f.places").alias("place"))
-    # texts(key) stands for the set of texts that have a k-mer; those of one set (a passage's) count once
-    shared = bucketed(entries, F.bit_xor(F.xxhash64("id")).alias("texts"))
-    small = shared.where(F.col("n") <= FEW).select("key", "id")
-    # at most FURTHER a text
-    ranked = shared.where(F.col("n") > FEW).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "texts", "key", "place"))).alias("all"))
-    once = F.filter("all", lambda x, i: (i == 0) | (F.get(F.col("all"), i - 1)["texts"] != x["texts"]))
-    ranked = ranked.select("id", F.slice(once, 1, RARE).alias("rare"))
-    rare = _stored(ranked.join(mine.select("id", "root", "crowded"), "id"), "rare-kmers")
-    now = rare.select("id", F.posexplode("rare").alias("last", "x")).select("id", "last", F.col("x.key").alias("key"), F.array("x.place").alias("places"))
-    for level in range(2, LEVELS + 1):
-        apart = lambda y: (y["at"] > F.col("last")) & F.forall(F.col("places"), lambda p: F.abs(p - y["place"]) >= K)
-        more = F.filter(F.transform("rare", lambda y, i: F.struct(i.alias("at"), y["key"].alias("key"), y["place"].alias("place"))), apart)
-        more = more if level == 2 else F.slice(more, 1, NEXT)
-        wider = now.join(rare, "id").select("id", "root", "crowded", "key", "places", F.explode(more).alias("y"))
-        wider = _stored(wider.select("id", "root", "crowded", F.xxhash64("key", "y.key").alias("key"), F.col("y.at").alias("last"), F.array_append("places", F.col("y.place")).alias("places")), "kmer-sets")
-        live = wider.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("crowded").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and any and lo <> hi")
-        held = _stored(wider.join(_stored(live.select("key", "n"), "live-sets"), "key").select("id", "key", "n", "last", "places"), "live-entries")
-        small = small.union(held.where(F.col("n") <= FEW).select("key", "id"))
-        large = held.where(F.col("n") > FEW)
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "key"))
-        now = _stored(large.withColumn("rank", rank).where(F.col("rank") <= KEPT).drop("rank", "n"), "grown-sets")
-        if level == LEVELS or now.isEmpty():
-            break
-    # the pairs of all small buckets at once, FEW members each; of the large ones that are left the smallest text with the others
-    full = small.join(mine.select("id", "root", "size", "coarse"), "id").groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", "coarse")).alias("members"))
-    rooted = now.select("key", "id").join(mine.select("id", "root"), "id")
-    least = checkpointed(rooted.groupBy("key").agg(F.min(F.struct("id", "root")).alias("least")))
-    star = rooted.join(least, "key").where(F.col("root") != F.col("least.root")).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
-    pairs = full.select("members").mapInArrow(_fitting_pairs, "a long, b long").union(star).distinct()
-    new = checkpointed(links(texts, checkpointed(pairs), mine.select("id", "node", "size", "bag")))
-    return found if new.isEmpty() else grown(found, new)
+def crowds(hot: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, id, n, root, size, bag)`` of the entries ``hot(key, id, n)`` of buckets whose texts have different roots; stored."""
+    mine = nodes.select("id", "node", "size", "bag").join(found, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "bag")
+    all_of = _stored(hot.join(mine, "id").select("key", "id", "root", "size", "bag", "n"), "crowds")
+    mixed = checkpointed(all_of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
+    return all_of.join(broadcast_if_small(mixed), "key", "left_semi")
+
+
+def between_blocks(entries: DataFrame, best: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of different roots of ``entries(key, id, root, size, bag)`` that have a key in common and are not excluded."""
+    order = ("key", "size", "id")
+    rows = entries.select("key", "id", "root", "size", "bag").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = _stored(rows.mapInArrow(_cut, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    of = lambda x: blocks.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "least", "most")])
+    like = lambda x, y: F.col(f"hi_{x}") + 1 >= F.col(f"lo_{y}") * THRESHOLD
+    apart = F.least("least_x", "least_y") != F.greatest("most_x", "most_y")
+    met = of("x").join(of("y"), "key").where((F.col("block_x") <= F.col("block_y")) & like("x", "y") & like("y", "x") & apart)
+    sides = met.select("block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
+    whole = sides.join(blocks.select("block", "ids", "roots", "sizes", "bags"), "block")
+    return whole.groupBy("block_x", "block_y").applyInArrow(_between(best), "a long, b long")
+
+
+def crowded_links(texts: DataFrame, nodes: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Components ``found(node, root)`` with all links of the texts in buckets above ``FEW``."""
+    hot = shared.where(F.col("n") > FEW)
+    for best in (True, False):
+        rooted = crowds(hot, nodes, found)
+        pairs = between_blocks(rooted.where(F.col("n") > SOME), best)
+        if best:
+            # no more than SOME members each, all of their pairs at once
+            full = rooted.where(F.col("n") <= SOME).groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", _coarse_udf("bag").alias("coarse"))).alias("members"))
+            pairs = tried = checkpointed(pairs.union(full.select("members").mapInArrow(_fitting_pairs, "a long, b long")).distinct())
+        else:
+            pairs = checkpointed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        new = checkpointed(links(texts, pairs, nodes))
+        found = found if new.isEmpty() else grown(found, new)
+    return found
 
 
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -289,14 +358,7 @@ def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = docs.select(node(F.col("text")).alias("node"), "text")
     shared = bucketed(nodes.select("id", F.explode("keys").alias("key")))
     found = checkpointed(components(checkpointed(links(texts, checkpointed(candidates(shared)), nodes))))
-    hot = _stored(hot_texts(shared, nodes), "hot-texts")
-    return found if hot.where("crowded").isEmpty() else hidden_links(texts, nodes, hot, found)
-
-
-def _chosen(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row a node of ``texts(node, text)`` that is in ``wanted(node)``."""
-    some = texts.join(broadcast_if_small(wanted.select("node"), WANTED), "node", "left_semi")
-    return some.groupBy("node").agg(F.first("text").alias("text"))
+    return found if shared.where(F.col("n") > FEW).isEmpty() else crowded_links(texts, nodes, shared, found)
 
 
 def links(texts: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -237,3 +237,56 @@ def test_pairs_of_small_buckets_by_brute_force():
                 if x["root"] != y["root"] and abs(x["size"] - y["size"]) <= limit and max(np.maximum(diff, 0).sum(), np.maximum(-diff, 0).sum()) <= limit:
                     want.append((min(x["id"], y["id"]), max(x["id"], y["id"])))
     assert sorted(got) == sorted(want) and got
+
+
+@pytest.mark.parametrize("best", [False, True])
+def test_pairs_of_blocks_by_brute_force(best, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        size = int(rng.integers(20, 40))
+        root = int(rng.integers(0, 5)) if i % 3 else 100 + i
+        rows.append((int(i >= 260), i, root, size, np.bincount(rng.integers(0, 6, size), minlength=near_dup.BINS).astype(np.uint8).tobytes()))
+    rows.sort(key=lambda r: (r[0], r[3]))
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "id", "root", "size", "bag"])
+    blocks = [b for x in near_dup._cut(iter([batch.slice(0, 70), batch.slice(70)])) for b in x.to_pylist()]
+    assert [b["n"] for b in blocks] == [40] * 6 + [20, 40]
+    got = []
+    for i, x in enumerate(blocks):
+        for y in blocks[i:]:
+            if x["key"] == y["key"]:
+                group = pa.Table.from_pylist([x] if x is y else [x, y])
+                got += [tuple(r.values()) for r in near_dup._between(best)(group).to_pylist()]
+    want = set()
+    for i, (key, a, root, size, bag) in enumerate(rows):
+        for other, b, its, long, bag_b in rows[i + 1 :]:
+            diff = np.frombuffer(bag, np.uint8).astype(int) - np.frombuffer(bag_b, np.uint8)
+            if key == other and root != its and max(np.maximum(diff, 0).sum(), np.maximum(-diff, 0).sum()) <= int(0.2 * max(size, long) + 1e-9):
+                want.add((min(a, b), max(a, b)))
+    root = {r[1]: r[2] for r in rows}
+    roots = lambda pairs: {(min(root[a], root[b]), max(root[a], root[b])) for a, b in pairs}
+    if best:
+        assert set(got) <= want and roots(got) == roots(want) and len(got) < len(want)
+    else:
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_no_pair_of_a_large_bucket_is_left_out(spark):
+    rng = random.Random(44)
+    passage = [f"p{i}" for i in range(60)]
+    rows, pairs = [], []
+    for k in range(150):
+        # all that copies share is in the passage, all the rest is in another order
+        own = [f"w{k}x{i}" for i in range(14)]
+        at = rng.randrange(60)
+        base = passage[:at] + own + passage[at:]
+        other = passage[:at] + [f"v{k}x{i}" if i % 5 == 0 else w for i, w in enumerate(own)] + passage[at:]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    texts = [word_hashes(t) for _, t in rows]
+    keys = [set(np.concatenate([near_dup.order_keys(w), near_dup.shingle_keys(w, near_dup.SINGLES)]).tolist()) for w in texts]
+    pairs = [(i, j) for i in range(300) for j in range(i) if keys[i] & keys[j] and similar(texts[i], texts[j], near_dup.THRESHOLD)]
+    got = classes_of(spark, [(*r, None, None) for r in rows])
+    assert [got[i]["class_id"] for i in range(300)] == groups(300, pairs)
