@@ -15,7 +15,8 @@ and therefore no totals, and the batch can be committed anew.  ``compact``
 folds committed batches into a snapshot that remembers their names.
 
 How it scales: tokenising is a map over whole texts with a public vocabulary
-(``tokenizers``, loaded once a worker from a path parameter); every batch is
+(``tokenizers``, loaded once a worker from a path parameter) that sees a word
+once as long as a worker remembers it; every batch is
 reduced to at most one row a (source, language, version) by partial sums, so a
 hot source costs nothing, and later reads see the reduced rows only.
 
@@ -29,6 +30,7 @@ name, not its rows, is what makes it idempotent).  Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +50,9 @@ KEYS = ("source", "lang", "tokenizer")
 TOTALS = T.StructType([T.StructField(k, T.StringType()) for k in KEYS] + [T.StructField("documents", T.LongType()), T.StructField("tokens", T.LongType())])
 #: Texts go to the tokenizer in parts of at most so many characters, cut before a space.
 PART = 200_000
+#: Words with their space are counted once a worker, of at most ``LONG`` characters and up to so many.
+KNOWN, LONG = 500_000, 64
+CUT = re.compile(r"(?<=[!-~\u00a1-\u024f]) (?=[!-~\u00a1-\u024f])")
 
 
 def parts(text: str, size: int = PART) -> Iterator[str]:
@@ -62,6 +67,12 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
         at = end
 
 
+def words(text: str) -> list[str]:
+    """A text cut before single spaces between signs that are no white space; such a space begins a token's word."""
+    first, *others = CUT.split(text)
+    return [first, *[" " + w for w in others]]
+
+
 def counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     """A column function that counts the tokens of texts."""
 
@@ -72,12 +83,25 @@ def counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
         t = Tokenizer.from_file(os.path.join(folder, vocabulary))
         t.encode_special_tokens = True
+        known: dict[str, int] = {}
+
+        def sizes(texts: list[str]) -> list[int]:
+            return [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
         for texts in batches:
             counts = []
             for lo in range(0, len(texts), 64):
-                group = [list(parts(x or "")) for x in texts.iloc[lo : lo + 64]]
-                sizes = iter([len(e.ids) for e in t.encode_batch([p for g in group for p in g], add_special_tokens=False)])
-                counts += [sum(next(sizes) for _ in g) for g in group]
+                group = [words(x or "") for x in texts.iloc[lo : lo + 64]]
+                if len(known) > KNOWN:
+                    known.clear()
+                new = [w for w in set().union(*group) if w not in known]
+                short = [w for w in new if len(w) <= PART]
+                known.update(zip(short, sizes(short), strict=True))
+                known.update((w, sum(sizes(list(parts(w))))) for w in new if len(w) > PART)
+                counts += [sum(map(known.__getitem__, g)) for g in group]
+                for w in new:
+                    if len(w) > LONG:
+                        del known[w]
             yield pd.Series(counts, dtype="int64")
 
     return tokens

@@ -142,3 +142,16 @@ def test_a_batch_that_cannot_be_moved_is_not_committed(spark, tmp_path, monkeypa
     monkeypatch.undo()
     assert totals(rollup) == {} and not rollup.committed("b") and not os.listdir(tmp_path / "r/pending")
     assert rollup.commit("b", df) and totals(rollup) == {("a", "en", "v1"): (1, 5)}
+
+
+def test_words_add_up_to_the_whole_text(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{tc.TOKENIZERS}/{tc.VOCABULARY}")
+    t.encode_special_tokens = True
+    texts = ["", " ", "a", " a  b ", "it 's 'll a.b . c", "x  y z", "<|endoftext|> a <|endoftext|>", "a\x1c \x1fb", "Grüße, ça va ? \n\n  ja", "日本 語 a", "w " * 300 + "z" * 300, "1 2 $ 3%"]
+    whole = [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [sum(len(t.encode(w, add_special_tokens=False).ids) for w in tc.words(x)) for x in texts] == whole
+    assert all("".join(tc.words(x)) == x for x in texts) and len(tc.words("a b. c")) == 3
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert [r[0] for r in df.select(tc.counter()(F.col("text"))).collect()] == whole
