@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -163,6 +164,11 @@ def stem(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda w: None if w is None else p.stem(w))
 
 
+def remembered_stems(most: int = 500_000):
+    """``stem_word`` that remembers at most so many words, for texts that are read a token at a time."""
+    return lru_cache(most)(Porter2().stem)
+
+
 def tokenize(text: str) -> list[str]:
     """The tokenizer for query strings on the driver: compounds, parts, and stems that differ."""
     import re

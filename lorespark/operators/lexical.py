@@ -10,10 +10,16 @@ postings bucketed or sorted by ``term`` for pruning at scale.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scoring, text
 from ..sources.store import stored
@@ -57,16 +63,60 @@ def term_counts(tokens: Column) -> Column:
     return _let(F.sort_array(tokens), runs)
 
 
-def _counted(fields: DataFrame, tokens: Column | None, only: DataFrame | None = None) -> DataFrame:
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+COUNTED = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("terms", TERMS)])
+
+
+def _arrow_counts(counts: list[dict[str, int]], lengths: list[int]) -> pa.StructArray:
+    at = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+    terms = pa.array([t for c in counts for t in c], pa.string())
+    tf = pa.array([n for c in counts for n in c.values()], pa.int64())
+    lists = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([terms, tf], ["term", "tf"]))
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), lists], ["length", "terms"])
+
+
+def code_counter(stems: bool):
+    """``counter`` of ``text.code_tokens``, from lower-cased texts."""
+
+    @F.arrow_udf(COUNTED)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        stem = text.remembered_stems() if stems else None
+        find = re.compile(text.TOKEN).findall
+        for texts in batches:
+            counts = []
+            for value in texts:
+                raw, found = Counter(find(value.as_py() or "")), Counter()
+                for token, n in raw.items():
+                    if "_" in token or "-" in token:
+                        found[token] += n
+                        parts = token.replace("-", "_").split("_")
+                    else:
+                        parts = (token,)
+                    for p in parts:
+                        if len(p) > 1:
+                            found[p] += n
+                            if stem is not None and (s := stem(p)) != p:
+                                found[s] += n
+                counts.append(found)
+            yield _arrow_counts(counts, [c.total() for c in counts])
+
+    return count
+
+
+def _counted(fields: DataFrame, tokens: Column | None, only: DataFrame | None = None, stems: bool = False) -> DataFrame:
     """``(doc_id, field, weight, length, term, tf)``; the empty term stands for the field itself, so that its length is kept.
 
-    A field's terms are counted inside its row, so neither texts nor terms are
-    shuffled here.
+    A field's terms and stems are counted inside its row, so neither texts nor
+    terms are shuffled here; stems lengthen their field.
     """
-    tokens = F.coalesce(text.code_tokens("text") if tokens is None else tokens, F.array().cast("array<string>"))
-    rows = fields.select("doc_id", "field", F.col("weight").cast("double").alias("weight"), tokens.alias("tokens"))
+    if tokens is not None:
+        if stems:
+            raise ValueError("stems are of code-aware tokens")
+        tokens = F.coalesce(tokens, F.array().cast("array<string>"))
+    counts = code_counter(stems)(F.lower("text")) if tokens is None else F.struct(F.size(tokens).alias("length"), term_counts(tokens).alias("terms"))
+    rows = fields.select("doc_id", "field", F.col("weight").cast("double").alias("weight"), counts.alias("c"))
     own = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
-    counted = rows.select("doc_id", "field", "weight", F.size("tokens").alias("length"), F.explode(F.concat(own, term_counts(F.col("tokens")))).alias("t"))
+    counted = rows.select("doc_id", "field", "weight", "c.length", F.explode(F.concat(own, F.col("c.terms"))).alias("t"))
     said = counted.select("doc_id", "field", "weight", "length", "t.term", "t.tf")
     if only is not None:
         wanted = fields.sparkSession.createDataFrame([("",)], "term string")
@@ -74,21 +124,9 @@ def _counted(fields: DataFrame, tokens: Column | None, only: DataFrame | None =
     return said
 
 
-def _with_stems(counted: DataFrame) -> DataFrame:
-    """Postings with the stem of a part beside it where it differs; stems lengthen their field."""
-    parts = counted.where(~F.rlike(F.col("term"), F.lit(r"[_\-]")))
-    stemmed = parts.select("term").distinct().withColumn("stem", text.stem("term")).where("stem <> term")
-    extra = parts.join(stemmed, "term").select("doc_id", "field", "weight", "length", F.col("stem").alias("term"), "tf")
-    both = counted.unionByName(extra).groupBy("doc_id", "field", "weight", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    added = extra.groupBy("doc_id", "field").agg(F.sum("tf").alias("added"))
-    longer = both.join(added, ["doc_id", "field"], "left").withColumn("length", F.col("length") + F.coalesce("added", F.lit(0)))
-    return longer.select("doc_id", "field", "weight", "length", "term", "tf")
-
-
 def term_frequencies(fields: DataFrame, tokens: Column | None = None, stems: bool = False) -> DataFrame:
     """Postings of every field; with stems, a part's stem counts beside it where it differs."""
-    counted = _counted(fields, tokens).where("term <> ''")
-    return _with_stems(stored(counted, "terms")) if stems else counted
+    return _counted(fields, tokens, stems=stems).where("term <> ''")
 
 
 def build_index(fields: DataFrame, tokens: Column | None = None, stems: bool = False, only: DataFrame | None = None) -> Index:
@@ -96,16 +134,19 @@ def build_index(fields: DataFrame, tokens: Column | None = None, stems: bool = F
 
     Texts are split once; the counts are stored, as everything else is read from them.
     """
-    if stems and only is not None:
-        raise ValueError("stems lengthen fields, so all terms are needed")
-    counted = stored(_counted(fields, tokens, only), "postings")
+    counted = stored(_counted(fields, tokens, only, stems), "postings")
     own, postings = counted.where("term = ''"), counted.where("term <> ''")
-    if stems:
-        postings = stored(_with_stems(postings), "stemmed-postings")
-        per = postings.select("doc_id", "field", "length").distinct().withColumn("tf", F.lit(1))
+    per = own.where("length > 0").select("field", "length", "tf")
+    # of documents with one field no term is met twice, so they need no shuffle of (term, document)
+    several = stored(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several-fields")
+    said = postings.select("term", "doc_id")
+    if few(several):
+        same = F.col("doc_id").eqNullSafe(F.col("_several"))
+        more = F.broadcast(several.withColumnRenamed("doc_id", "_several"))
+        said = said.join(more, same, "left_anti").select("term").unionByName(said.join(more, same, "left_semi").distinct().select("term"))
     else:
-        per = own.where("length > 0").select("field", "length", "tf")
-    frequencies = postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        said = said.distinct()
+    frequencies = said.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lengths = per.groupBy("field").agg(F.sum(F.col("length") * F.col("tf")).alias("total"), F.sum("tf").cast("long").alias("docs"))
     return Index(postings, frequencies, lengths, own.agg(F.count_distinct("doc_id").alias("n")), stems)
 
@@ -116,9 +157,13 @@ def query_terms(queries: DataFrame, tokens: Column | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+def few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
 def broadcast_few(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast where its counted rows are few, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+    return F.broadcast(df) if few(df) else df
 
 
 def bm25(index: Index, terms: DataFrame) -> DataFrame:
@@ -127,12 +172,12 @@ def bm25(index: Index, terms: DataFrame) -> DataFrame:
     Scores are rounded to 9 places, so that the order in which parts are summed
     never decides between equal documents.
     """
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = few(terms)
     n = index.total.scalar()
-    weighed = (F.broadcast(terms) if few else terms).join(index.frequencies, "term").select("query_id", "term", (F.col("times") * scoring.idf(n, "df")).alias("idf"))
+    weighed = (F.broadcast(terms) if small else terms).join(index.frequencies, "term").select("query_id", "term", (F.col("times") * scoring.idf(n, "df")).alias("idf"))
     means = index.lengths.select("field", F.greatest(F.col("total") / F.col("docs"), F.lit(1.0)).alias("mean"))
     said = index.postings.where("weight <> 0").join(F.broadcast(means), "field").select("doc_id", "term", (F.col("weight") * scoring.tf_part("tf", "length", "mean")).alias("part"))
-    hits = said.join(F.broadcast(weighed) if few else weighed, "term")
+    hits = said.join(F.broadcast(weighed) if small else weighed, "term")
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
 
 

@@ -116,11 +116,11 @@ def bm25_fields(spark, d):
 def bm25_stemmed(spark, d):
     """Stemmed index, benchmark texts as queries; no SQL, as the oracle has no stemmer."""
     fields = _fields(_documents(spark, d))
-    index = lexical.build_index(fields, stems=True)
     terms = stored(lexical.query_terms(_queries(spark, d)), "terms")
     stems = terms.select("term").distinct().withColumn("stem", text.stem("term")).where("stem <> term and not term rlike '[_-]'")
     more = terms.join(stems, "term").select("query_id", F.col("stem").alias("term"), "times")
     both = stored(terms.unionByName(more).groupBy("query_id", "term").agg(F.sum("times").alias("times")), "terms")
+    index = lexical.build_index(fields, stems=True, only=both)
     return lexical.top_k(lexical.bm25(index, both), 10).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), six("score").alias("score"))
 
 

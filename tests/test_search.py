@@ -117,3 +117,14 @@ def test_bursts_of_changes(spark):
     rows = spark.createDataFrame([("a", at(0)), ("a", at(0.3)), ("a", at(0.9)), ("b", at(0.1))], "path string, at timestamp")
     got = feeds.debounced_batch(rows, "path", "at", 0.5).groupBy("path").agg(F.sort_array(F.collect_list("changes")).alias("n")).collect()
     assert {r["path"]: list(r["n"]) for r in got} == {"a": [1, 2], "b": [1]}
+
+
+def test_stems_are_counted_inside_rows_and_only_wanted_terms_kept(spark):
+    from lorespark.operators import lexical
+
+    fields = spark.createDataFrame([(1, "b", "Running runs run-time a", 1.0), (2, "b", None, 1.0), (3, "h", "runs", 4.0), (3, "b", "runs", 1.0)], "doc_id long, field string, text string, weight double")
+    only = spark.createDataFrame([("run",)], "term string")
+    index = lexical.build_index(fields, stems=True, only=only)
+    assert sorted((r["doc_id"], r["field"], r["length"], r["term"], r["tf"]) for r in index.postings.collect()) == [(1, "b", 7, "run", 3), (3, "b", 2, "run", 1), (3, "h", 2, "run", 1)]
+    assert [tuple(r) for r in index.frequencies.collect()] == [("run", 2)]
+    assert index.total.first()["n"] == 3
