@@ -19,10 +19,14 @@ The smallest text joins what is like it at little cost, so that large groups of
 copies have one root before the rest is sought: in every larger bucket all pairs
 of texts with different roots are compared by lengths and word counts, inside
 blocks of at most ``BLOCK`` texts of like length and between two blocks at a time.
-A first pass verifies, of each two roots in a block, the two texts whose counts
-are most alike, a second one every pair of roots that are still apart.  So no
-pair of a bucket is left out; the comparisons of a bucket grow with the square of
-its different roots, in memory for two blocks.
+What counts leave is aligned there, by two bytes a word, which never makes texts less
+alike than they are.  So only pairs that are alike by these codes leave a block, no
+more than join its roots to classes; their words decide.  A first pass tries, of each
+two roots in a block, the two texts whose counts are most alike, a second one every
+pair of roots that are still apart, both in the first bucket that the pair shares.  Where
+words refuse one, a third pass lists all such pairs of its bucket.  So no pair is left
+out; the comparisons of a bucket grow with the square of its different roots, in
+memory for two blocks, the rows that leave it don't.
 
 Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
 dropped, which loses nothing; the others are aligned inside a band that is as
@@ -69,8 +73,8 @@ THRESHOLD = 0.8
 SINGLES = 24
 #: Buckets of at most so many texts are tried pair by pair.
 FEW = 16
-#: Larger ones of at most so many texts are compared in one go, those beyond in blocks of at most ``BLOCK`` texts.
-SOME, BLOCK = 48, 4096
+#: Larger ones are compared in blocks of at most so many texts and bytes of codes (a longer text is a block of its own).
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
 #: Coarser bins of the same counts, compared inside buckets.
@@ -126,12 +130,17 @@ def word_bag(words: np.ndarray) -> bytes:
     return np.minimum(np.bincount((words >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType()), T.StructField("bag", T.BinaryType())]))
+def word_codes(words: np.ndarray) -> bytes:
+    """Two bytes a word, in text order: equal words have equal codes."""
+    return (words >> np.uint64(32)).astype("<u2").tobytes()
+
+
+@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType()), T.StructField("bag", T.BinaryType()), T.StructField("code", T.BinaryType())]))
 def _sketch_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         found = [word_hashes(t) for t in texts]
         keys = [order_keys(w) for w in found]
-        yield pd.DataFrame({"keys": pd.Series([None if x is None else np.concatenate([x, shingle_keys(w, SINGLES)]).view(np.int64) for x, w in zip(keys, found, strict=True)], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object)})
+        yield pd.DataFrame({"keys": pd.Series([None if x is None else np.concatenate([x, shingle_keys(w, SINGLES)]).view(np.int64) for x, w in zip(keys, found, strict=True)], dtype=object), "size": [len(w) for w in found], "bag": pd.Series([word_bag(w) for w in found], dtype=object), "code": pd.Series([word_codes(w) for w in found], dtype=object)})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -141,12 +150,6 @@ def _bags_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series(np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= limit.to_numpy())
 
 
-@F.pandas_udf(T.BinaryType())
-def _coarse_udf(bags: pd.Series) -> pd.Series:
-    counts = np.frombuffer(b"".join(bags), np.uint8).reshape(-1, COARSE, BINS // COARSE).sum(2, dtype=np.int32)
-    return pd.Series([x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)], dtype=object)
-
-
 def _fitting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs ``(a, b)`` of different roots in ``members(id, root, size, coarse)`` of each bucket that sizes and coarse counts don't exclude."""
     for whole in batches:
@@ -172,35 +175,43 @@ def _fitting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.record_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
-BLOCKS = "key long, n int, lo int, hi int, least long, most long, ids binary, roots binary, sizes binary, bags binary"
+BLOCKS = "key long, n int, lo int, hi int, least long, most long, ids binary, roots binary, sizes binary, codes binary, hots binary, manys binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(key, id, root, size, bag)`` in order of key and size as ``BLOCKS`` of one key each."""
+    """Rows ``(key, id, root, size, code, hot)``, or with ``bag`` for the last two, in order of key and size as ``BLOCKS`` of one key each."""
     held: list[tuple] = []
 
-    def block() -> pa.RecordBatch:
+    def block(names: list[str]) -> pa.RecordBatch:
         key, ids, roots, sizes = (np.concatenate([h[i] for h in held]) for i in range(4))
-        bags = b"".join(h[4] for h in held)
+        more = [b"".join(h[i] for h in held) for i in range(4, len(held[0]))]
         held.clear()
-        row = (int(key[0]), len(ids), int(sizes[0]), int(sizes[-1]), int(roots.min()), int(roots.max()), ids.tobytes(), roots.tobytes(), sizes.tobytes(), bags)
-        kinds = (pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.binary()] * 4)
-        return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+        row = (int(key[0]), len(ids), int(sizes[0]), int(sizes[-1]), int(roots.min()), int(roots.max()), ids.tobytes(), roots.tobytes(), sizes.tobytes(), *more)
+        kinds = (pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.binary()] * (3 + len(more)))
+        return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["key", "n", "lo", "hi", "least", "most", "ids", "roots", "sizes", *names])
 
+    names: list[str] = []
     for batch in batches:
         key, ids, roots, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        bags = b"".join(batch.column(4).to_pylist())
+        payload = batch.column(4).to_pylist()
+        ends = np.cumsum([0, *map(len, payload)])
+        names = ["bags"]
+        if batch.num_columns > 5:
+            names = ["codes", "hots", "manys"]
+            many = np.diff(batch.column(5).offsets.to_numpy()).astype(np.int32)
+            hot, last = batch.column(5).flatten().to_numpy(), np.concatenate([[0], np.cumsum(many)])
         at = 0
-        ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
-        for end in ends:
+        for end in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []:
             while at < end:
-                if held and (held[0][0][0] != key[at] or sum(len(h[0]) for h in held) >= BLOCK):
-                    yield block()
-                to = min(end, at + BLOCK - sum(len(h[0]) for h in held))
-                held.append((key[at:to], ids[at:to], roots[at:to], sizes[at:to], bags[at * BINS : to * BINS]))
+                room = BLOCK_BYTES - sum(len(h[4]) for h in held)
+                to = min(end, at + BLOCK - sum(len(h[0]) for h in held), max(int(np.searchsorted(ends, ends[at] + room, "right")) - 1, at + (not held)))
+                if held and (held[0][0][0] != key[at] or to <= at):
+                    yield block(names)
+                    continue
+                held.append((key[at:to], ids[at:to], roots[at:to], sizes[at:to], b"".join(payload[at:to]), *((hot[last[at] : last[to]].tobytes(), many[at:to].tobytes()) if batch.num_columns > 5 else ())))
                 at = to
     if held:
-        yield block()
+        yield block(names)
 
 
 def _ranges(x: dict, y: dict | None) -> tuple[dict, dict, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,16 +232,16 @@ def _ranges(x: dict, y: dict | None) -> tuple[dict, dict, np.ndarray, np.ndarray
     return x, y, here, begin, np.maximum(end, begin)
 
 
-def _apart(x: dict, y: dict | None, best: bool) -> pa.RecordBatch:
-    """Pairs of different roots in one block, or between two, that lengths and counts don't exclude; ``best``: of each two roots those most alike."""
+def _apart(x: dict, y: dict | None, best: bool, chosen=None) -> pa.RecordBatch:
+    """Pairs of different roots in one block, or between two, that lengths, counts and ``chosen`` (places of pairs of rows to keep) don't exclude; ``best``: of each two roots those most alike."""
     x, y, left, begin, end = _ranges(x, y)
     n = end - begin
     total, found = np.cumsum(n), []
     of = lambda c: (c.astype(np.float32), c.sum(1, dtype=np.int64))
-    sides = [[of(z["bag"].reshape(-1, COARSE, BINS // COARSE).sum(2, dtype=np.int32)), of(z["bag"])] for z in (x, y)]
+    sides = [[of(z["bag"].reshape(-1, COARSE, z["bag"].shape[1] // COARSE).sum(2, dtype=np.int32)), of(z["bag"])] for z in (x, y)]
     lo = 0
     while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 18), "right")))
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 17), "right")))
         m = n[lo:hi]
         i = np.repeat(left[lo:hi], m)
         k = np.arange(len(i)) + np.repeat(begin[lo:hi] - (np.cumsum(m) - m), m)
@@ -251,7 +262,13 @@ def _apart(x: dict, y: dict | None, best: bool) -> pa.RecordBatch:
             order = np.lexsort((apart, two, one))
             first = np.ones(len(order), bool)
             first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-            i, k = i[order[first]], k[order[first]]
+            i, k, apart = i[order[first]], k[order[first]], apart[order[first]]
+        if chosen is not None:
+            # those most alike first, as they join roots
+            order = np.argsort(apart, kind="stable")
+            i, k = i[order], k[order]
+            kept = chosen(x["row"][i].tolist(), y["row"][k].tolist())
+            i, k = i[kept], k[kept]
         found.append((x["id"][i], y["id"][k]))
     a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
     return pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -259,14 +276,96 @@ def _apart(x: dict, y: dict | None, best: bool) -> pa.RecordBatch:
 
 def _opened(block: dict) -> dict:
     number = lambda c, t: np.frombuffer(block[c], t)
-    return {"id": number("ids", np.int64), "root": number("roots", np.int64), "size": number("sizes", np.int32).astype(np.int64), "bag": number("bags", np.uint8).reshape(-1, BINS)}
-
-
-def _between(best: bool):
-    """Pairs of a group that holds one block, or two."""
+    size = number("sizes", np.int32).astype(np.int64)
+    row = np.arange(len(size))
+    if "codes" in block:
+        bag = np.minimum(np.bincount(np.repeat(row, size) * 256 + (number("codes", "<u2") & 255), minlength=256 * len(size)), 255).astype(np.uint8).reshape(-1, 256)
+    else:
+        bag = number("bags", np.uint8).reshape(-1, BINS)
+    return {"id": number("ids", np.int64), "root": number("roots", np.int64), "size": size, "bag": bag, "row": row}
+
+
+def told_apart(values: np.ndarray) -> np.ndarray:
+    """``values`` below 2**32 in order, each with the number of its repeat in the lower 32 bits."""
+    s = np.sort(values.astype(np.uint64))
+    place = np.arange(len(s))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)], place, 0))
+    return s << np.uint64(32) | (place - begin).astype(np.uint64)
+
+
+def surplus(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values of the longer side the other lacks; both are ``told_apart``."""
+    both = np.sort(np.concatenate([a, b]))
+    return max(len(a), len(b)) - np.count_nonzero(both[1:] == both[:-1])
+
+
+class _Texts:
+    """Codes, their counts, those of pairs of neighbours, and buckets of a block's texts."""
+
+    def __init__(self, block: dict):
+        self.root = np.frombuffer(block["roots"], np.int64)
+        self.end = np.cumsum(np.concatenate([[0], np.frombuffer(block["sizes"], np.int32)]))
+        self.last = np.cumsum(np.concatenate([[0], np.frombuffer(block["manys"], np.int32)]))
+        self.codes, self.hot = np.frombuffer(block["codes"], "<u2"), np.frombuffer(block["hots"], np.int64)
+        self.held_keys: dict[int, frozenset] = {}
+        self.held_counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def code(self, r: int) -> np.ndarray:
+        return self.codes[self.end[r] : self.end[r + 1]]
+
+    def keys(self, r: int) -> frozenset:
+        if r not in self.held_keys:
+            self.held_keys[r] = frozenset(self.hot[self.last[r] : self.last[r + 1]].tolist())
+        return self.held_keys[r]
+
+    def counts(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        if r not in self.held_counts:
+            code = self.code(r).astype(np.uint32)
+            self.held_counts[r] = told_apart(code), told_apart(code[:-1] << np.uint32(16) | code[1:])
+        return self.held_counts[r]
+
+
+def _alike(x: dict, y: dict | None, join: bool):
+    """Places of the pairs of rows that have no earlier bucket in common and codes that are alike; ``join``: no more of them than join roots."""
+    one = _Texts(x)
+    two = one if y is None else _Texts(y)
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (over := up.get(r, r)) != r:
+            up[r] = r = up.get(over, over)
+        return r
+
+    def chosen(left: list[int], right: list[int]) -> np.ndarray:
+        kept = []
+        for place, (i, k) in enumerate(zip(left, right, strict=True)):
+            if min(one.keys(i) & two.keys(k)) != x["key"]:
+                continue
+            if join and (a := top(int(one.root[i]))) == (b := top(int(two.root[k]))):
+                continue
+            (p, pp), (q, qq) = one.counts(i), two.counts(k)
+            limit = int((1 - THRESHOLD) * max(len(p), len(q)) + 1e-9)
+            # an edit takes one code and two pairs of neighbours from either side at most
+            if surplus(p, q) > limit or surplus(pp, qq) > 2 * limit or not similar(one.code(i), two.code(k), THRESHOLD):
+                continue
+            if join:
+                up[a] = b
+            kept.append(place)
+        return np.array(kept, np.int64)
+
+    return chosen
+
+
+def _between(best: bool, join: bool = True):
+    """Pairs of a group that holds one block, or two; blocks of codes give ``(a, b, key)``, without those that codes tell apart, and if ``join`` no more than join roots."""
 
     def pairs(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_apart(*([_opened(b) for b in group.to_pylist()] + [None])[:2], best)])
+        x, y = (group.to_pylist() + [None])[:2]
+        of_y = None if y is None else _opened(y)
+        if "codes" not in x:
+            return pa.Table.from_batches([_apart(_opened(x), of_y, best)])
+        found = pa.Table.from_batches([_apart(_opened(x), of_y, best, _alike(x, y, join))])
+        return found.append_column("key", pa.array(np.full(len(found), x["key"], np.int64)))
 
     return pairs
 
@@ -315,46 +414,55 @@ def grown(found: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def crowds(hot: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """``(key, id, n, root, size, bag)`` of the entries ``hot(key, id, n)`` of buckets whose texts have different roots; stored."""
-    mine = nodes.select("id", "node", "size", "bag").join(found, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "bag")
-    all_of = _stored(hot.join(mine, "id").select("key", "id", "root", "size", "bag", "n"), "crowds")
+    """``(key, id, root, size, code, hot)`` of the entries ``hot(key, id)`` of buckets whose texts have different roots; ``hot`` has all such buckets of a text."""
+    mine = nodes.select("id", "node").join(found, "node", "left").select("id", "node", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    all_of = _stored(hot.select("key", "id").distinct().join(mine, "id").select("key", "id", "node", "root"), "crowds")
     mixed = checkpointed(all_of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-    return all_of.join(broadcast_if_small(mixed), "key", "left_semi")
+    entries = all_of.join(broadcast_if_small(mixed), "key", "left_semi")
+    # as many as a text has keys
+    buckets = entries.groupBy("id").agg(F.collect_set("key").alias("hot"))
+    return entries.join(buckets, "id").join(nodes.select("node", "size", "code"), "node").select("key", "id", "root", "size", "code", "hot")
 
 
-def between_blocks(entries: DataFrame, best: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of different roots of ``entries(key, id, root, size, bag)`` that have a key in common and are not excluded."""
+def between_blocks(entries: DataFrame, best: bool, join: bool) -> DataFrame:
+    """Pairs ``(a, b, key)`` of different roots of ``entries(key, id, root, size, code, hot)`` that have a key in common and are not excluded."""
     order = ("key", "size", "id")
-    rows = entries.select("key", "id", "root", "size", "bag").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = entries.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = _stored(rows.mapInArrow(_cut, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
     of = lambda x: blocks.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "least", "most")])
     like = lambda x, y: F.col(f"hi_{x}") + 1 >= F.col(f"lo_{y}") * THRESHOLD
     apart = F.least("least_x", "least_y") != F.greatest("most_x", "most_y")
     met = of("x").join(of("y"), "key").where((F.col("block_x") <= F.col("block_y")) & like("x", "y") & like("y", "x") & apart)
     sides = met.select("block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
-    whole = sides.join(blocks.select("block", "ids", "roots", "sizes", "bags"), "block")
-    return whole.groupBy("block_x", "block_y").applyInArrow(_between(best), "a long, b long")
+    whole = sides.join(blocks.select("block", "key", "ids", "roots", "sizes", "codes", "hots", "manys"), "block")
+    # blocks are small and costly to compare, so they are dealt by number, not by bytes
+    spark = entries.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return whole.repartition(parts, "block_x", "block_y").groupBy("block_x", "block_y").applyInArrow(_between(best, join), "a long, b long, key long")
 
 
 def crowded_links(texts: DataFrame, nodes: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """Components ``found(node, root)`` with all links of the texts in buckets above ``FEW``."""
     hot = shared.where(F.col("n") > FEW)
-    for best in (True, False):
-        rooted = crowds(hot, nodes, found)
-        pairs = between_blocks(rooted.where(F.col("n") > SOME), best)
-        if best:
-            # no more than SOME members each, all of their pairs at once
-            full = rooted.where(F.col("n") <= SOME).groupBy("key").agg(F.collect_list(F.struct("id", "root", "size", _coarse_udf("bag").alias("coarse"))).alias("members"))
-            pairs = tried = checkpointed(pairs.union(full.select("members").mapInArrow(_fitting_pairs, "a long, b long")).distinct())
-        else:
-            pairs = checkpointed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        new = checkpointed(links(texts, pairs, nodes))
+    tried = None
+    for best, join in ((True, True), (False, True), (False, False)):
+        pairs = checkpointed(between_blocks(crowds(hot, nodes, found), best, join))
+        if tried is not None:
+            pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = checkpointed(links(texts, pairs.select("a", "b").distinct(), nodes))
         found = found if new.isEmpty() else grown(found, new)
+        if not best and join:
+            # where words refuse a pair, others may not have been listed because of it
+            held = new.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+            refused = checkpointed(pairs.join(held, ["a", "b"], "left_anti").select("key").distinct())
+            if refused.isEmpty():
+                break
+            hot, tried = hot.join(broadcast_if_small(refused), "key", "left_semi"), pairs.select("a", "b").distinct()
     return found
 
 
 def all_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Components ``(node, root)`` of ``nodes(node, id, keys, size, bag)`` by the links of all buckets."""
+    """Components ``(node, root)`` of ``nodes(node, id, keys, size, bag, code)`` by the links of all buckets."""
     texts = docs.select(node(F.col("text")).alias("node"), "text")
     shared = bucketed(nodes.select("id", F.explode("keys").alias("key")))
     found = checkpointed(components(checkpointed(links(texts, checkpointed(candidates(shared)), nodes))))
@@ -388,6 +496,13 @@ def wordless(text: Column) -> Column:
     return text.isNull() | ~F.rlike(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
 
 
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(node, id, keys, size, bag, code)`` of every different text with words; stored."""
+    sketched = docs.where(~wordless(F.col("text"))).select(node(F.col("text")).alias("node"), _sketch_udf("text").alias("s"))
+    once = sketched.groupBy("node").agg(F.first("s").alias("s"))
+    return _stored(once.select("node", F.xxhash64("node").alias("id"), "s.keys", "s.size", "s.bag", "s.code"), "nodes")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, node, root, class_id, keep)`` for every document of ``docs(doc_id, text)``.
 
@@ -396,10 +511,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = _stored(docs.select("doc_id", node(F.col("text")).alias("node"), wordless(F.col("text")).alias("bare")), "rows")
     worded = rows.where("not bare")
-    sketched = docs.where(~wordless(F.col("text"))).select(node(F.col("text")).alias("node"), _sketch_udf("text").alias("s"))
-    once = sketched.groupBy("node").agg(F.first("s").alias("s"))
-    nodes = _stored(once.select("node", F.xxhash64("node").alias("id"), "s.keys", "s.size", "s.bag"), "nodes")
-    found = all_links(docs, nodes)
+    found = all_links(docs, sketches(docs))
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = checkpointed(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     # checkpointed, so that both sides of the join are dealt anew and a class with very many texts can be split

@@ -290,3 +290,53 @@ def test_no_pair_of_a_large_bucket_is_left_out(spark):
     pairs = [(i, j) for i in range(300) for j in range(i) if keys[i] & keys[j] and similar(texts[i], texts[j], near_dup.THRESHOLD)]
     got = classes_of(spark, [(*r, None, None) for r in rows])
     assert [got[i]["class_id"] for i in range(300)] == groups(300, pairs)
+
+
+def coded_blocks(rows):
+    """Blocks of ``rows(key, id, root, words, hot)``, one after another."""
+    import pyarrow as pa
+
+    rows = sorted(rows, key=lambda r: (r[0], len(r[3]), r[1]))
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(r[3]) for r in rows], [near_dup.word_codes(r[3]) for r in rows], [r[4] for r in rows]]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "id", "root", "size", "code", "hot"])
+    return [b for x in near_dup._cut(iter([batch.slice(0, 50), batch.slice(50)])) for b in x.to_pylist()]
+
+
+@pytest.mark.parametrize("join", [False, True])
+def test_only_alike_texts_leave_blocks_and_a_pair_once(join, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4000)
+    rng = random.Random(12)
+    passages = [[f"p{k}x{i}" for i in range(8)] for k in range(5)]
+    # the same words in another order, and copies of some
+    texts = [sum(rng.sample(passages, 5), []) for _ in range(60)]
+    texts += [edited(t, rng, 5) for t in texts[:30]]
+    words = [word_hashes(" ".join(t)) for t in texts]
+    want = {(i, j) for j in range(90) for i in range(j) if similar(words[i], words[j], near_dup.THRESHOLD)}
+    blocks = coded_blocks([(key, i, 1000 + i, w, [3, 7]) for key in (3, 7) for i, w in enumerate(words)])
+    assert all(len(b["codes"]) <= 4000 for b in blocks) and len(blocks) >= 4
+    got = []
+    for i, x in enumerate(blocks):
+        for y in blocks[i:]:
+            if x["key"] == y["key"]:
+                got += [tuple(r.values()) for r in near_dup._between(False, join)(pa.Table.from_pylist([x] if x is y else [x, y])).to_pylist()]
+    assert {g[2] for g in got} == {3}
+    found = [g[:2] for g in got]
+    assert set(found) <= want and len(set(found)) == len(found)
+    assert groups(90, found) == groups(90, want) if join else set(found) == want
+
+
+def test_unlike_pairs_of_a_crowd_are_not_listed(spark, monkeypatch):
+    rows, near = crowd(400, 0.15)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, keys int").select("doc_id", "text")
+    tried, plain = [], near_dup.links
+    monkeypatch.setattr(near_dup, "links", lambda texts, pairs, nodes: tried.append(pairs.count()) or plain(texts, pairs, nodes))
+    nodes = near_dup.sketches(docs)
+    found = {r["node"]: r["root"] for r in near_dup.all_links(docs, nodes).collect()}
+    of = {r["doc_id"]: bytes(r["n"]) for r in docs.select("doc_id", near_dup.node(docs["text"]).alias("n")).collect()}
+    top = lambda i: bytes(found.get(of[i], of[i]))
+    assert sum(top(a) == top(b) for a, b in near) >= 0.9 * len(near) > 4
+    print(tried)
+    assert sum(tried[1:]) < len(rows)
