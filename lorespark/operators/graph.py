@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, stored
 
 IMPACT = ("depends_on", "extends")
 #: Characters by which names that contain each other meet.
@@ -259,7 +259,7 @@ def has_cycle(edges: DataFrame) -> bool:
         size, now = left, checkpointed(_bridged(checkpointed(_peeled(now))))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _coloured(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of nodes on cycles, by forward and backward colouring.
 
     Every node takes the largest id that reaches it; the nodes of a colour that
@@ -296,6 +296,91 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes.select("component"), "component", "left_semi").select("id", "component")
 
 
+def _pointed(parents: DataFrame) -> DataFrame:
+    """``(id, root)`` of a forest ``parents(id, up)`` without its roots; paths shrink to a quarter every round."""
+    now = stored(parents.select("id", F.col("up").alias("root")), "roots")
+    while True:
+        over = now.select(F.col("id").alias("root"), F.col("root").alias("_over"))
+        half = now.join(over, "root", "left").select("id", F.coalesce("_over", "root").alias("root"))
+        over = half.select(F.col("id").alias("root"), F.col("root").alias("_over"))
+        new = stored(half.join(over, "root", "left").select("id", F.coalesce("_over", "root").alias("root"), F.col("_over").isNotNull().alias("_moved")), "roots")
+        now = new.select("id", "root")
+        if new.where("_moved").isEmpty():
+            return now
+
+
+def _contracted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct edges ``(a, b)`` between the roots ``(id, root)`` of different ends; nodes that aren't in ``roots`` stay."""
+    of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}"))
+    # many edges of a node lead to one root, so what is left after the first join is little
+    half = edges.join(of("a"), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b").distinct()
+    both = half.join(of("b"), "b", "left").select("a", F.coalesce("_b", "b").alias("b")).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hooked(edges: DataFrame, turn: int) -> DataFrame:
+    """``(id, up)``: nodes of ``edges(a, b)`` beneath their neighbour of least hash where that is less than their own; no cycles."""
+    mark = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), mark("b").alias("m")), F.struct(F.col("b").alias("id"), mark("a").alias("m")))).alias("e"))
+    least = ends.groupBy("e.id").agg(F.min("e.m").alias("m"))
+    return least.where(F.col("m") < mark("id")).select("id", F.col("m.v").alias("up"))
+
+
+def mutual_components(edges: DataFrame) -> DataFrame:
+    """``(id, root)`` of the nodes that undirected ``edges(a, b)`` join, without the roots.
+
+    Two links of every node (to its neighbours of least hash under two seeds) are
+    joined first, as they are few against the edges and mostly leave few classes;
+    then all edges between different classes are taken up again.  The seeds change
+    every round, so at least half of what is left goes, on average, whatever the
+    order of ids.
+    """
+    found, turn = None, 0
+    left = edges
+    while not left.isEmpty():
+        one = stored(_hooked(left, turn).select("id", "up").union(_hooked(left, turn + 1).select("id", "up")), "hooks")
+        few = stored(one.select(F.least("id", "up").alias("a"), F.greatest("id", "up").alias("b")).distinct(), "links")
+        turn += 2
+        roots = None
+        while not few.isEmpty():
+            step = _pointed(_hooked(few, turn))
+            turn += 1
+            roots = step if roots is None else _composed(roots, step)
+            few = stored(_contracted(few, step), "links")
+        found = roots if found is None else _composed(found, roots)
+        left = stored(_contracted(left, roots), "left")
+    return found if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
+
+
+def _composed(roots: DataFrame, step: DataFrame) -> DataFrame:
+    """``roots(id, root)`` after their roots got roots by ``step``; stored."""
+    over = step.select(F.col("id").alias("root"), F.col("root").alias("_over"))
+    return stored(roots.join(over, "root", "left").select("id", F.coalesce("_over", "root").alias("root")).union(step.select("id", "root")), "roots")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(id, component)`` of nodes on cycles of several nodes; a component is named by its largest id.
+
+    Nodes with edges both ways are in one component, so these are joined first,
+    by rounds that shrink the graph; only what then has one-way edges is coloured.
+    """
+    back = F.col("src") > F.col("dst")
+    seen = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), back.alias("back"))
+    ways = stored(seen.groupBy("a", "b").agg(F.bool_or("back").alias("back"), F.bool_or(~F.col("back")).alias("forth")), "ways")
+    roots = mutual_components(ways.where("back and forth").select("a", "b"))
+    single = ways.where("not (back and forth)")
+    if not single.isEmpty():
+        of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}"))
+        ends = single.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "back").where("a <> b")
+        turned = lambda x, y: F.when(F.col("back"), F.col(x)).otherwise(F.col(y))
+        coloured = _coloured(ends.select(turned("b", "a").alias("src"), turned("a", "b").alias("dst")).distinct())
+        roots = _composed(roots, coloured.where("id <> component").select("id", F.col("component").alias("root")))
+    # roots are members, too
+    members = roots.select("id", "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
+    names = stored(roots.groupBy("root").agg(F.greatest(F.max("id"), F.col("root")).alias("component")), "names")
+    return members.join(names, "root").select("id", "component")
+
+
 def import_cycles(edges: DataFrame) -> DataFrame:
     """Files that import each other: a sorted, closed list for every component of static imports."""
     static = edges.where("edge_type = 'imports'").select("src", "dst")

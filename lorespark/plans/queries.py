@@ -397,8 +397,10 @@ SELECT low AS component, count(*) AS n FROM w GROUP BY low HAVING count(*) > 1""
 )
 def strong_components(spark, d):
     """Components of parts and suppliers that lead to each other through order lines."""
-    lines = table(spark, d, "lineitem").select(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    found = graph.strong_components(lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    part, supplier = (F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("p:", "l_partkey"), ("s:", "l_suppkey")))
+    # both ways of a line in one row's place, so that they meet before they are shuffled
+    ways = F.explode(F.array(F.struct(part.alias("src"), supplier.alias("dst")), F.struct(supplier.alias("src"), part.alias("dst")))).alias("e")
+    found = graph.strong_components(table(spark, d, "lineitem").where("l_partkey is not null and l_suppkey is not null").select(ways).select("e.src", "e.dst"))
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -113,3 +113,28 @@ def test_cycles_and_strong_components(case, spark):
     assert graph.has_cycle(df) == bool(on_cycle)
     line = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "extends", "explicit", i) for i in range(5)], EDGES)
     assert not graph.has_cycle(line)
+
+
+def test_mutual_components_and_one_way_edges(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(40)]
+    both = [(rng.choice(names), rng.choice(names)) for _ in range(18)]
+    one = [(rng.choice(names), rng.choice(names)) for _ in range(30)]
+    edges = both + [(b, a) for a, b in both] + one + [("n1", "n1")]
+    steps = {n: {b for a, b in edges if a == n} for n in names}
+
+    def reached(n):
+        seen, front = set(), {n}
+        while front:
+            front = set().union(*(steps[x] for x in front)) - seen
+            seen |= front
+        return seen
+
+    reach = {n: reached(n) for n in names}
+    want = {n: max([m for m in names if m in reach[n] and n in reach[m]] + [n]) for n in names if any(m != n and n in reach[m] for m in reach[n])}
+    got = {r["id"]: r["component"] for r in graph.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == want and len(set(want.values())) > 1
+    # edges both ways are joined without colouring
+    monkeypatch.setattr(graph, "_coloured", None)
+    twice = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "x")]
+    assert {tuple(r) for r in graph.strong_components(spark.createDataFrame(twice, "src string, dst string")).collect()} == {("a", "c"), ("b", "c"), ("c", "c"), ("x", "y"), ("y", "y")}
