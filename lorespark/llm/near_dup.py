@@ -21,12 +21,11 @@ of texts with different roots are compared by lengths and word counts, inside
 blocks of at most ``BLOCK`` texts of like length and between two blocks at a time.
 What counts leave is aligned there, by two bytes a word, which never makes texts less
 alike than they are.  So only pairs that are alike by these codes leave a block, no
-more than join its roots to classes; their words decide.  A first pass tries, of each
-two roots in a block, the two texts whose counts are most alike, a second one every
-pair of roots that are still apart, both in the first bucket that the pair shares.  Where
-words refuse one, a third pass lists all such pairs of its bucket.  So no pair is left
-out; the comparisons of a bucket grow with the square of its different roots, in
-memory for two blocks, the rows that leave it don't.
+more than join its roots to classes; their words decide.  A first pass tries every pair
+of different roots, in the first bucket that the pair shares and those most alike by
+counts first.  Where words refuse one, a second pass lists all such pairs of its bucket.
+So no pair is left out; the comparisons of a bucket grow with the square of its different
+roots, in memory for two blocks, the rows that leave it don't.
 
 Pairs whose lengths or word counts (in ``BINS`` bins) exclude the threshold are
 dropped, which loses nothing; the others are aligned inside a band that is as
@@ -41,7 +40,9 @@ range partitions, and a pair of blocks is a group of its own, so a bucket is dea
 over all tasks.  Words travel only for texts that pass the filters on lengths and
 counts.  Bucket minima and component minima are partial aggregates; joins that
 meet a hot key have stored tables on both sides, so that adaptive execution can
-split them.  Nothing is collected.
+split them.  Nothing is collected.  Shuffle files go as soon as their query ends
+(``shared.tidy``), and tables are compared a few MB at a time (``CELLS``, ``HELD``), as a
+worker's memory comes on top of its executor's heap.
 
 Defined results: a text without words (null, empty, signs only) is nobody's
 duplicate; a text with fewer than ``K`` words is one k-mer of all its words;
@@ -63,7 +64,7 @@ from pyspark.sql import types as T
 
 from .alignment import similar
 from .components import components
-from .shared import broadcast_if_small, checkpointed, fresh, scratch, texts_table
+from .shared import broadcast_if_small, checkpointed, fresh, scratch, texts_table, tidy
 from .words import mix, ngram_hashes, word_hashes
 
 K = 5
@@ -74,7 +75,9 @@ SINGLES = 24
 #: Buckets of at most so many texts are tried pair by pair.
 FEW = 16
 #: Larger ones are compared in blocks of at most so many texts and bytes of codes (a longer text is a block of its own).
-BLOCK, BLOCK_BYTES = 4096, 8 << 20
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
+#: Counts compared at once, and words of a block whose counts are kept.
+CELLS, HELD = 1 << 20, 1 << 20
 #: Bins of the word counts that pairs are compared by before their words are fetched.
 BINS = 128
 #: Coarser bins of the same counts, compared inside buckets.
@@ -251,10 +254,13 @@ def _apart(x: dict, y: dict | None, best: bool, chosen=None) -> pa.RecordBatch:
         i, k, limit = i[near], k[near], limit[near]
         # coarse counts first, for what they leave the finer ones
         for (cx, sx), (cy, sy) in zip(*sides, strict=True):
-            diff = cx[i]
-            diff -= cy[k]
-            # the surpluses of both sides are half of their sum and difference
-            apart = (np.abs(diff, out=diff) @ np.ones(diff.shape[1], np.float32) + np.abs(sx[i] - sy[k])) / 2
+            apart, step = np.empty(len(i)), max(1, CELLS // cx.shape[1])
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], k[at : at + step]
+                diff = cx[p]
+                diff -= cy[q]
+                # the surpluses of both sides are half of their sum and difference
+                apart[at : at + step] = (np.abs(diff, out=diff) @ np.ones(diff.shape[1], np.float32) + np.abs(sx[p] - sy[q])) / 2
             fits = apart <= limit
             i, k, limit, apart = i[fits], k[fits], limit[fits], apart[fits]
         if best and len(i):
@@ -279,7 +285,14 @@ def _opened(block: dict) -> dict:
     size = number("sizes", np.int32).astype(np.int64)
     row = np.arange(len(size))
     if "codes" in block:
-        bag = np.minimum(np.bincount(np.repeat(row, size) * 256 + (number("codes", "<u2") & 255), minlength=256 * len(size)), 255).astype(np.uint8).reshape(-1, 256)
+        bag, end = np.zeros((len(size), 256), np.uint8), np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            at = int(end[lo] - size[lo])
+            hi = max(lo + 1, int(np.searchsorted(end, at + HELD // 4, "right")))
+            code = number("codes", "<u2")[at : end[hi - 1]] & np.uint16(255)
+            bag[lo:hi] = np.minimum(np.bincount(np.repeat(row[: hi - lo], size[lo:hi]) * 256 + code, minlength=256 * (hi - lo)), 255).reshape(-1, 256)
+            lo = hi
     else:
         bag = number("bags", np.uint8).reshape(-1, BINS)
     return {"id": number("ids", np.int64), "root": number("roots", np.int64), "size": size, "bag": bag, "row": row}
@@ -309,6 +322,7 @@ class _Texts:
         self.codes, self.hot = np.frombuffer(block["codes"], "<u2"), np.frombuffer(block["hots"], np.int64)
         self.held_keys: dict[int, frozenset] = {}
         self.held_counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.room = HELD
 
     def code(self, r: int) -> np.ndarray:
         return self.codes[self.end[r] : self.end[r + 1]]
@@ -321,6 +335,10 @@ class _Texts:
     def counts(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         if r not in self.held_counts:
             code = self.code(r).astype(np.uint32)
+            if len(code) > self.room:
+                self.held_counts.clear()
+                self.room = HELD
+            self.room -= len(code)
             self.held_counts[r] = told_apart(code), told_apart(code[:-1] << np.uint32(16) | code[1:])
         return self.held_counts[r]
 
@@ -424,7 +442,7 @@ def crowds(hot: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     return entries.join(buckets, "id").join(nodes.select("node", "size", "code"), "node").select("key", "id", "root", "size", "code", "hot")
 
 
-def between_blocks(entries: DataFrame, best: bool, join: bool) -> DataFrame:
+def between_blocks(entries: DataFrame, join: bool) -> DataFrame:
     """Pairs ``(a, b, key)`` of different roots of ``entries(key, id, root, size, code, hot)`` that have a key in common and are not excluded."""
     order = ("key", "size", "id")
     rows = entries.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -433,25 +451,25 @@ def between_blocks(entries: DataFrame, best: bool, join: bool) -> DataFrame:
     like = lambda x, y: F.col(f"hi_{x}") + 1 >= F.col(f"lo_{y}") * THRESHOLD
     apart = F.least("least_x", "least_y") != F.greatest("most_x", "most_y")
     met = of("x").join(of("y"), "key").where((F.col("block_x") <= F.col("block_y")) & like("x", "y") & like("y", "x") & apart)
-    sides = met.select("block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
-    whole = sides.join(blocks.select("block", "key", "ids", "roots", "sizes", "codes", "hots", "manys"), "block")
+    sides = checkpointed(met.select("block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block")))
+    whole = blocks.select("block", "key", "ids", "roots", "sizes", "codes", "hots", "manys").join(broadcast_if_small(sides), "block")
     # blocks are small and costly to compare, so they are dealt by number, not by bytes
     spark = entries.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return whole.repartition(parts, "block_x", "block_y").groupBy("block_x", "block_y").applyInArrow(_between(best, join), "a long, b long, key long")
+    return whole.repartition(parts, "block_x", "block_y").groupBy("block_x", "block_y").applyInArrow(_between(False, join), "a long, b long, key long")
 
 
 def crowded_links(texts: DataFrame, nodes: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """Components ``found(node, root)`` with all links of the texts in buckets above ``FEW``."""
     hot = shared.where(F.col("n") > FEW)
     tried = None
-    for best, join in ((True, True), (False, True), (False, False)):
-        pairs = checkpointed(between_blocks(crowds(hot, nodes, found), best, join))
+    for join in (True, False):
+        pairs = checkpointed(between_blocks(crowds(hot, nodes, found), join))
         if tried is not None:
             pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
         new = checkpointed(links(texts, pairs.select("a", "b").distinct(), nodes))
         found = found if new.isEmpty() else grown(found, new)
-        if not best and join:
+        if join:
             # where words refuse a pair, others may not have been listed because of it
             held = new.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
             refused = checkpointed(pairs.join(held, ["a", "b"], "left_anti").select("key").distinct())
@@ -511,7 +529,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = _stored(docs.select("doc_id", node(F.col("text")).alias("node"), wordless(F.col("text")).alias("bare")), "rows")
     worded = rows.where("not bare")
-    found = all_links(docs, sketches(docs))
+    with tidy(docs.sparkSession):
+        found = all_links(docs, sketches(docs))
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = checkpointed(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     # checkpointed, so that both sides of the join are dealt anew and a class with very many texts can be split

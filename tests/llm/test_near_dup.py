@@ -340,3 +340,73 @@ def test_unlike_pairs_of_a_crowd_are_not_listed(spark, monkeypatch):
     assert sum(top(a) == top(b) for a, b in near) >= 0.9 * len(near) > 4
     print(tried)
     assert sum(tried[1:]) < len(rows)
+
+
+def test_counts_of_two_blocks_are_compared_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    texts = [word_hashes(" ".join(rng.sample(words, 300))) for _ in range(560)]
+    (block,) = coded_blocks([(3, i, 1000 + i, w, [3]) for i, w in enumerate(texts)])
+    tracemalloc.start()
+    found = near_dup._apart(near_dup._opened(block), None, False)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found.num_rows == 560 * 559 // 2
+    print(f"{peak >> 20} MB")
+    assert peak < 60 << 20
+
+
+def test_kept_counts_are_bounded(monkeypatch):
+    monkeypatch.setattr(near_dup, "HELD", 1000)
+    rng = random.Random(8)
+    texts = [word_hashes(" ".join(f"w{rng.randrange(99)}" for _ in range(n))) for n in (300, 300, 400, 1500, 200)]
+    (block,) = coded_blocks([(3, i, 1000 + i, w, [3]) for i, w in enumerate(texts)])
+    of = near_dup._Texts(block)
+    for r in (0, 1, 2, 3, 4, 0, 3, 2):
+        p, q = of.counts(r)
+        code = of.code(r).astype(np.uint32)
+        assert (p == near_dup.told_apart(code)).all() and len(q) == len(code) - 1
+        assert len(of.held_counts) == 1 or sum(len(x) for x, _ in of.held_counts.values()) <= 1000
+    bags = near_dup._opened(block)["bag"]
+    assert all((b == np.bincount(of.code(r) & 255, minlength=256)).all() for r, b in enumerate(bags))
+
+
+def test_a_crowd_goes_through_its_blocks_once_if_words_refuse_nothing(spark, monkeypatch):
+    rows, near = crowd(400, 0.15)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, keys int").select("doc_id", "text")
+    went, plain = [], near_dup.between_blocks
+    monkeypatch.setattr(near_dup, "between_blocks", lambda *a: went.append(1) or plain(*a))
+    near_dup.all_links(docs, near_dup.sketches(docs))
+    assert len(went) == 1
+
+
+def test_components_of_many_edges_match_those_of_few(spark, monkeypatch):
+    from lorespark.llm import components as module
+
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1064)], "a long, b long")
+    few = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr(module, "TINY", 0)
+    assert few == sorted(map(tuple, components(edges).collect()))
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import glob
+    import time
+
+    from lorespark.llm.shared import checkpointed, tidy
+
+    of = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in of for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+    before = files()
+    with tidy(spark):
+        kept = checkpointed(spark.range(10_000).groupBy("id").count())
+        assert kept.count() == 10_000
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
