@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,7 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
         sample = sample.where((F.col("rank") < rank) | (F.col("rank") == rank) & (F.col("doc_id") < doc_id))
     sample = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     bags = [np.frombuffer(v.as_py(), "<f2").reshape(-1, WIDTH).astype(np.float32) for v in sample["x"]]
-    return Model().fit(bags, np.asarray(sample["y"], np.float64))
+    y = np.asarray(sample["y"], np.float64)
+    del sample
+    model = Model().fit(bags, y)
+    # what the pool holds back would count against the driver in all later steps
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

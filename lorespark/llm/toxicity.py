@@ -27,6 +27,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,9 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     if taken < len(sizes):
         rank, doc_id, _ = sizes[taken]
         sample = sample.where((F.col("rank") < rank) | (F.col("rank") == rank) & (F.col("doc_id") < doc_id))
-    found = sample.toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
-    rows = [np.asarray(v.values, np.int32) for v in found["x"]]
-    return fit(rows, np.asarray(found["y"], np.float64))
+    found = sample.toArrow()
+    # in order without a copy of the coordinates
+    order = pc.sort_indices(found, [("rank", "ascending"), ("doc_id", "ascending")]).to_pylist()
+    rows = [np.asarray(found["x"][i].values, np.int32) for i in order]
+    model = fit(rows, np.asarray(found["y"], np.float64)[order])
+    del rows, found
+    # what the pool holds back would count against the driver in all later steps
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
